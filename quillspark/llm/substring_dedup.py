@@ -181,8 +181,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("key"), F.hash("text", doc_id.isNull()).alias("tag"), F.col("text"))
     parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = keyed.select("key", "tag", "text").mapInArrow(lambda it: _pack(it, size, parts), "part int, docs array<bigint>, tags array<int>, counts binary, gaps binary, far binary, hashes binary, known binary")
-    found = packed.groupBy("part").applyInArrow(_repeated, "key bigint, tag int, spans binary")
+    found = keyed.select("key", "tag", "text").mapInArrow(lambda it: _pack(it, size, parts), "part int, docs array<bigint>, tags array<int>, counts binary, gaps binary, far binary, hashes binary, known binary")
+    found = found.groupBy("part").applyInArrow(_repeated, "key bigint, tag int, spans binary")
     found = Written(found.groupBy("key", "tag").agg(F.collect_list("spans").alias("spans")), "spans").df
     release(spark)
     joined = keyed.join(found, ["key", "tag"], "left").select("doc_id", "text", "spans")
