@@ -1,16 +1,20 @@
 """N-gram Jaccard join: prefix filters under several global token orders, then exact verification.
 
-A document's set holds the hashes of its distinct shingles. Two sets with Jaccard similarity of
-at least t share one of the first ``n - ceil(t * n) + 1`` tokens of either under every total
-order of tokens, so a pair must pass that filter under each order before it is verified.
-The orders put rare tokens first: a token's class is the bit length of its count in a fixed
-number of counters over all documents; within a class each order has its own permutation.
+A document's set holds the hashes of its distinct shingles. Let x and y have n and m tokens and
+a Jaccard similarity of at least t. Under every total order of tokens they share one of the first
+``n - ceil(t * n) + 1`` tokens of x and of the first ``m - ceil(t * m) + 1`` of y, and as the rest
+of the longer one can hold fewer than ``t * max(n, m)`` common tokens, those prefixes share at
+least ``t / (1 + t) * (n + m) - ceil(t * max(n, m)) + 1``. A pair must pass under each order.
+
+The first order serves as index and puts rare tokens first: a token's class is the bit length of
+its count in a fixed number of counters over all documents. The other orders are permutations of
+all tokens, under which a shared passage fills no more of the prefixes than of the texts.
 
 1. Documents with equal sets become one entity.
 2. The first order's prefix tokens are exploded and grouped; tokens of one entity alone drop out.
-3. Every entity is paired with one leader of each of its tokens: as many pairs as prefix tokens
-   at most, whatever a token's group holds. Pairs that pass the filters of all orders and the
-   exact test become links, and links give components. Other leaders follow for what is left.
+3. Every entity is paired with a few leaders of each of its tokens: pairs grow with the tokens,
+   whatever a token's group holds. Pairs that pass the filters of all orders are verified on
+   whole sets and become links, and links give components. Other leaders follow.
 4. Pairs that still lie in different components and share a token are all tested. A group of
    near copies is one component by then and makes no pairs.
 
@@ -36,10 +40,12 @@ SHINGLE_WORDS = 5
 SIMILARITY = (75, 100)
 #: Counters of the token order, whatever the input: 2 MB at the driver and on each executor.
 COUNTERS = 1 << 18
-#: Seeds of the token orders.
+#: Seeds of the token orders: the index's, then the filters'.
 ORDERS = (11, 12, 13)
-#: Rounds that compare each entity with one leader per token before what is left is compared in full.
-LEADERS = ("min(entity)", "max(entity)", "min_by(entity, xxhash64(entity))")
+#: Columns with the other orders' prefixes, each token as 16 bits.
+FILTERS = tuple(f"filter{seed}" for seed in ORDERS[1:])
+#: Rounds that compare each entity with these leaders of its tokens before what is left is compared in full.
+LEADERS = (("min(entity)", "max(entity)", "min_by(entity, xxhash64(entity))"), ("min_by(entity, xxhash64(entity, 1))", "min_by(entity, xxhash64(entity, 2))"))
 
 _U = np.uint64
 
@@ -71,34 +77,42 @@ def token_classes(docs: DataFrame, size: int) -> np.ndarray:
     return classes
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, seed: int, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
-    """The first tokens of a set under the order of that seed, so many that similar sets must share one."""
-    n = len(tokens)
-    k = n - -(-similarity[0] * n // similarity[1]) + 1
-    if k >= n:
+def prefix_size(n, similarity: tuple[int, int] = SIMILARITY):
+    t, u = similarity
+    return n - -(-t * n // u) + 1
+
+
+def prefix(tokens: np.ndarray, seed: int, similarity: tuple[int, int] = SIMILARITY, classes: np.ndarray | None = None) -> np.ndarray:
+    """The first tokens of a set under the order of that seed, with classes rare ones first, so many that similar sets must share one."""
+    k = prefix_size(len(tokens), similarity)
+    if k >= len(tokens):
         return tokens
-    rank = (classes[tokens & _U(COUNTERS - 1)].astype(_U) << _U(56)) | (mix(tokens + _U(seed)) >> _U(8))
+    rank = mix(tokens + _U(seed))
+    if classes is not None:
+        rank = (classes[tokens & _U(COUNTERS - 1)].astype(_U) << _U(56)) | (rank >> _U(8))
     return tokens[np.argpartition(rank, k - 1)[:k]]
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, classes, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, one, two, heads = [], [], [], []
+        n, one, two, heads, filters = [], [], [], [], [[] for _ in ORDERS[1:]]
         for s in _sets(batch.column("text"), size):
             n.append(len(s))
             one.append(int(s.sum(dtype=_U).astype(np.int64)))
             two.append(int(mix(s + _U(7)).sum(dtype=_U).astype(np.int64)))
-            heads.append(prefix(s, classes.value, ORDERS[0], similarity).view(np.int64))
+            heads.append(prefix(s, ORDERS[0], similarity, classes.value).view(np.int64))
+            for seed, column in zip(ORDERS[1:], filters, strict=True):
+                column.append(np.sort((prefix(s, seed, similarity) >> _U(48)).astype(np.uint16)).tobytes())
         ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
         values = pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64))
-        new = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *new], names=["doc_id", "n", "one", "two", "tokens"])
+        new = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), *(pa.array(x, pa.binary()) for x in filters)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *new], names=["doc_id", "n", "one", "two", "tokens", *FILTERS])
 
 
 def _records(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.tobytes() for s in _sets(batch.column("text"), size)]
-        yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(sets, pa.binary())], names=["entity", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64())], names=["entity", "data", "n"])
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
@@ -106,43 +120,65 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
     (t, u), small, large = similarity, min(len(x), len(y)), max(len(x), len(y))
     if not small or u * small < t * large:
         return False
+    both = common(x, y)
+    return u * both >= t * (len(x) + len(y) - both)
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values of y are in x, which is sorted and not empty."""
     at = np.searchsorted(x, y)
     at[at == len(x)] = 0
-    both = int((x[at] == y).sum())
-    return u * both >= t * (len(x) + len(y) - both)
+    return int((x[at] == y).sum())
 
 
-def _verify(batches: Iterator[pa.RecordBatch], classes, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, list[np.ndarray]] = {}
+def least_shared(n: int, m: int, similarity: tuple[int, int] = SIMILARITY) -> int:
+    """How many tokens the prefixes of similar sets of n and m tokens share at least."""
+    t, u = similarity
+    return max(1, -(-t * (n + m) // (t + u)) - -(-t * max(n, m) // u) + 1)
+
 
-    def known(raw: bytes) -> list[np.ndarray]:
-        if raw not in held:
-            if len(held) >= 64:
-                held.pop(next(iter(held)))
-            s = np.frombuffer(raw, _U)
-            held[raw] = [s, *(np.sort(prefix(s, classes.value, seed, similarity)) for seed in ORDERS[1:])]
-        return held[raw]
+def passes(x: bytes, y: bytes, n: int, m: int, similarity: tuple[int, int]) -> bool:
+    """Whether sets of n and m tokens pass the filter of one order. Equal 16-bit values within a prefix can't lose a pair."""
+    u, v = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+    slack = int((u[1:] == u[:-1]).sum()) + int((v[1:] == v[:-1]).sum())
+    return common(u, v) + slack >= least_shared(n, m, similarity)
 
+
+def _filter(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = [], []
-        for x, y, p, q in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            u, v = known(p), known(q)
-            if all(_meet(s, t) for s, t in zip(u[1:], v[1:], strict=True)) and similar(u[0], v[0], similarity):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        cols = [batch.column(k) for k in ("x", "y", "n", "m")]
+        ok = [passes(x.as_buffer(), y.as_buffer(), n.as_py(), m.as_py(), similarity) for x, y, n, m in zip(*cols, strict=True)]
+        yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
 
-def _meet(x: np.ndarray, y: np.ndarray) -> bool:
-    at = np.searchsorted(x, y)
-    at[at == len(x)] = 0
-    return bool((x[at] == y).any())
+def _verify(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = [similar(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), similarity) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+        yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
 
-def _links(pairs: DataFrame, records: DataFrame, classes, similarity: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are similar. The end that recurs most, a, comes last."""
-    joined = pairs.join(records.selectExpr("entity AS b", "tokens AS y"), "b").join(records.selectExpr("entity AS a", "tokens AS x"), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, classes, similarity), "a bigint, b bigint")
+def _both(pairs: DataFrame, records: DataFrame, data: str, near: str = "true") -> DataFrame:
+    """Pairs (a, b) with the records of both ends: x and n of a, y and m of b. The end that recurs most, a, comes last."""
+    joined = pairs.join(records.selectExpr("entity AS b", f"{data} AS y", "n AS m"), "b")
+    return joined.join(records.selectExpr("entity AS a", f"{data} AS x", "n"), "a").where(near)
+
+
+def _links(pairs: DataFrame, filters: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> Written:
+    """Of the pairs (a, b), those whose sets are similar: first by the filters, then by whole sets made from the texts again."""
+    t, u = similarity
+    left, written = pairs.distinct(), []
+    for column in FILTERS:  # each order keeps what the ones before it have kept
+        both = _both(left, filters, column, f"least(n, m) * {u} >= greatest(n, m) * {t}")
+        written.append(Written(both.mapInArrow(lambda it: _filter(it, similarity), "a bigint, b bigint"), "candidates"))
+        left = written[-1].df
+    ends = Written(left.selectExpr("a AS entity").unionByName(left.selectExpr("b AS entity")).distinct(), "ends")
+    texts = docs.join(ends.df, docs["doc_id"] == F.col("entity")).select("entity", "text")
+    sets = Written(texts.mapInArrow(lambda it: _records(it, size), "entity bigint, data binary, n bigint"), "sets")
+    links = Written(_both(left, sets.df, "data").mapInArrow(lambda it: _verify(it, similarity), "a bigint, b bigint"), "links")
+    for x in (*written, ends, sets):
+        x.drop()
+    release(docs.sparkSession)
+    return links
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -158,48 +194,44 @@ def near_components(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tupl
     bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = spark.sparkContext.broadcast(token_classes(docs, size))
-    rows = Written(docs.mapInArrow(lambda it: _prefixes(it, size, classes, similarity), "doc_id bigint, n bigint, one bigint, two bigint, tokens array<bigint>"), "prefixes")
+    rows = Written(docs.mapInArrow(lambda it: _prefixes(it, size, classes, similarity), "doc_id bigint, n bigint, one bigint, two bigint, tokens array<bigint>, " + ", ".join(f"{k} binary" for k in FILTERS)), "prefixes")
     full = rows.df.where("n > 0 AND doc_id IS NOT NULL")
     entities = Written(full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("entity"), F.count("*").alias("copies")), "entities")
     copies = full.where("n > 0").join(entities.df.where("copies > 1"), ["n", "one", "two"]).selectExpr("doc_id AS a", "entity AS b").where("a <> b")
     copies = Written(copies.distinct(), "copies")
     heads = full.join(copies.df.selectExpr("a AS doc_id").distinct(), "doc_id", "left_anti")
-    heads = heads.selectExpr("doc_id AS entity", "n", "explode(tokens) AS token")
-    shared = Written(heads.groupBy("token").agg(F.count("*").alias("k"), F.expr(LEADERS[0]).alias("leader")).where("k > 1").select("token", "leader"), "shared")
+    heads = heads.selectExpr("doc_id AS entity", "explode(tokens) AS token")
+    shared = Written(heads.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared")
     release(spark)
     index = Written(heads.join(shared.df, "token"), "index")
     shared.drop()
     release(spark)
-    texts = docs.join(index.df.select("entity").distinct(), docs["doc_id"] == F.col("entity")).select("entity", "text")
-    records = Written(texts.mapInArrow(lambda it: _records(it, size), "entity bigint, tokens binary"), "sets")
-    release(spark)
-    t, u = similarity
-    near = f"least(m, n) * {u} >= greatest(m, n) * {t}"
+    filters = Written(full.join(index.df.selectExpr("entity AS doc_id").distinct(), "doc_id", "left_semi").selectExpr("doc_id AS entity", "n", *FILTERS), "filters")
 
-    sizes = full.join(index.df.select(F.col("entity").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("n").alias("m"))
-    sizes = sizes.withColumnRenamed("doc_id", "leader")
     state, found = index, components(copies.df)
-    for number in range(len(LEADERS) + 1):
-        if number < len(LEADERS):
-            pairs = state.df.join(sizes, "leader").where(f"leader <> entity AND {near}").selectExpr("leader AS a", "entity AS b")
+    for leaders in (*LEADERS, None):
+        member = found.df.withColumnRenamed("node", "entity")
+        mine = state.df.select("token", "entity").join(member, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
+        named = {f"leader{i}": F.expr(e) for i, e in enumerate(leaders or ())}
+        apart = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *(e.alias(k) for k, e in named.items())).where("lo < hi")
+        before, state = state, Written(mine.join(apart.drop("lo", "hi"), "token"), "apart")
+        before.drop()
+        if state.df.isEmpty():
+            break
+        if leaders:
+            pairs = state.df.selectExpr("entity AS b", "component", f"explode(array_distinct(array({', '.join(named)}))) AS a").where("a <> b").distinct()
+            known = found.df.selectExpr("node AS a", "component AS other")
+            pairs = pairs.join(known, "a", "left").where("coalesce(other, a) <> component").select("a", "b")
         else:
-            left, right = (state.df.selectExpr("token", f"entity AS {e}", f"n AS {n}", f"component AS c{e}") for e, n in (("a", "m"), ("b", "n")))
-            pairs = left.join(right, "token").where(f"ca < cb AND {near}").select("a", "b")
-        links = Written(_links(pairs.distinct(), records.df, classes, similarity), "links")
+            left, right = (state.df.selectExpr("token", f"entity AS {e}", f"component AS c{e}") for e in "ab")
+            pairs = left.join(right, "token").where("ca < cb").select("a", "b")
+        links = _links(pairs, filters.df, docs, size, similarity)
         if not links.df.isEmpty():
             before, found = found, components(links.df.unionByName(found.df.selectExpr("node AS a", "component AS b")))
             before.drop()
         links.drop()
-        if number < len(LEADERS):
-            member = found.df.withColumnRenamed("node", "entity")
-            mine = state.df.select("token", "entity", "n").join(member, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
-            apart = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.expr(LEADERS[min(number + 1, len(LEADERS) - 1)]).alias("leader"))
-            before, state = state, Written(mine.join(apart.where("lo < hi").select("token", "leader"), "token"), "apart")
-            if before is not index:
-                before.drop()
-            if state.df.isEmpty():
-                break
-        release(spark)
+    for x in (state, entities, copies, filters):
+        x.drop()
     out = rows.df.select("doc_id", F.col("n").alias("n_shingles")).join(found.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
