@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, ngram_join, quality, substring_dedup
+from quillspark.llm import bpe, chat_format, embedding_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_counts, toxicity
 from quillspark.llm.common import table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.op1(table(spark, sf_dir, "conversations"))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,15 +26,43 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.op5(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op8(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_quality_rules, op4_ngram_jaccard_join, op6_substring_dedup, op10_bpe,
-)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_source_mixing,
+        op3_quality_rules,
+        op4_ngram_jaccard_join,
+        op5_embedding_near_dedup,
+        op6_substring_dedup,
+        op7_toxicity,
+        op8_pii,
+        op9_token_counts,
+        op10_bpe,
+    )
+}
+ORACLES: dict[str, str] = {"op1_chat_formatting": chat_format.SQL, "op9_token_counts": token_counts.SQL}
