@@ -12,11 +12,15 @@ all tokens, under which a shared passage fills no more of the prefixes than of t
 
 1. Documents with equal sets become one entity.
 2. The first order's prefix tokens are exploded and grouped; tokens of one entity alone drop out.
-3. Every entity is paired with a few leaders of each of its tokens: pairs grow with the tokens,
-   whatever a token's group holds. Pairs that pass the filters of all orders are verified on
-   whole sets and become links, and links give components. Other leaders follow.
-4. Pairs that still lie in different components and share a token are all tested. A group of
-   near copies is one component by then and makes no pairs.
+   The smallest entity of a token is its leader, and all entities of a leader's tokens are its
+   group: two entities that share a token are in one group, and a group of near copies, which
+   share many tokens, mostly in one alone.
+3. Every entity is tested against its leaders, so pairs grow with groups' members only. Pairs
+   that pass the filters of all orders are verified on whole sets; links give components.
+4. Within a group, members outside the leader's component are compared with all members of other
+   components, the leader's own not among each other. Groups are cut into blocks, and each pair
+   of blocks is compared in numpy: filters first, then whole sets of those that have a partner.
+   No pair but a link leaves a block, and of links only those that join what isn't joined.
 
 Two documents are in one component exactly if links join them; links within a component that
 others already connect need no test. Sets are of 64-bit hashes.
@@ -44,8 +48,8 @@ COUNTERS = 1 << 18
 ORDERS = (11, 12, 13)
 #: Columns with the other orders' prefixes, each token as 16 bits.
 FILTERS = tuple(f"filter{seed}" for seed in ORDERS[1:])
-#: Rounds that compare each entity with these leaders of its tokens before what is left is compared in full.
-LEADERS = (("min(entity)", "max(entity)", "min_by(entity, xxhash64(entity))"), ("min_by(entity, xxhash64(entity, 1))", "min_by(entity, xxhash64(entity, 2))"))
+#: Entities of a block on average.
+BLOCK = 1024
 
 _U = np.uint64
 
@@ -181,6 +185,144 @@ def _links(pairs: DataFrame, filters: DataFrame, docs: DataFrame, size: int, sim
     return links
 
 
+def _apart(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (leader, entity, component, main) of groups with members in several components; main: in the leader's."""
+    of = lambda name, column: known.selectExpr(f"node AS {name}", f"component AS {column}")
+    rows = groups.join(of("entity", "c"), "entity", "left").join(of("leader", "lc"), "leader", "left")
+    rows = rows.select("leader", "entity", F.coalesce("c", "entity").alias("component"), F.coalesce("lc", "leader").alias("lc"))
+    rows = Written(rows.selectExpr("leader", "entity", "component", "component = lc AS main"), "members").df
+    mixed = rows.where("NOT main").groupBy("leader").agg(F.count("*").alias("k")).select("leader")
+    return rows.join(mixed, "leader")
+
+
+_KEY = ("leader", "left", "right")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows once for each pair of blocks of their group that they take part in; blocks of the leader's component don't meet each other."""
+    sizes = rows.groupBy("leader").agg(F.count_if(~F.col("main")).alias("k"), F.count_if("main").alias("m"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = rows.join(sizes.select("leader", blocks("k").alias("k"), blocks("m").alias("m")), "leader").where("k > 0")
+    by = F.xxhash64("entity", F.lit(3))
+    block = F.when(F.col("main"), F.col("k") + F.pmod(by, F.greatest("m", F.lit(1)))).otherwise(F.pmod(by, F.col("k"))).cast("int")
+    other = F.explode(F.expr("sequence(0, CASE WHEN main THEN k ELSE k + m END - 1)"))
+    rows = rows.withColumn("block", block).withColumn("other", other)
+    rows = rows.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
+    return rows.select(*_KEY, "block", "entity", "component")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """Gives work the rows of each group, which come one after the other and may end in a later batch."""
+    held = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        keys = np.column_stack([np.asarray(held[k]) for k in _KEY])
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        if len(cuts):
+            yield from work(held.slice(0, cuts[-1]), np.append(0, cuts))
+            held = held.slice(cuts[-1])
+    if held is not None and len(held):
+        yield from work(held, np.array([0, len(held)]))
+
+
+def _overlaps(x: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many of x's tokens each of n sets holds, given as all their tokens in order with the set of each."""
+    lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+    size = hi - lo
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.bincount(owner[at], minlength=n)
+
+
+def _sorted_tokens(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    return tokens[order], owner[order]
+
+
+def _sides(block: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(block == left), np.flatnonzero(block == right)
+
+
+def _with_partner(rows: pa.Table, cuts: np.ndarray, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    t, u = similarity
+    entity, component, block = (np.asarray(rows[k]) for k in ("entity", "component", "block"))
+    left, right, leader, n = (np.asarray(rows[k]) for k in ("left", "right", "leader", "n"))
+    raw = [rows[k].to_pylist() for k in FILTERS]
+    out = {"leader": [], "entity": []}
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if hi - lo < 2 or (component[lo:hi] == component[lo]).all():
+            continue
+        first, second = _sides(block[lo:hi], left[lo], right[lo])
+        if not len(first) or not len(second):
+            continue
+        m, c = n[lo:hi], component[lo:hi]
+        kept = [[np.unique(np.frombuffer(x, np.uint16)) for x in f[lo:hi]] for f in raw]
+        slack = [np.array([len(x) // 2 for x in f[lo:hi]]) - np.array([len(x) for x in k]) for f, k in zip(raw, kept, strict=True)]
+        sorted_ = [_sorted_tokens([k[j] for j in second]) for k in kept]
+        has = np.zeros(hi - lo, bool)
+        for i in first:
+            small, large = np.minimum(m[i], m[second]), np.maximum(m[i], m[second])
+            ok = (c[second] != c[i]) & (u * small >= t * large)
+            if ok.any():
+                need = np.maximum(1, -(-t * (m[i] + m[second]) // (t + u)) - -(-t * large // u) + 1)
+                for k, s, (tokens, owner) in zip(kept, slack, sorted_, strict=True):
+                    ok &= _overlaps(k[i], tokens, owner, len(second)) + s[i] + s[second] >= need
+                if ok.any():
+                    has[i] = True
+                    has[second[ok]] = True
+        out["leader"].append(leader[lo:hi][has])
+        out["entity"].append(entity[lo:hi][has])
+    if out["leader"]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
+
+
+def _joining(rows: pa.Table, cuts: np.ndarray, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Links between different components of a group that join what other links of it don't."""
+    t, u = similarity
+    entity, component, block = (np.asarray(rows[k]) for k in ("entity", "component", "block"))
+    left, right, raw = np.asarray(rows["left"]), np.asarray(rows["right"]), rows["data"].to_pylist()
+    a, b = [], []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        first, second = _sides(block[lo:hi], left[lo], right[lo])
+        if not len(first) or not len(second):
+            continue
+        own, sets = entity[lo:hi], [np.frombuffer(x, _U) for x in raw[lo:hi]]
+        n = np.array([len(s) for s in sets])
+        label = component[lo:hi].copy()  # components as links join them
+        tokens, owner = _sorted_tokens([sets[j] for j in second])
+        for i in first:
+            far = label[second] != label[i]
+            if far.any():
+                both = _overlaps(sets[i], tokens, owner, len(second))
+                for j in second[far & (u * both >= t * (n[i] + n[second] - both))]:
+                    if label[j] != label[i]:
+                        a.append(own[i])
+                        b.append(own[j])
+                        label[label == label[j]] = label[i]
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+
+
+def _block_links(rows: DataFrame, filters: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> Written:
+    """Links between members of a group in different components."""
+    together = lambda df: df.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    filtered = together(_blocks(rows).join(filters, "entity"))
+    some = filtered.mapInArrow(lambda it: _by_group(it, lambda r, c: _with_partner(r, c, similarity)), "leader bigint, entity bigint")
+    some = Written(some.distinct(), "partners")
+    release(docs.sparkSession)
+    ends = Written(some.df.select("entity").distinct(), "ends")
+    texts = docs.join(ends.df, docs["doc_id"] == F.col("entity")).select("entity", "text")
+    sets = Written(texts.mapInArrow(lambda it: _records(it, size), "entity bigint, data binary, n bigint"), "sets")
+    release(docs.sparkSession)
+    whole = together(_blocks(rows.join(some.df, ["leader", "entity"])).join(sets.df.drop("n"), "entity"))
+    links = Written(whole.mapInArrow(lambda it: _by_group(it, lambda r, c: _joining(r, c, similarity)), "a bigint, b bigint").distinct(), "links")
+    for x in (some, ends, sets):
+        x.drop()
+    release(docs.sparkSession)
+    return links
+
+
 def near_components(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -208,29 +350,22 @@ def near_components(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tupl
     release(spark)
     filters = Written(full.join(index.df.selectExpr("entity AS doc_id").distinct(), "doc_id", "left_semi").selectExpr("doc_id AS entity", "n", *FILTERS), "filters")
 
-    state, found = index, components(copies.df)
-    for leaders in (*LEADERS, None):
-        member = found.df.withColumnRenamed("node", "entity")
-        mine = state.df.select("token", "entity").join(member, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
-        named = {f"leader{i}": F.expr(e) for i, e in enumerate(leaders or ())}
-        apart = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *(e.alias(k) for k, e in named.items())).where("lo < hi")
-        before, state = state, Written(mine.join(apart.drop("lo", "hi"), "token"), "apart")
-        before.drop()
-        if state.df.isEmpty():
-            break
-        if leaders:
-            pairs = state.df.selectExpr("entity AS b", "component", f"explode(array_distinct(array({', '.join(named)}))) AS a").where("a <> b").distinct()
-            known = found.df.selectExpr("node AS a", "component AS other")
-            pairs = pairs.join(known, "a", "left").where("coalesce(other, a) <> component").select("a", "b")
-        else:
-            left, right = (state.df.selectExpr("token", f"entity AS {e}", f"component AS c{e}") for e in "ab")
-            pairs = left.join(right, "token").where("ca < cb").select("a", "b")
-        links = _links(pairs, filters.df, docs, size, similarity)
-        if not links.df.isEmpty():
-            before, found = found, components(links.df.unionByName(found.df.selectExpr("node AS a", "component AS b")))
-            before.drop()
-        links.drop()
-    for x in (state, entities, copies, filters):
+    leaders = index.df.groupBy("token").agg(F.min("entity").alias("leader"))
+    groups = Written(index.df.join(leaders, "token").select("leader", "entity").distinct(), "groups")
+    index.drop()
+
+    pairs = groups.df.where("leader <> entity").selectExpr("leader AS a", "entity AS b")
+    first = _links(pairs, filters.df, docs, size, similarity)
+    joined = first.df.unionByName(copies.df)
+    known = components(joined)
+    rest = _apart(groups.df, known.df)
+    links = _block_links(rest, filters.df, docs, size, similarity)
+    if links.df.isEmpty():
+        found = known
+    else:
+        found = components(links.df.unionByName(known.df.selectExpr("node AS a", "component AS b")))
+        known.drop()
+    for x in (groups, first, links, entities, copies, filters):
         x.drop()
     out = rows.df.select("doc_id", F.col("n").alias("n_shingles")).join(found.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
