@@ -1,9 +1,10 @@
 """Quality rules: the log-likelihood ratio of a text's hashed n-grams between trusted texts and all texts.
 
-Two multinomials over hashed byte n-grams are counted, one over trusted texts and one over the
-whole corpus, both smoothed by one. A text's score is the mean over its n-grams of the log ratio
-of the two, so it doesn't depend on length, and a text is kept if the score reaches a threshold
-that is the same for every document and every corpus.
+Two multinomials over hashed byte n-grams are counted, one over the whole corpus and one over
+trusted texts, to which a hundredth of the corpus is mixed, so an n-gram that they lack costs no
+more than log(101). A text's score is the mean over its n-grams of the log ratio of the two, so it
+doesn't depend on length, and a text is kept if the score reaches a threshold that is the same for
+every document and every corpus.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from quillspark.llm.words import CHUNK_BYTES, Chunk, buffers, chunks, mix, place
 
 NGRAM_BYTES = 3
 BUCKETS = 1 << 16
-#: Nats per n-gram. Trusted texts lie near 0; text made of n-grams they don't have lies below -1.
-THRESHOLD = -0.3
+#: Share of the corpus in the trusted model.
+MIXED = 0.01
+#: Nats per n-gram. Trusted texts lie near 0; text with a third of n-grams they lack below -0.7.
+THRESHOLD = -0.5
 #: Trusted texts at most, taken by a hash of their doc_id; their ids go to every task.
 TRUSTED_ROWS = 50_000
 REPEAT_WORDS = 5
@@ -79,17 +82,25 @@ def _count(batches: Iterator[pa.RecordBatch], trusted, n: int) -> Iterator[pa.Re
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, n: int = NGRAM_BYTES) -> np.ndarray:
-    """The log ratio of each bucket. trusted: the doc_id of trusted documents; every text counts in the other model."""
+    """The log ratio of each bucket. trusted: the doc_id of trusted documents; every text counts in the other model. Without trusted n-grams all are 0."""
     spark = docs.sparkSession
     ids = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     ids = np.asarray(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS).toArrow()["doc_id"], dtype=np.int64)
     sent = spark.sparkContext.broadcast(ids)
     counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _count(it, sent, n), "bucket int, every bigint, target bigint")
     found = counts.groupBy("bucket").agg(F.sum("every").alias("every"), F.sum("target").alias("target")).toArrow()
-    every, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    every[np.asarray(found["bucket"])] += np.asarray(found["every"])
-    target[np.asarray(found["bucket"])] += np.asarray(found["target"])
-    return np.log(target / target.sum()) - np.log(every / every.sum())
+    every, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    every[np.asarray(found["bucket"])] = np.asarray(found["every"])
+    target[np.asarray(found["bucket"])] = np.asarray(found["target"])
+    return log_ratios(every, target)
+
+
+def log_ratios(every: np.ndarray, target: np.ndarray) -> np.ndarray:
+    if not target.sum():
+        return np.zeros(len(every))
+    p = every / every.sum()
+    q = (1 - MIXED) * target / target.sum() + MIXED * p
+    return np.log(np.divide(q, p, out=np.ones(len(p)), where=p > 0))
 
 
 def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +183,7 @@ def judge(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...] = ("doc_id"
     docs has doc_id (long) and text (string); a column of docs that is neither kept nor one of
     these is ignored, whatever its name. trusted has the doc_id of trusted documents. A null text
     counts as empty and fails the base rules; a text without n-grams scores 0; with no trusted
-    documents the trusted model is flat. An empty table gives no rows; repeated rows each keep theirs.
+    documents every text does. An empty table gives no rows; repeated rows each keep theirs.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -202,14 +213,15 @@ def brute_force(texts: list[str | None], trusted: list[bool], threshold: float =
     all_grams = [grams(t) for t in texts]
     every = Counter(x for g in all_grams for x in g)
     target = Counter(x for g, own in zip(all_grams, trusted, strict=True) if own for x in g)
-    all_n, target_n = BUCKETS + sum(every.values()), BUCKETS + sum(target.values())
+    all_n, target_n = sum(every.values()), sum(target.values())
+    ratio = {x: math.log(((1 - MIXED) * target[x] / target_n + MIXED * n / all_n) / (n / all_n)) if target_n else 0.0 for x, n in every.items()}
     out = []
     for t, g in zip(texts, all_grams, strict=True):
         w, lines = re.findall(r"[^\x20\x09-\x0D]+", t or ""), (t or "").split("\n")
         win = Counter(tuple(w[i : i + REPEAT_WORDS]) for i in range(len(w) - REPEAT_WORDS + 1))
         hit = {i + j for i in range(len(w) - REPEAT_WORDS + 1) if win[tuple(w[i : i + REPEAT_WORDS])] > 1 for j in range(REPEAT_WORDS)}
         dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
-        score = sum(math.log((1 + target[x]) / target_n) - math.log((1 + every[x]) / all_n) for x in g) / max(1, len(g))
+        score = sum(ratio[x] for x in g) / max(1, len(g))
         failed = len(w) < LEAST_WORDS or 100 * len(hit) > MOST_REPEATED_PERCENT * len(w)
         out.append((len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(hit), failed, not failed and score >= threshold))
     return out

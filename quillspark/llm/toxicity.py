@@ -31,7 +31,9 @@ CHAR_BUCKETS = 4096
 #: Texts of either class a word must be in to get a vector of its own.
 LEAST_TEXTS = 3
 WORD_SIZE, CHAR_SIZE, STATE = 6, 4, 8
-EPOCHS = 6
+#: Passes over the sample at least; more over a small one, until so many steps are made.
+EPOCHS, MOST_EPOCHS, LEAST_STEPS = 6, 24, 240
+BATCH = 128
 FOLDS = 5
 #: Windows read side by side.
 SIDE_BY_SIDE = 4096
@@ -243,15 +245,15 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
     gram_n, step = np.bincount(w.owner, minlength=len(w.kinds)), 0
     weight = np.ones(len(label), np.float32)
-    for epoch in range(EPOCHS):
+    for _ in range(min(MOST_EPOCHS, max(EPOCHS, -(-LEAST_STEPS * BATCH // (2 * len(texts)))))):
         order = np.lexsort((rank, window_text))
         last = np.append(np.flatnonzero(np.diff(window_text[order])), len(order) - 1)
         chosen = order[last]  # the highest window of each text with words
         extra = rng.integers(0, len(windows), len(chosen))
         extra = extra[label[window_text[extra]] == 0]
         chosen = rng.permutation(np.concatenate([chosen, extra]))
-        for lo in range(0, len(chosen), 128):
-            batch = chosen[lo : lo + 128]
+        for lo in range(0, len(chosen), BATCH):
+            batch = chosen[lo : lo + BATCH]
             used, local = np.unique(windows[batch], return_inverse=True)
             used = used[used < len(w.kinds)]
             local = np.where(windows[batch] == len(w.kinds), len(used), local.reshape(len(batch), -1))
