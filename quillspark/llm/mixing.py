@@ -59,17 +59,17 @@ def _uniform(*cols: str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols, F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, budget: float = BUDGET, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every document.
+def mix(docs: DataFrame, quality: DataFrame | None = None, budget: float = BUDGET, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every document, and the columns named in keep.
 
-    docs has doc_id, source and text; other columns are ignored. size is the text's number of
+    docs has doc_id, source and text; other columns are ignored, and keep has none of these names. size is the text's number of
     words, 0 for null. quality has doc_id and a positive weight; documents without one have 1, and
     several of a doc_id are averaged. copies: how often the mix holds the document; taken: its
     words in it. A source without words has target 0 and none of its documents is taken beyond
     whole epochs of nothing. A null source is a source. Rows that share doc_id are documents of
     their own that get one key. An empty table gives no rows.
     """
-    slim = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
+    slim = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), *keep)
     if quality is not None:
         rated = quality.where("weight > 0").groupBy("doc_id").agg(F.avg("weight").alias("weight"))
         slim = slim.join(rated, "doc_id", "left")
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, budget: float = BUDGE
     at_end = at_end.withColumn("more", (upto - F.col("size") / 2 <= F.col("rest")).cast("long"))
     others = out.where(~F.coalesce(here, F.lit(False))).withColumn("more", early.cast("long"))
     both = others.unionByName(at_end).withColumn("copies", F.col("epochs") + F.col("more"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

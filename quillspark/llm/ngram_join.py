@@ -372,9 +372,9 @@ def near_components(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tupl
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id names the component. Repeated rows of it become one."""
+    """docs with one document of each group: the one whose doc_id names the component; of its repeated rows one. Rows with a null doc_id stay."""
     groups = near_components(docs, size, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else docs
+    return docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op4(docs: DataFrame) -> DataFrame:

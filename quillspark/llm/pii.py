@@ -121,18 +121,19 @@ def _context(x: Column) -> Column:
     return F.array_compact(F.array(before, around))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the arrays of base_spans and found, an array of the spans the method adds, of every document.
+def find(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, the arrays of base_spans and found, an array of the spans the method adds, of every document; if whole, its columns as doc.
 
-    docs has doc_id and text; other columns are ignored. Null texts count as empty. Repeated rows
+    docs has doc_id and text; other columns don't count. Null texts count as empty. Repeated rows
     each keep theirs and count once as evidence. An empty table gives no rows.
     """
-    read = base_spans(docs.select("doc_id", "text"))
+    more = [F.struct(*docs.columns).alias("doc")] if whole else []
+    read = base_spans(docs.select("doc_id", "text", *more))
     ids, gaps = _matches("text", IDENTIFIER, None)
     read = read.withColumns({"id_found": ids, "id_gaps": gaps}).withColumn("id_places", _places("id"))
     read = read.withColumn("instances", _instances(read))
     read = read.withColumn("instances", F.transform("instances", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["base"].alias("base"), x["seed"].alias("seed"), _context(x).alias("patterns"))))
-    rows = Written(read.select(F.monotonically_increasing_id().alias("row"), "doc_id", *BASE, "instances"), "spans").df
+    rows = Written(read.select(F.monotonically_increasing_id().alias("row"), "doc_id", *BASE, "instances", *(["doc"] if whole else [])), "spans").df
 
     each = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")
     edges = each.select("value", "seed", F.explode("patterns").alias("pattern"))
@@ -151,7 +152,8 @@ def find(docs: DataFrame) -> DataFrame:
     new = new.unionByName(each.where("NOT base AND seed").select("row", "start", "end", "value"))
     new = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("found"))
     out = rows.join(new, "row", "left")
-    return out.select("doc_id", *BASE, F.coalesce("found", F.array().cast("array<struct<start:int,end:int,value:string>>")).alias("found"))
+    found = F.coalesce("found", F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return out.select("doc_id", *BASE, found.alias("found"), *(["doc"] if whole else []))
 
 
 def _written(kind: str, column: str) -> Column:
@@ -172,19 +174,19 @@ def op8(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of a text replaced by its kind in angle brackets, and n_chars, if there, renewed.
 
-    docs has distinct, non-null doc_id. Of overlapping spans the earlier and longer stays.
+    Of overlapping spans the earlier and longer stays. Null texts stay null; rows may repeat and
+    doc_id may be null.
     """
-    found = find(docs)
+    found = find(docs, whole=True)
     tag = lambda kind: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(f"<{kind.upper()}>").alias("tag"))
     spans = F.array_sort(F.concat(*(F.transform(k, tag(k)) for k in BASE), F.transform("found", tag("id"))))
-    spans = found.select("doc_id", spans.alias("_spans")).where(F.size("_spans") > 0)
-    out = docs.join(spans, "doc_id", "left")
     text = F.expr(
-        """CASE WHEN _spans IS NULL THEN text ELSE aggregate(_spans, named_struct('at', 0, 'out', ''),
-        (s, x) -> CASE WHEN x.start < s.at THEN s ELSE named_struct('at', -x.back, 'out', concat(s.out, substring(text, s.at + 1, x.start - s.at), x.tag)) END,
-        s -> concat(s.out, substring(text, s.at + 1))) END"""
+        """CASE WHEN size(spans) = 0 THEN doc.text ELSE aggregate(spans, named_struct('at', 0, 'out', ''),
+        (s, x) -> CASE WHEN x.start < s.at THEN s ELSE named_struct('at', -x.back, 'out', concat(s.out, substring(doc.text, s.at + 1, x.start - s.at), x.tag)) END,
+        s -> concat(s.out, substring(doc.text, s.at + 1))) END"""
     )
-    out = out.withColumn("text", text).drop("_spans")
+    out = found.select("doc", spans.alias("spans")).select("doc", text.alias("new"))
+    renewed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        renewed["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(renewed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

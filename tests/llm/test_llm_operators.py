@@ -427,6 +427,8 @@ def test_redact(spark, empty):
     docs = spark.createDataFrame([(1, "é mail a@b.co now 10.0.0.1", "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 5)], DOCS)
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}
     assert got == {1: ("é mail <EMAIL> now <IP>", 23), 2: (None, None), 3: ("clean", 5)}
+    twice = pii.redact(docs.unionByName(docs).withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(r.text for r in twice.collect() if r.text) == sorted(2 * ["clean", "é mail <EMAIL> now <IP>"])
     assert pii.op8(empty).count() == 0
 
 
