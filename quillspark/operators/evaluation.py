@@ -155,3 +155,40 @@ def near_duplicate_groups(cases: DataFrame, keys: list[str], limit: int) -> Data
 def case_numbers(cases: DataFrame, by: list[str], order: str) -> DataFrame:
     """Cases with their number within a group, from 1."""
     return cases.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+
+
+def late_cases(results: DataFrame, cases: DataFrame, rate: int = 16_000, slack_ms: float = 50.0) -> DataFrame:
+    """Checked detections with whether they are late: more than the slack after the end of speech. Rows with a null on either side aren't checked."""
+    joined = results.join(cases, "case_id").where("speech_end_ms IS NOT NULL AND detection_sample IS NOT NULL")
+    at = F.col("detection_sample") / rate * 1000.0
+    return joined.select("case_id", (at > F.col("speech_end_ms") + slack_ms).alias("late"))
+
+
+def latency_report(runs: DataFrame, by: str, repetition: str, value: str, warm_ups: int) -> DataFrame:
+    """Middle and 95th percentile by kind without the first repetitions."""
+    return runs.where(F.col(repetition) > warm_ups).groupBy(by).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
+
+
+def held_out_clips(clips: DataFrame, label: str, clip: str) -> DataFrame:
+    """clips with the last of each label as test, if the label has two or more."""
+    last = clips.groupBy(label).agg(F.max(clip).alias("_last"), F.count("*").alias("_n"))
+    return clips.join(last, label).withColumn("is_test", (F.col(clip) == F.col("_last")) & (F.col("_n") >= 2)).drop("_last", "_n")
+
+
+def last_threshold(log: DataFrame, by: str, note: Column, order: str, value: str, default: float = 0.5) -> DataFrame:
+    """The value of the last matching entry, else the default."""
+    return log.groupBy(by).agg(F.coalesce(F.max_by(value, F.when(note, F.col(order))), F.lit(default)).alias("threshold"))
+
+
+def changes(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Rows whose value differs from the row before it."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") != F.col(value)))
+
+
+def composition_faults(cases: DataFrame, by: str, wanted: DataFrame) -> DataFrame:
+    """Categories whose share of all cases is outside [low, high], or that have none (A21). wanted has the category, low and high."""
+    total = cases.agg(F.count("*").alias("total"))
+    counts = cases.groupBy(by).agg(F.count("*").alias("n"))
+    joined = wanted.join(counts, by, "left").crossJoin(F.broadcast(total)).withColumn("share", F.coalesce("n", F.lit(0)) / F.col("total"))
+    return joined.where(F.col("n").isNull() | (F.col("share") < F.col("low")) | (F.col("share") > F.col("high"))).select(by, "n", "share")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import numbers as N
 from quillspark.functions import text as X
-from quillspark.operators import corpus, detection, evaluation, lexical, traces
+from quillspark.operators import contracts, corpus, detection, evaluation, lexical, traces
 from quillspark.plans import lenses
 from quillspark.plans.lenses import DETECT, HALF_HOUR, HOUR, MINE, table
 
@@ -653,3 +653,104 @@ def threshold_bins(spark, sf_dir):
     v = F.col("value")
     which = F.when((v >= 0) & (v < 25), 0).when((v >= 25) & (v < 75), 1).when((v >= 75) & (v < 150), 2).when(v >= 150, 3)
     return table(spark, sf_dir, "events").where(which.isNotNull()).groupBy(which.alias("bin")).agg(F.count("*").alias("n"), F.avg((v >= 150).cast("int")).alias("hit_rate"))
+
+
+# -- calls and catalogues ---------------------------------------------------------------------
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'unknown_tool' WHEN l_quantity > 45 THEN 'unexpected_argument'
+WHEN l_returnflag = 'N' AND l_quantity < 5 THEN 'missing_argument' WHEN l_quantity >= 5 AND l_linestatus NOT IN ('O') AND l_returnflag = 'N' THEN 'invalid_value' END AS violation FROM lineitem"""
+)
+def contract_check(spark, sf_dir):
+    lines, none = table(spark, sf_dir, "lineitem"), F.create_map().cast("map<string,string>")
+    q = F.col("l_quantity")
+    args = F.map_concat(F.create_map(F.lit("level"), q.cast("string")), F.when(q >= 5, F.create_map(F.lit("mode"), F.col("l_linestatus"))).otherwise(none), F.when(q > 45, F.create_map(F.lit("extra"), F.lit("1"))).otherwise(none))
+    calls = lines.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("tool"), args.alias("args"))
+    tools = spark.createDataFrame([("A", ["level", "mode"], ["level"], {}), ("N", ["level", "mode"], ["level", "mode"], {"mode": ["O"]})], "tool string, allowed array<string>, required array<string>, choices map<string,array<string>>")
+    return contracts.first_violation(calls, tools).select("l_orderkey", "l_linenumber", "violation")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN 'set_' || p_size END AS name, CASE WHEN p_size % 7 <> 0 THEN 'name,size,shift' END AS keys, CASE WHEN p_size % 7 <> 0 THEN p_name || ',' || p_size || ',-' || p_partkey END AS vals FROM part")
+def call_parse(spark, sf_dir):
+    text = F.concat(F.lit("set_"), F.col("p_size").cast("string"), F.lit("(name='"), F.col("p_name"), F.lit("', size="), F.col("p_size").cast("string"), F.lit(", shift=-"), F.col("p_partkey").cast("string"), F.lit(")"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 7 == 0, F.col("p_name")).otherwise(text).alias("t"))
+    call = contracts.parse_call(F.col("t"))
+    return part.select("p_partkey", call["name"].alias("name"), F.array_join(call["keys"], ",").alias("keys"), F.array_join(call["values"], ",").alias("vals"))
+
+
+@query("""SELECT p_partkey, '{"brand":"' || p_brand || '","name":"' || p_name || '","size":"' || p_size || '"}' AS json FROM part""")
+def canonical_json(spark, sf_dir):
+    fields = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", contracts.canonical_json(fields).alias("json"))
+
+
+@query("SELECT p_brand, string_agg(line, chr(10) ORDER BY line) AS lines FROM (SELECT DISTINCT p_brand, p_name || CASE WHEN p_type = p_name THEN '' ELSE ', ' || p_type END AS line FROM part WHERE p_size NOT IN (1, 2)) GROUP BY p_brand")
+def exposed_entities(spark, sf_dir):
+    entities = table(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("name"), F.array("p_type").alias("aliases"), F.col("p_size").cast("string").alias("domain"))
+    return contracts.exposed(entities, ["1", "2"], "p_brand")
+
+
+@query(
+    """WITH o(tool, offer) AS (VALUES ('a', 'always'), ('b', 'domain:BUILDING'), ('c', 'domains:MACHINERY,FURNITURE'), ('d', 'todo')),
+h AS (SELECT c_nationkey, list(DISTINCT c_mktsegment) AS ds FROM customer WHERE c_custkey % 9 = 0 GROUP BY c_nationkey)
+SELECT c_nationkey, tool FROM h, o WHERE offer = 'always' OR (offer = 'domain:BUILDING' AND list_contains(ds, 'BUILDING')) OR (offer LIKE 'domains:%' AND (list_contains(ds, 'MACHINERY') OR list_contains(ds, 'FURNITURE')))"""
+)
+def offered_tools(spark, sf_dir):
+    homes = table(spark, sf_dir, "customer").where("c_custkey % 9 = 0").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("domains"))
+    tools = [("a", "always"), ("b", "domain:BUILDING"), ("c", "domains:MACHINERY,FURNITURE"), ("d", "todo")]
+    each = homes.withColumn("t", F.explode(F.array(*(F.struct(F.lit(t).alias("tool"), F.lit(o).alias("offer")) for t, o in tools))))
+    return each.where(contracts.offered(F.col("t.offer"), F.col("domains"))).select("c_nationkey", F.col("t.tool").alias("tool"))
+
+
+@query(
+    f"""WITH t AS (SELECT unnest(['Turn on the {{name}}', 'please turn on the {{name}}', 'Is the {{name}} on for me?']) AS template),
+m AS (SELECT p_brand, p_partkey, template, replace(template, '{{name}}', p_name) AS utterance FROM part, t), n AS (SELECT *, {_NORMAL.replace('replace(text', 'replace(utterance')} AS plain FROM m),
+f AS (SELECT p_brand, plain, arg_min(utterance, (p_partkey, template)) AS utterance, arg_min(p_partkey, (p_partkey, template)) AS p_partkey FROM n GROUP BY ALL)
+SELECT p_brand, p_partkey, utterance FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('v1|' || plain)) AS place FROM f WHERE plain NOT IN (SELECT {_NORMAL} FROM benchmark)) WHERE place <= 20"""
+)
+def generated_cases(spark, sf_dir):
+    entities = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_name").alias("name"))
+    templates = ["Turn on the {name}", "please turn on the {name}", "Is the {name} on for me?"]
+    return contracts.generate_cases(entities, templates, table(spark, sf_dir, "benchmark"), "p_brand", "p_partkey", "v1", 20)
+
+
+# -- more of evaluation -----------------------------------------------------------------------
+
+
+@query(f"SELECT event_id AS case_id, score * 16 / 16000 * 1000.0 > 40 + 50.0 AS late FROM {SCORES} WHERE event_type <> 'view'")
+def voice_timing(spark, sf_dir):
+    scores = lenses.scores(spark, sf_dir)
+    results = scores.select(F.col("event_id").alias("case_id"), (F.col("score") * 16).alias("detection_sample"))
+    cases = scores.select(F.col("event_id").alias("case_id"), F.when(F.col("event_type") != "view", 40.0).alias("speech_end_ms"))
+    return evaluation.late_cases(results, cases)
+
+
+@query(f"SELECT event_type, count(*) AS n, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.95) AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY idx) AS rep FROM {SCORES}) WHERE rep > 3 GROUP BY event_type")
+def latency_report(spark, sf_dir):
+    runs = evaluation.case_numbers(lenses.scores(spark, sf_dir), ["stream"], "idx")
+    return evaluation.latency_report(runs, "event_type", "number", "score", 3)
+
+
+@query("SELECT s_nationkey, s_suppkey, s_suppkey = max(s_suppkey) OVER (PARTITION BY s_nationkey) AND count(*) OVER (PARTITION BY s_nationkey) >= 2 AS is_test FROM supplier")
+def held_out_clips(spark, sf_dir):
+    return evaluation.held_out_clips(table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey")
+
+
+@query("SELECT user_id, coalesce(arg_max(value, event_id) FILTER (WHERE event_type = 'purchase' AND value > 100), 0.5) AS threshold FROM events GROUP BY user_id")
+def last_threshold(spark, sf_dir):
+    return evaluation.last_threshold(table(spark, sf_dir, "events"), "user_id", (F.col("event_type") == "purchase") & (F.col("value") > 100), "event_id", "value")
+
+
+@query(f"SELECT stream, event_id, before, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY stream ORDER BY idx, event_id) AS before FROM {SCORES}) WHERE before IS NOT NULL AND before <> event_type")
+def state_changes(spark, sf_dir):
+    return evaluation.changes(lenses.scores(spark, sf_dir), "stream", ["idx", "event_id"], "event_type").select("stream", "event_id", "before", "event_type")
+
+
+@query(
+    """WITH w(c_mktsegment, low, high) AS (VALUES ('BUILDING', 0.0, 0.15), ('MACHINERY', 0.1, 0.9), ('FURNITURE', 0.5, 0.9), ('NONE', 0.0, 1.0)), c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)
+SELECT c_mktsegment, n, share FROM (SELECT w.c_mktsegment, n, coalesce(n, 0) / (SELECT count(*) FROM customer) AS share, low, high FROM w LEFT JOIN c USING (c_mktsegment)) WHERE n IS NULL OR share < low OR share > high"""
+)
+def composition_faults(spark, sf_dir):
+    wanted = spark.createDataFrame([("BUILDING", 0.0, 0.15), ("MACHINERY", 0.1, 0.9), ("FURNITURE", 0.5, 0.9), ("NONE", 0.0, 1.0)], "c_mktsegment string, low double, high double")
+    return evaluation.composition_faults(table(spark, sf_dir, "customer"), "c_mktsegment", wanted)

@@ -199,3 +199,18 @@ def test_range_joins_use_no_nested_loop(spark):
     spans = spark.range(10).selectExpr("id % 2 AS k", "id AS start", "id + 1 AS end")
     plan = detection.outside_intervals(points, spans, "k", "idx", 4)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_contracts(spark):
+    from quillspark.operators import contracts
+
+    tools = spark.createDataFrame([("t", ["a", "b"], ["a"], {"b": ["1", "2"]})], "tool string, allowed array<string>, required array<string>, choices map<string,array<string>>")
+    calls = [(1, "t", {"a": "x"}), (2, "u", {}), (3, "t", {"c": "1"}), (4, "t", {"b": "1"}), (5, "t", {"a": "x", "b": "3"}), (6, "t", {"a": "x", "b": "2"})]
+    got = contracts.first_violation(spark.createDataFrame(calls, "id int, tool string, args map<string,string>"), tools)
+    assert dict(rows(got, "id", "violation")) == {1: None, 2: "unknown_tool", 3: "unexpected_argument", 4: "missing_argument", 5: "invalid_value", 6: None}
+    texts = spark.createDataFrame([("f(a='x, y', n=-2)",), ("f()",), ("say f(a=1) now",), (None,)], "t string")
+    call = contracts.parse_call(F.col("t"))
+    assert [tuple(r) for r in texts.select(*call.values()).collect()] == [("f", ["a", "n"], ["x, y", "-2"]), ("f", [], []), (None, None, None), (None, None, None)]
+    batches = [([("1", "f"), ("2", "f")],), ([("1", "f"), ("1", "g")],), ([("", "f")],), ([],)]
+    df = spark.createDataFrame(batches, "b array<struct<id:string,name:string>>")
+    assert [r[0] for r in df.select(contracts.well_formed(F.col("b"))).collect()] == [True, False, False, True]
