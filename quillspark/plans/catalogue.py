@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import numbers as N
 from quillspark.functions import text as X
-from quillspark.operators import contracts, corpus, detection, evaluation, lexical, traces
+from quillspark.operators import contracts, corpus, detection, evaluation, lexical, metrics, traces
 from quillspark.plans import lenses
 from quillspark.plans.lenses import DETECT, HALF_HOUR, HOUR, MINE, table
 
@@ -754,3 +754,52 @@ SELECT c_mktsegment, n, share FROM (SELECT w.c_mktsegment, n, coalesce(n, 0) / (
 def composition_faults(spark, sf_dir):
     wanted = spark.createDataFrame([("BUILDING", 0.0, 0.15), ("MACHINERY", 0.1, 0.9), ("FURNITURE", 0.5, 0.9), ("NONE", 0.0, 1.0)], "c_mktsegment string, low double, high double")
     return evaluation.composition_faults(table(spark, sf_dir, "customer"), "c_mktsegment", wanted)
+
+
+# -- measures of detectors --------------------------------------------------------------------
+
+
+@query(
+    f"""WITH s AS (SELECT stream, stream % 7 AS g, count(*) FILTER (WHERE score >= {DETECT}) AS n, (max(idx) - min(idx)) / 1e6 AS seconds FROM {SCORES} GROUP BY stream)
+SELECT g, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n, sum(seconds) AS seconds, sum(n) / (sum(seconds) / 3600.0) AS per_hour FROM s GROUP BY g"""
+)
+def pooled_rate(spark, sf_dir):
+    sessions = lenses.scores(spark, sf_dir).groupBy("stream").agg(F.count_if(F.col("score") >= DETECT).alias("n"), ((F.max("idx") - F.min("idx")) / 1e6).alias("seconds"))
+    return metrics.pooled_rate(sessions.withColumn("g", F.col("stream") % 7), ["g"], "n", "seconds")
+
+
+@query(f"SELECT event_type, avg(ok::INT) AS recall, count(ok) AS n_checked FROM (SELECT event_type, CASE WHEN stream % 5 <> 0 THEN score >= 50 END AS ok FROM {SCORES}) GROUP BY event_type")
+def category_recall(spark, sf_dir):
+    results = lenses.scores(spark, sf_dir).withColumn("ok", F.when(F.col("stream") % 5 != 0, F.col("score") >= 50))
+    return metrics.recall(results, "event_type", "ok")
+
+
+@query(f"SELECT stream, event_type, max(score) AS best FROM {SCORES} GROUP BY ALL")
+def best_of_clips(spark, sf_dir):
+    return metrics.best_of_clips(lenses.scores(spark, sf_dir), ["stream", "event_type"], "score")
+
+
+@query(f"SELECT sum(share) AS expected, count(*) AS n_clips FROM (SELECT stream, avg((score >= {MINE})::INT) AS share FROM {SCORES} GROUP BY stream)")
+def expected_hits(spark, sf_dir):
+    return metrics.expected_hits(lenses.scores(spark, sf_dir), "stream", "score", MINE)
+
+
+@query(
+    f"""WITH c AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY idx) AS cut, score, 1.0 + stream % 3 AS base FROM {SCORES}),
+m AS (SELECT stream, min(cut) FILTER (WHERE score < 0.5 * base) AS miss FROM c GROUP BY stream),
+l AS (SELECT c.stream, max(cut) AS lag FROM c JOIN m USING (stream) WHERE score >= 0.5 * base AND (miss IS NULL OR cut < miss) GROUP BY c.stream)
+SELECT max(lag) AS low, min(lag) + 100 AS high, count(*) AS n_clips, max(lag) <= min(lag) + 100 AS feasible FROM l"""
+)
+def lag_window(spark, sf_dir):
+    cuts = evaluation.case_numbers(lenses.scores(spark, sf_dir), ["stream"], "idx").select("stream", F.col("number").cast("long").alias("cut"), "score", (F.col("stream") % 3 + 1.0).alias("base"))
+    return metrics.lag_window(cuts, "stream", "cut", "score", "base")
+
+
+@query(f"SELECT stream, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, max(score) OVER (PARTITION BY stream) AS top FROM {SCORES}) WHERE score >= top - 60 GROUP BY stream")
+def active_frames(spark, sf_dir):
+    return metrics.active_frames(lenses.scores(spark, sf_dir), "stream", "event_id", "score", 60.0)
+
+
+@query(f"SELECT stream, event_id FROM (SELECT *, lag(event_type = 'view') OVER (PARTITION BY stream ORDER BY idx, event_id) AS held, lag(idx) OVER (PARTITION BY stream ORDER BY idx, event_id) AS came FROM {SCORES}) WHERE held AND idx - came <= 7200000000")
+def held_clarifications(spark, sf_dir):
+    return metrics.within_hold(lenses.scores(spark, sf_dir), "stream", "idx", ["idx", "event_id"], F.col("event_type") == "view", 7200).select("stream", "event_id")
