@@ -17,10 +17,10 @@ all tokens, under which a shared passage fills no more of the prefixes than of t
    share many tokens, mostly in one alone.
 3. Every entity is tested against its leaders, so pairs grow with groups' members only. Pairs
    that pass the filters of all orders are verified on whole sets; links give components.
-4. Within a group, members outside the leader's component are compared with all members of other
-   components, the leader's own not among each other. Groups are cut into blocks, and each pair
-   of blocks is compared in numpy: filters first, then whole sets of those that have a partner.
-   No pair but a link leaves a block, and of links only those that join what isn't joined.
+4. Within a group, members of different components are compared, one order's filter after the
+   other. Groups are cut into blocks, and each pair of blocks is compared in numpy. Of the pairs
+   that pass, a block emits a spanning forest; its trees are the groups of what follows, so that
+   an entity is in one group from then on. Whole sets are compared last, in the same way.
 
 Two documents are in one component exactly if links join them; links within a component that
 others already connect need no test. Sets are of 64-bit hashes.
@@ -185,21 +185,22 @@ def _links(pairs: DataFrame, filters: DataFrame, docs: DataFrame, size: int, sim
     return links
 
 
-def _apart(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (leader, entity, component, main) of groups with members in several components; main: in the leader's."""
-    of = lambda name, column: known.selectExpr(f"node AS {name}", f"component AS {column}")
-    rows = groups.join(of("entity", "c"), "entity", "left").join(of("leader", "lc"), "leader", "left")
-    rows = rows.select("leader", "entity", F.coalesce("c", "entity").alias("component"), F.coalesce("lc", "leader").alias("lc"))
-    rows = Written(rows.selectExpr("leader", "entity", "component", "component = lc AS main"), "members").df
-    mixed = rows.where("NOT main").groupBy("leader").agg(F.count("*").alias("k")).select("leader")
-    return rows.join(mixed, "leader")
+def _apart(groups: DataFrame, known: DataFrame) -> Written:
+    """Rows (leader, entity, component, main) of groups with members in several components; main: in the one most of them are in."""
+    rows = groups.join(known.selectExpr("node AS entity", "component"), "entity", "left")
+    rows = Written(rows.select("leader", "entity", F.coalesce("component", "entity").alias("component")), "members")
+    sizes = rows.df.groupBy("leader", "component").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("leader").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("most"))
+    out = Written(rows.df.join(sizes.where("parts > 1"), "leader").selectExpr("leader", "entity", "component", "component = most AS main"), "apart")
+    rows.drop()
+    return out
 
 
 _KEY = ("leader", "left", "right")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """rows once for each pair of blocks of their group that they take part in; blocks of the leader's component don't meet each other."""
+    """rows once for each pair of blocks of their group that they take part in; blocks of its main component don't meet each other."""
     sizes = rows.groupBy("leader").agg(F.count_if(~F.col("main")).alias("k"), F.count_if("main").alias("m"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     rows = rows.join(sizes.select("leader", blocks("k").alias("k"), blocks("m").alias("m")), "leader").where("k > 0")
@@ -244,37 +245,32 @@ def _sides(block: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(block == left), np.flatnonzero(block == right)
 
 
-def _with_partner(rows: pa.Table, cuts: np.ndarray, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+def _candidates(rows: pa.Table, cuts: np.ndarray, column: str, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that pass the filter of one order: as many as connect whatever all of them connect."""
     t, u = similarity
     entity, component, block = (np.asarray(rows[k]) for k in ("entity", "component", "block"))
-    left, right, leader, n = (np.asarray(rows[k]) for k in ("left", "right", "leader", "n"))
-    raw = [rows[k].to_pylist() for k in FILTERS]
-    out = {"leader": [], "entity": []}
+    left, right, n, raw = np.asarray(rows["left"]), np.asarray(rows["right"]), np.asarray(rows["n"]), rows[column].to_pylist()
+    a, b = [], []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if hi - lo < 2 or (component[lo:hi] == component[lo]).all():
-            continue
         first, second = _sides(block[lo:hi], left[lo], right[lo])
-        if not len(first) or not len(second):
+        if not len(first) or not len(second) or (component[lo:hi] == component[lo]).all():
             continue
-        m, c = n[lo:hi], component[lo:hi]
-        kept = [[np.unique(np.frombuffer(x, np.uint16)) for x in f[lo:hi]] for f in raw]
-        slack = [np.array([len(x) // 2 for x in f[lo:hi]]) - np.array([len(x) for x in k]) for f, k in zip(raw, kept, strict=True)]
-        sorted_ = [_sorted_tokens([k[j] for j in second]) for k in kept]
-        has = np.zeros(hi - lo, bool)
+        own, m, c, label = entity[lo:hi], n[lo:hi], component[lo:hi], np.arange(hi - lo)
+        kept = [np.unique(np.frombuffer(x, np.uint16)) for x in raw[lo:hi]]
+        slack = np.array([len(x) // 2 - len(k) for x, k in zip(raw[lo:hi], kept, strict=True)])
+        tokens, owner = _sorted_tokens([kept[j] for j in second])
         for i in first:
             small, large = np.minimum(m[i], m[second]), np.maximum(m[i], m[second])
-            ok = (c[second] != c[i]) & (u * small >= t * large)
+            ok = (label[second] != label[i]) & (c[second] != c[i]) & (u * small >= t * large)
             if ok.any():
                 need = np.maximum(1, -(-t * (m[i] + m[second]) // (t + u)) - -(-t * large // u) + 1)
-                for k, s, (tokens, owner) in zip(kept, slack, sorted_, strict=True):
-                    ok &= _overlaps(k[i], tokens, owner, len(second)) + s[i] + s[second] >= need
-                if ok.any():
-                    has[i] = True
-                    has[second[ok]] = True
-        out["leader"].append(leader[lo:hi][has])
-        out["entity"].append(entity[lo:hi][has])
-    if out["leader"]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
+                near = second[ok & (_overlaps(kept[i], tokens, owner, len(second)) + slack[i] + slack[second] >= need)]
+                labels, at = np.unique(label[near], return_index=True)
+                a.append(np.repeat(own[i], len(at)))
+                b.append(own[near[at]])
+                label[np.isin(label, labels)] = label[i]
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
 
 
 def _joining(rows: pa.Table, cuts: np.ndarray, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -304,22 +300,33 @@ def _joining(rows: pa.Table, cuts: np.ndarray, similarity: tuple[int, int]) -> I
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
 
 
-def _block_links(rows: DataFrame, filters: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> Written:
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY)
+
+
+def _block_links(groups: DataFrame, known: DataFrame, filters: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> Written:
     """Links between members of a group in different components."""
-    together = lambda df: df.repartition(*_KEY).sortWithinPartitions(*_KEY)
-    filtered = together(_blocks(rows).join(filters, "entity"))
-    some = filtered.mapInArrow(lambda it: _by_group(it, lambda r, c: _with_partner(r, c, similarity)), "leader bigint, entity bigint")
-    some = Written(some.distinct(), "partners")
-    release(docs.sparkSession)
-    ends = Written(some.df.select("entity").distinct(), "ends")
-    texts = docs.join(ends.df, docs["doc_id"] == F.col("entity")).select("entity", "text")
+    spark = docs.sparkSession
+    rows = _apart(groups, known)
+    for column in FILTERS:
+        blocks = _together(_blocks(rows.df).join(filters.select("entity", "n", column), "entity"))
+        work = lambda it, column=column: _by_group(it, lambda r, c: _candidates(r, c, column, similarity))
+        edges = Written(blocks.mapInArrow(work, "a bigint, b bigint").distinct(), "candidates")
+        release(spark)
+        clusters = components(edges.df)
+        for x in (rows, edges):
+            x.drop()
+        rows = _apart(clusters.df.selectExpr("component AS leader", "node AS entity"), known)
+        clusters.drop()
+        release(spark)
+    texts = docs.join(rows.df.select("entity").distinct(), docs["doc_id"] == F.col("entity")).select("entity", "text")
     sets = Written(texts.mapInArrow(lambda it: _records(it, size), "entity bigint, data binary, n bigint"), "sets")
-    release(docs.sparkSession)
-    whole = together(_blocks(rows.join(some.df, ["leader", "entity"])).join(sets.df.drop("n"), "entity"))
+    release(spark)
+    whole = _together(_blocks(rows.df).join(sets.df.drop("n"), "entity"))
     links = Written(whole.mapInArrow(lambda it: _by_group(it, lambda r, c: _joining(r, c, similarity)), "a bigint, b bigint").distinct(), "links")
-    for x in (some, ends, sets):
+    for x in (rows, sets):
         x.drop()
-    release(docs.sparkSession)
+    release(spark)
     return links
 
 
@@ -358,8 +365,7 @@ def near_components(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tupl
     first = _links(pairs, filters.df, docs, size, similarity)
     joined = first.df.unionByName(copies.df)
     known = components(joined)
-    rest = _apart(groups.df, known.df)
-    links = _block_links(rest, filters.df, docs, size, similarity)
+    links = _block_links(groups.df, known.df, filters.df, docs, size, similarity)
     if links.df.isEmpty():
         found = known
     else:
