@@ -591,10 +591,10 @@ _PLAIN = "substr(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), 1, 60
 
 @query(f"SELECT doc_id, CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(a, b) / length(a) END AS cer FROM (SELECT doc_id, {_PLAIN.format('d.text')} AS a, {_PLAIN.format('b.text')} AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)")
 def cer(spark, sf_dir):
-    plain = lambda c: F.substring(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), 1, 60)
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other"))
     pairs = docs.join(bench, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", plain("text").alias("a"), plain("other").alias("b"))
-    return pairs.select("doc_id", X.character_error_rate(F.col("a"), F.col("b")).alias("cer"))
+    return evaluation.error_rates(pairs, "doc_id", "a", "b", "cer")
 
 
 @query()
