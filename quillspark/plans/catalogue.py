@@ -600,8 +600,8 @@ def cer(spark, sf_dir):
 @query()
 def wer(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other"))
-    pairs = docs.join(bench, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", F.slice(X.tokens(F.col("text")), 1, 40).alias("a"), F.slice(X.tokens(F.col("other")), 1, 40).alias("b"))
-    return pairs.select("doc_id", X.word_error_rate(F.col("a"), F.col("b")).alias("wer"))
+    pairs = docs.join(bench, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", X.tokens(F.col("text")).alias("a"), X.tokens(F.col("other")).alias("b"))
+    return evaluation.error_rates(pairs, "doc_id", "a", "b", "wer")
 
 
 @query(

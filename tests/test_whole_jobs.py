@@ -44,6 +44,14 @@ def test_cer_of_whole_texts(spark, texts):
     assert got == pytest.approx({i: rate(plain(t), plain(bench[i % 40])) for i, t in docs.items()})
 
 
+def test_wer_of_whole_texts(spark, texts):
+    docs, bench, path = texts
+    tokens = lambda t: re.findall("[a-z0-9]+", t.lower())
+    got = {r.doc_id: r.wer for r in catalogue.QUERIES["wer"](spark, path).collect()}
+    assert got == pytest.approx({i: rate(tokens(t), tokens(bench[i % 40])) for i, t in docs.items()})
+    assert got[42] == pytest.approx(edit(tokens(docs[42]), tokens(bench[2])) / len(tokens(docs[42]))) and got[42] > 0
+
+
 def test_edit_distance():
     rng = random.Random(5)
     for most in [4] * 2000 + [70] * 60:
