@@ -3,9 +3,10 @@
 Base kinds are found by regular expressions and checks. Their matches, and long hexadecimal keys,
 are the seeds of the method: every seed, and every other word that looks like an identifier, is
 an instance with two patterns, its two words before, and its words before and after. Seeds score
-1. A pattern scores the mean of its distinct instances' scores, drawn to 0 by one more; another
-instance scores as its best pattern. A few rounds of joins spread the scores over the graph;
-identifiers in patterns of high score with several seeds are then spans as well.
+1. A pattern scores the mean of its known distinct instances' scores, drawn to 0 by one more and by
+a twentieth for each unknown one. A pattern of high score with several known instances is trusted;
+what it matches is known from then on, and scores as the best pattern that found it. Rounds of
+joins go on until nothing new is found; identifiers in trusted patterns are then spans as well.
 
 All of it is DataFrame functions: no text leaves the JVM, none is shuffled.
 """
@@ -35,9 +36,13 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A word of letters, digits, hyphens and underscores with two digits and six characters at least.
 IDENTIFIER = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9][A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 KEY = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"
-ROUNDS = 3
 LEAST_SCORE = 0.75
-LEAST_SEEDS = 3
+LEAST_SUPPORT = 3
+#: What an identifier not found so far counts against a pattern, where a seed counts 1 for it.
+#: With none, seeds / (seeds + 1) would be the trust of any pattern, whatever else it matches;
+#: so a pattern with many seeds is trusted up to 6.7 times as many others.
+UNSEEN = 0.05
+MOST_ROUNDS = 60
 CONTEXT = 64
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -121,6 +126,30 @@ def _context(x: Column) -> Column:
     return F.array_compact(F.array(before, around))
 
 
+def _trusted(edges: DataFrame) -> DataFrame:
+    """The trusted patterns of edges (pattern, value, seed).
+
+    A value's score is the best trust among the patterns of the round that first found it, and
+    stays. All that counts as support scores LEAST_SCORE or more, so a trusted pattern stays
+    trusted, and a round that finds nothing new is the fixed point.
+    """
+    scores = Written(edges.select("value", F.lit(1.0).alias("score")).limit(0), "scores")
+    for _ in range(MOST_ROUNDS):
+        known = edges.join(scores.df, "value", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("score")))
+        support = F.count("score")
+        trust = F.round(F.sum("score") / (support + UNSEEN * (F.count("*") - support) + 1), 9)
+        patterns = Written(known.groupBy("pattern").agg(support.alias("support"), trust.alias("trust")).where((F.col("support") >= LEAST_SUPPORT) & (F.col("trust") >= LEAST_SCORE)), "patterns")
+        found = edges.where("NOT seed").join(patterns.df, "pattern").join(scores.df, "value", "left_anti").groupBy("value").agg(F.max("trust").alias("score"))
+        new = Written(found, "scores")
+        if new.df.isEmpty():
+            return patterns.df
+        both = Written(scores.df.unionByName(new.df), "scores")
+        for x in (patterns, new, scores):
+            x.drop()
+        scores = both
+    raise RuntimeError(f"patterns did not settle in {MOST_ROUNDS} rounds")
+
+
 def find(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, the arrays of base_spans and found, an array of the spans the method adds, of every document; if whole, its columns as doc.
 
@@ -138,15 +167,7 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
     each = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")
     edges = each.select("value", "seed", F.explode("patterns").alias("pattern"))
     edges = Written(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges").df
-    scores = edges.withColumn("score", F.col("seed").cast("double"))
-    for number in range(ROUNDS):
-        patterns = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        if number == ROUNDS - 1:
-            break
-        patterns = patterns.where(F.col("seeds") >= LEAST_SEEDS)
-        values = edges.where("NOT seed").join(patterns.select("pattern", "trust"), "pattern").groupBy("value").agg(F.max("trust").alias("best"))
-        scores = edges.join(values, "value", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best")
-    trusted = Written(patterns.where((F.col("trust") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern"), "patterns").df
+    trusted = _trusted(edges).select("pattern")
     open_ = each.where("NOT base AND NOT seed").select("row", "start", "end", "value", F.explode("patterns").alias("pattern"))
     new = open_.join(trusted, "pattern").select("row", "start", "end", "value").distinct()
     new = new.unionByName(each.where("NOT base AND seed").select("row", "start", "end", "value"))

@@ -423,6 +423,20 @@ def test_pii_bootstraps(spark):
     assert got[8] == ("id:22:33",) and got[9] == ("",) and got[10] == ("id:13:53",)
 
 
+def test_pii_settles(spark):
+    say = lambda left, value: f"{left} {value} today"
+    data = [say("please mail me at", f"u{i}@mail.org") for i in range(10)]
+    more = [say("please mail me at", f"user_{i + 100}_x") for i in range(20)]
+    hop = [say("login name is", f"user_{i + 100}_x") for i in range(20)] + [say("login name is", "acct-7781-q")]
+    few = [say("order number was", f"v{i}@mail.org") for i in range(3)] + [say("order number was", f"{i + 10000000}") for i in range(40)]
+    rows = [*data, *more, *hop, *few]
+    got = by_id(pii.op8(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")), "spans")
+    found = {i for i, (spans,) in got.items() if "id:" in spans}
+    assert found == set(range(len(data), len(data) + len(more) + len(hop)))
+    at = rows.index(hop[-1])
+    assert got[at] == (f"id:{len('login name is ')}:{len('login name is acct-7781-q')}",)
+
+
 def test_redact(spark, empty):
     docs = spark.createDataFrame([(1, "é mail a@b.co now 10.0.0.1", "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 5)], DOCS)
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}
