@@ -57,3 +57,10 @@ def test_edit_distance():
     for most in [4] * 2000 + [70] * 60:
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(most))] for _ in range(2))
         assert evaluation.edit_distance(a, b) == edit(a, b), (a, b)
+
+
+def test_offered_tools_of_all_customers(spark, tmp_path):
+    customers = [(1, 0, "BUILDING"), (9, 0, "AUTOMOBILE"), (2, 1, "FURNITURE"), (18, 2, "HOUSEHOLD"), (4, 2, None), (5, 3, "BUILDING"), (6, 3, "MACHINERY")]
+    spark.createDataFrame(customers, "c_custkey bigint, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["offered_tools"](spark, str(tmp_path)).select("c_nationkey", "tool").collect()}
+    assert got == {(0, "a"), (0, "b"), (1, "a"), (1, "c"), (2, "a"), (3, "a"), (3, "b"), (3, "c")}
