@@ -218,9 +218,11 @@ def test_ngram_join(spark, docs, some):
     assert got == ngram_join.brute_force(list(enumerate(some)))
 
 
-def test_ngram_join_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("block", "tokens"), [(4, 1 << 20), (1024, 150), (4, 150)])
+def test_ngram_join_in_blocks(spark, monkeypatch, block, tokens):
     """Groups over several blocks: chains of near copies, most of which aren't similar to their leader."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", tokens)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     data = []
@@ -241,9 +243,10 @@ def test_filters_lose_no_link():
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.93], rng.integers(0, 1 << 62, int(rng.integers(0, 6))).astype(np.uint64)]))
         if len(y) and ngram_join.similar(x, y, (75, 100)):
             for seed in ngram_join.ORDERS:
-                u, v = (np.sort((ngram_join.prefix(s, seed) >> np.uint64(48)).astype(np.uint16)).tobytes() for s in (x, y))
-                assert ngram_join.passes(u, v, len(x), len(y), (75, 100))
-                assert np.intersect1d(ngram_join.prefix(x, seed), ngram_join.prefix(y, seed)).size
+                order = ngram_join._Filter([ngram_join.filter_values(s, seed).tobytes() for s in (x, y)], np.array([1]))
+                need = ngram_join.least_shared(len(x), np.array([len(y)]))
+                assert order.passing(0, np.array([1]), need).all()
+                assert np.intersect1d(x[ngram_join.prefix(x, seed)], y[ngram_join.prefix(y, seed)]).size
 
 
 def test_ngram_join_odd(spark, empty):
@@ -253,6 +256,23 @@ def test_ngram_join_odd(spark, empty):
     assert got == sorted([(None, 2, None), (5, 2, 5), (5, 2, 5), (9, 2, 5), (4, 0, 4)], key=repr)
 
 
+def test_ngram_join_several_texts_of_one_id(spark):
+    """A copy of one of a document's texts takes nothing from the links of its other text."""
+    some = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    near = some[1].replace("b30", "x")
+    data = [(3, some[0]), (5, some[0]), (5, some[1]), (9, near), (9, near), (12, "other words of another text here")]
+    got = sorted(map(tuple, ngram_join.op4(spark.createDataFrame(data, "doc_id bigint, text string")).collect()))
+    assert got == [(3, 56, 3), (5, 56, 3), (5, 56, 3), (9, 56, 3), (9, 56, 3), (12, 2, 12)]
+
+
+def test_drop_near_copies_keeps_other_texts(spark):
+    long = " ".join(f"a{i}" for i in range(60))
+    data = [(1, long, "y"), (1, long, "x"), (1, "short text", "z"), (2, long + " end", "z"), (None, long, "n"), (None, long, "n"), (7, None, "k")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, _rest string")
+    got = sorted(map(tuple, ngram_join.drop_near_copies(docs).collect()), key=repr)
+    assert got == sorted([(1, long, "x"), (1, "short text", "z"), (None, long, "n"), (None, long, "n"), (7, None, "k")], key=repr)
+
+
 # -- op5 --------------------------------------------------------------------------------------
 
 
