@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Written
@@ -18,8 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> Written:
     is written to the shared folder.
     """
     a, b = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
-    state = Written(edges.where("a <> b").select(a, b).distinct(), "edges")
-    seen = _digest(state.df)
+    state, seen = _written(edges.where("a <> b").select(a, b).distinct())
     for _ in range(most_rounds):
         both = state.df.selectExpr("hi AS u", "lo AS v").unionByName(state.df.selectExpr("lo AS u", "hi AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
@@ -27,8 +26,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> Written:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
         small = joined.selectExpr("hi", "m AS lo").unionByName(joined.where("lo <> m").selectExpr("lo AS hi", "m AS lo"))
-        new = Written(small.distinct(), "edges")
-        now = _digest(new.df)
+        new, now = _written(small.distinct())
         state.drop()
         state = new
         if now == seen:
@@ -42,6 +40,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> Written:
     return out
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[Written, tuple]:
+    """The edges as a written table, and their number and the sum of their hashes, counted on the way."""
+    seen = Observation()
+    table = Written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("digest")), "edges")
+    return table, (seen.get["n"], seen.get["digest"])

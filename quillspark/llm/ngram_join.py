@@ -19,7 +19,7 @@ The first order puts rare tokens first and serves as index; the others are permu
 4. Pairs of a group are tested where their sets lie: a pair that passes the filter of every other
    order is verified at once on whole sets. A block emits only links that join what its other
    links don't, never all pairs.
-5. A group beyond a block is first reduced: a leader is compared with all other members, then a
+5. A group of many blocks is first reduced: a leader is compared with all other members, then a
    member of those that it left, until that links few more. Blocks of members in different
    components are then compared with each other.
 
@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Written, bound_batches
@@ -51,10 +51,12 @@ FILTERS = tuple(f"filter{seed}" for seed in ORDERS[1:])
 #: Entities and tokens of a block on average.
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 #: Tokens of a range of the hash on average: what one task counts at a time.
-RANGE_TOKENS = 1 << 21
+RANGE_TOKENS = 1 << 22
 #: Bytes of text for a token, to tell the number of ranges.
 TOKEN_BYTES = 6
-#: A big group is reduced further while a round links more than this part of its members outside the largest component.
+#: Blocks of a group up to which all pairs of its blocks are compared at once.
+DIRECT_BLOCKS = 4
+#: A bigger group is reduced further while a round links more than this part of its members outside the largest component.
 WORTH = 1 / 8
 MOST_ROUNDS = 30
 #: Entities up to which their keys are broadcast to find their texts (48 bytes each); beyond, the texts are shuffled.
@@ -375,9 +377,9 @@ def _by_group(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.
 def _joining(rows: pa.Table, cuts: np.ndarray, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Links between the two blocks of each group that join what other links of it don't."""
     t, u = similarity
-    lead, label, block, left, right, n = (np.asarray(rows[k]) for k in ("lead", "label", "block", "left", "right", "n"))
+    leader, lead, label, block, left, right, n = (np.asarray(rows[k]) for k in ("leader", "lead", "label", "block", "left", "right", "n"))
     filters, data = [rows[k].to_pylist() for k in FILTERS], rows["data"].to_pylist()
-    a, b = [], []
+    group, a, b = [], [], []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         first, second = np.flatnonzero(block[lo:hi] == left[lo]), np.flatnonzero(block[lo:hi] == right[lo])
         own, m, c = lead[lo:hi], n[lo:hi], label[lo:hi].copy()  # c: components as links join them
@@ -393,105 +395,115 @@ def _joining(rows: pa.Table, cuts: np.ndarray, similarity: tuple[int, int]) -> I
                     some = some[order.passing(i, some, least_shared(m[i], m[some], similarity))]
             for j in some:
                 if c[j] != c[i] and similar(np.frombuffer(data[lo + i], _U), np.frombuffer(data[lo + j], _U), similarity):
+                    group.append(leader[lo])
                     a.append(own[i])
                     b.append(own[j])
                     c[c == c[j]] = c[i]
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (group, a, b)], names=["leader", "a", "b"])
 
 
 def _compare(rows: DataFrame, records: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) of leading documents. rows: entity and label, and the pair of blocks of a leader's group that it takes part in."""
+    """Links (leader, a, b) of leading documents. rows: entity and label, and the pair of blocks of a leader's group that it takes part in."""
     whole = rows.join(records.drop("tokens"), "entity").repartition(*_KEY).sortWithinPartitions(*_KEY)
-    return whole.mapInArrow(lambda it: _by_group(it, lambda r, c: _joining(r, c, similarity)), "a bigint, b bigint")
+    return whole.mapInArrow(lambda it: _by_group(it, lambda r, c: _joining(r, c, similarity)), "leader bigint, a bigint, b bigint")
 
 
-def _blocks_of(count: str, tokens: str) -> F.Column:
+def _blocks_of(count: str, tokens: str) -> Column:
     return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
 
-def _labelled(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """groups (leader, entity, lead, n) with label, the component of the leading document."""
-    rows = groups.join(known.withColumnRenamed("node", "lead"), "lead", "left")
-    return rows.select("leader", "entity", "n", F.coalesce("component", "lead").alias("label"))
+def _place(blocks: str) -> Column:
+    """The block of an entity among so many of its group."""
+    return F.pmod(F.xxhash64("entity", F.lit(3)), F.col(blocks)).cast("int")
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with block and other in place of other with left and right, the pair of blocks."""
+    return rows.select("leader", "entity", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """Labelled rows of groups with several labels, and whether the label is the one that most of the group has."""
+    """Rows (leader, entity, lead, n, label) of groups with several labels, and whether the label is the one that most of the group has."""
     sizes = rows.groupBy("leader", "label").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("leader").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("most"))
-    return rows.join(sizes.where("labels > 1"), "leader").selectExpr("leader", "entity", "n", "label", "label = most AS main")
+    return rows.join(sizes.where("labels > 1"), "leader").selectExpr("leader", "entity", "lead", "n", "label", "label = most AS main")
+
+
+def _chosen(apart: DataFrame, turn: int) -> DataFrame:
+    """Of each group a member outside its largest component, as one, and the blocks that the group has."""
+    one = F.min_by(F.when(~F.col("main"), F.struct("entity", "label")), F.when(~F.col("main"), F.xxhash64("entity", F.lit(turn)))).alias("one")
+    sizes = apart.groupBy("leader").agg(one, F.count("*").alias("k"), F.sum("n").alias("t"))
+    return sizes.select("leader", "one", _blocks_of("k", "t").alias("blocks"))
 
 
-def _from_leaders(apart: DataFrame, turn: int) -> DataFrame:
-    """A member outside each group's largest component against all members with other labels, in blocks of these."""
-    chosen = apart.where("NOT main").groupBy("leader").agg(F.min_by(F.struct("entity", "n", "label"), F.xxhash64("entity", F.lit(turn))).alias("one"))
-    sizes = apart.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
-    groups = chosen.join(sizes, "leader").select("leader", "one", _blocks_of("k", "t").alias("blocks"))
-    block = F.pmod(F.xxhash64("entity", F.lit(3)), F.col("blocks")).cast("int")
-    others = apart.join(groups, "leader").where("label <> one.label").select("leader", "entity", "label", block.alias("block"))
+def _from_leaders(apart: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Each group's chosen member against all members with other labels, in blocks of these."""
+    others = apart.join(chosen, "leader").where("label <> one.label").select("leader", "entity", "label", _place("blocks").alias("block"))
     others = others.withColumns({"left": F.lit(-1), "right": F.col("block")})
-    ones = groups.select("leader", "one.entity", "one.label", F.lit(-1).alias("block"), F.lit(-1).alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"))
+    ones = chosen.select("leader", "one.entity", "one.label", F.lit(-1).alias("block"), F.lit(-1).alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"))
     return others.unionByName(ones)
 
 
+def _merged(apart: DataFrame, chosen: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with one label for all labels of a group that its chosen member's links join: the largest component's, if among them."""
+    linked = apart.join(found.select("leader", F.col("b").alias("lead")).distinct(), ["leader", "lead"]).select("leader", "label", "main")
+    own = chosen.join(found.select("leader").distinct(), "leader").select("leader", F.col("one.label").alias("label"), F.lit(False).alias("main"))
+    joined = linked.unionByName(own).groupBy("leader", "label").agg(F.max("main").alias("main"))
+    to = joined.groupBy("leader").agg(F.max_by("label", F.struct("main", "label")).alias("to"))
+    rows = apart.join(joined.join(to, "leader").select("leader", "label", "to"), ["leader", "label"], "left")
+    return rows.select("leader", "entity", "lead", "n", F.coalesce("to", "label").alias("label"))
+
+
 def _in_blocks(apart: DataFrame) -> DataFrame:
     """Rows once for each pair of blocks that they take part in; blocks of a group's largest component don't meet each other."""
     main, rest = F.col("main"), ~F.col("main")
-    sizes = apart.groupBy("leader").agg(*(f.alias(c) for c, f in {"k": F.count_if(rest), "kt": F.sum(F.when(rest, F.col("n"))), "m": F.count_if(main), "mt": F.sum(F.when(main, F.col("n")))}.items()))
+    sizes = apart.groupBy("leader").agg(F.count_if(rest).alias("k"), F.sum(F.when(rest, F.col("n"))).alias("kt"), F.count_if(main).alias("m"), F.sum(F.when(main, F.col("n"))).alias("mt"))
     rows = apart.join(sizes.select("leader", _blocks_of("k", "kt").alias("k"), _blocks_of("m", "mt").alias("m")), "leader")
-    by = F.xxhash64("entity", F.lit(3))
-    block = F.when(main, F.col("k") + F.pmod(by, F.col("m"))).otherwise(F.pmod(by, F.col("k"))).cast("int")
-    rows = rows.select("leader", "entity", "label", block.alias("block"), F.explode(F.expr("sequence(0, CASE WHEN main THEN k ELSE k + m END - 1)")).alias("other"))
-    return rows.select("leader", "entity", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    block = F.when(main, F.col("k") + _place("m")).otherwise(_place("k"))
+    return _pairs_of_blocks(rows.select("*", block.alias("block"), F.explode(F.expr("sequence(0, CASE WHEN main THEN k ELSE k + m END - 1)")).alias("other")))
 
 
-def _big_groups(groups: DataFrame, known: DataFrame, records: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, list[Written]]:
-    """Links of groups beyond a block, and the tables they are in: leaders against all, then blocks of what is still apart."""
-    links, tables = known, []
+def _big_groups(rows: DataFrame, records: DataFrame, similarity: tuple[int, int]) -> list[Written]:
+    """Links of groups of many blocks: leaders against all, while that links many, then blocks of what is still apart."""
+    tables, labelled = [], None
     for turn in range(MOST_ROUNDS):
-        done = components(links)
-        apart = Written(_apart(_labelled(groups, done.df)), "apart")
-        done.drop()
+        apart = Written(_apart(rows), "apart")
+        if labelled:
+            labelled.drop()
         left = apart.df.where("NOT main").count()
         if not left:
             apart.drop()
-            return links, tables
-        found = Written(_compare(_from_leaders(apart.df, turn), records, similarity), "links")
-        tables.append(found)
-        links = links.unionByName(found.df)
-        new = found.df.count()
-        if new <= WORTH * left:
             break
+        chosen = _chosen(apart.df, turn)
+        tables.append(Written(_compare(_from_leaders(apart.df, chosen), records, similarity), "links"))
+        labelled = Written(_merged(apart.df, chosen, tables[-1].df), "labelled")
         apart.drop()
-    if new:
-        done = components(links)
-        apart.drop()
-        apart = Written(_apart(_labelled(groups, done.df)), "apart")
-        done.drop()
-    rest = Written(_compare(_in_blocks(apart.df), records, similarity), "links")
-    apart.drop()
-    return links.unionByName(rest.df), [*tables, rest]
+        few = tables[-1].df.count() <= WORTH * left
+        if few or turn == MOST_ROUNDS - 1:
+            tables.append(Written(_compare(_in_blocks(_apart(labelled.df)), records, similarity), "links"))
+            labelled.drop()
+            break
+        rows = labelled.df
+    return tables
 
 
-def _links(records: DataFrame, copies: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, list[Written]]:
-    """Links that join all similar entities, with copies, and the tables they are in."""
+def _links(records: DataFrame, similarity: tuple[int, int]) -> list[Written]:
+    """Tables with links (a, b) of leading documents that join all similar entities."""
     index = records.select("entity", "lead", "n", F.explode("tokens").alias("token"))
     leaders = index.groupBy("token").agg(F.min("entity").alias("leader"), F.count("*").alias("k")).where("k > 1").drop("k")
     groups = Written(index.join(leaders, "token").select("leader", "entity", "lead", "n").distinct(), "groups")
-    sizes = groups.df.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
-    big = (F.col("k") > BLOCK) | (F.col("t") > BLOCK_TOKENS)
-    small = groups.df.join(sizes.where(~big).select("leader"), "leader").select("leader", "entity", F.col("lead").alias("label"))
-    small = small.withColumns({c: F.lit(0) for c in ("block", "left", "right")})
-    found = Written(_compare(small, records, similarity), "links")
-    links, tables = found.df.unionByName(copies), [found]
-    large = Written(groups.df.join(sizes.where(big).select("leader"), "leader"), "large")
+    sizes = groups.df.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("t")).select("leader", _blocks_of("k", "t").alias("blocks"))
+    rows = Written(groups.df.withColumn("label", F.col("lead")).join(sizes, "leader"), "groups")
     groups.drop()
-    if not large.df.isEmpty():
-        links, more = _big_groups(large.df, links, records, similarity)
-        tables += more
-    large.drop()
-    return links, tables
+    small = rows.df.where(F.col("blocks") <= DIRECT_BLOCKS).withColumn("block", _place("blocks"))
+    small = _pairs_of_blocks(small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    tables = [Written(_compare(small, records, similarity), "links")]
+    large = rows.df.where(F.col("blocks") > DIRECT_BLOCKS).drop("blocks")
+    if not large.isEmpty():
+        tables += _big_groups(large, records, similarity)
+    rows.drop()
+    return tables
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -512,7 +524,10 @@ def near_components(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tupl
     copies = Written(full.join(leads, ["n", "one", "two"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "copies")
     near = Written(_near(full, similarity), "near")
     records = records_of(docs, near.df, size, similarity)
-    links, tables = _links(records.df, copies.df, similarity)
+    tables = _links(records.df, similarity)
+    links = copies.df
+    for x in tables:
+        links = links.unionByName(x.df.select("a", "b"))
     found = components(links)
     for x in (near, records, copies, *tables):
         x.drop()
