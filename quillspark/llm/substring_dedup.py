@@ -1,11 +1,11 @@
 """Substring dedup: repeated windows of tokens are found by counted Rabin-Karp hashes and removed.
 
-Every window of ``size`` words of every text gets a rolling hash. Each task counts the windows
-of its own batch first, so a passage that a third of all texts share leaves a batch once. What
-is left goes to the shuffle packed: a row holds the hashes of one batch that belong to one
-partition of the hash space, with the places they came from. The receiving task counts them and
-names the places of windows that occur elsewhere. Only these travel back, by document, where
-overlapping windows merge into maximal intervals.
+Every window of ``size`` words of every text gets a rolling hash. A batch of texts sends each of
+its distinct windows once to Spark's shuffle, packed by ranges of the hash, so a passage that a
+third of all texts share leaves a batch once. A range is a group of about RANGE_WINDOWS windows
+at any size of the input; there the occurrences of each hash are counted over all batches, and
+only hashes that occur again travel back to their documents. A document's repeated windows are
+merged into maximal intervals, whose words go.
 
 Two windows count as the same if their 64-bit hashes agree; among n windows n * n / 2**65 pairs
 of different ones are expected to agree by chance, 5e-4 for 0.1 billion.
@@ -18,153 +18,129 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Written, bound_batches, release
+from quillspark.llm.common import bound_batches
 from quillspark.llm.words import chunks, windows
 
 WINDOW_WORDS = 35
-#: Partitions of the hash space at least; more if the session shuffles into more.
-LEAST_PARTS = 64
+#: Windows of a range of the hash on average: what one task counts at a time.
+RANGE_WINDOWS = 1 << 22
+LEAST_RANGES = 8
+#: Bytes of text for a window, to tell the number of ranges.
+WINDOW_BYTES = 6
 
+_SENT = "range int, batch bigint, owners binary, counts binary, hashes binary, keys binary"
+_BACK = "batch bigint, owners binary, counts binary, hashes binary, keys binary"
 
-def _pack(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (part, docs, tags, counts, gaps, far, hashes, known) for each batch and part.
 
-    docs, tags: the texts' keys; counts: how many of the hashes come from each; gaps: how much
-    later in the text each window starts than the one before it, 255 for more, then in far.
-    known: for part 0 alone, places of windows that repeat within the batch, as triples of
-    index into docs, first and last window start.
+def _send(batches: Iterator[pa.RecordBatch], size: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch its texts' keys with what repeats within it, and its other windows by ranges of the hash.
+
+    owners: places of texts in the batch; counts: how many of the hashes come from each. Of
+    windows that repeat within the batch, the row with the keys holds all and a range's row the
+    first alone, which its owner's others stand for.
     """
-    for batch in batches:
-        ids, tags = np.asarray(batch.column("key")), np.asarray(batch.column("tag"))
-        hashes, docs, at = [], [], []
+    task = TaskContext.get().partitionId()
+    for number, batch in enumerate(batches):
+        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for c in chunks(batch.column("text")):
             w = windows(c.hashes(), size)
             for i, (lo, hi) in enumerate(zip(c.bounds[:-1], c.bounds[1:], strict=True)):
                 if hi - lo >= size:
-                    n = hi - lo - size + 1
-                    hashes.append(w[lo : lo + n])
-                    docs.append(np.full(n, c.first + i, np.int32))
-                    at.append(np.arange(n, dtype=np.int32))
-        if not hashes:
+                    hashes.append(w[lo : hi - size + 1])
+                    owners.append(np.full(hi - lo - size + 1, c.first + i))
+        h, d = np.concatenate(hashes), np.concatenate(owners)
+        if not len(h):
             continue
-        h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(at)
         order = np.argsort(h, kind="stable")
-        same = h[order[1:]] == h[order[:-1]]
-        again = np.zeros(len(h), bool)
-        again[order[1:][same]] = True  # all but the first of its hash
-        repeated = again.copy()
-        repeated[order[:-1][same]] = True
-        rows = {k: [] for k in ("part", "docs", "tags", "counts", "gaps", "far", "hashes", "known")}
-        part = (h >> np.uint64(40)) % np.uint64(parts)
-        keep = np.flatnonzero(~again)
-        keep = keep[np.argsort(part[keep].astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")]
-        edges = np.searchsorted(part[keep], np.arange(parts + 1, dtype=np.uint64))
-        known = _runs(d[repeated], p[repeated])
-        for k in range(parts):
-            own = keep[edges[k] : edges[k + 1]]
-            if not len(own) and not (k == 0 and len(known)):
-                continue
-            used, counts = np.unique(d[own], return_counts=True)
-            first = np.zeros(len(own), bool)
-            first[np.cumsum(counts)[:-1]] = True
-            first[:1] = True
-            gap = np.where(first, p[own], np.diff(p[own], prepend=0))
-            rows["part"].append(k)
-            if k == 0 and len(known):
-                used, back = np.unique(np.concatenate([used, known[:, 0]]), return_inverse=True)
-                more = np.zeros(len(used), counts.dtype)
-                more[back[: len(counts)]] = counts
-                counts, mine = more, np.column_stack([back[len(back) - len(known) :], known[:, 1:]])
-                rows["known"].append(mine.astype(np.int32).tobytes())
-            else:
-                rows["known"].append(None)
-            rows["docs"].append(ids[used].tolist())
-            rows["tags"].append(tags[used].tolist())
-            rows["counts"].append(counts.astype(np.int32).tobytes())
-            rows["gaps"].append(np.minimum(gap, 255).astype(np.uint8).tobytes())
-            rows["far"].append(gap[gap >= 255].astype(np.int32).tobytes())
-            rows["hashes"].append(h[own].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _PACKED], schema=_PACKED)
-
-
-_PACKED = pa.schema([("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), *((k, pa.binary()) for k in ("counts", "gaps", "far", "hashes", "known"))])
-_FOUND = pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("spans", pa.binary())])
-
-
-def _runs(docs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Runs of consecutive places, given sorted by doc and place, as rows of doc, first and last place."""
-    if not len(docs):
-        return np.zeros((0, 3), np.int64)
-    new = np.flatnonzero((np.diff(docs) != 0) | (np.diff(at) != 1))
-    lo, hi = np.append(0, new + 1), np.append(new, len(docs) - 1)
-    return np.column_stack([docs[lo], at[lo], at[hi]]).astype(np.int64)
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of one part of the hash space, the places of windows that occur more than once, by text."""
-    ids, tags, spans, all_h, all_row, all_at, keys = [], [], [], [], [], [], []
-    base = 0
-    for row in table.select(["docs", "tags", "counts", "gaps", "far", "hashes", "known"]).to_batches(max_chunksize=64):
-        for docs, tag, counts, gaps, far, hashes, known in zip(*(row.column(i) for i in range(7)), strict=True):
-            d, t = docs.values.to_numpy(zero_copy_only=False), tag.values.to_numpy(zero_copy_only=False)
-            c = np.frombuffer(counts.as_buffer(), np.int32)
-            gap = np.frombuffer(gaps.as_buffer(), np.uint8).astype(np.int32)
-            if far.as_py():
-                gap[gap == 255] = np.frombuffer(far.as_buffer(), np.int32)
-            total, begin = np.cumsum(gap), np.cumsum(c) - c
-            head = np.where(begin > 0, np.append(0, total)[begin], 0)
-            all_at.append((total - np.repeat(head, c)).astype(np.int32))
-            all_row.append(np.repeat(np.arange(base, base + len(d), dtype=np.int64), c))
-            all_h.append(np.frombuffer(hashes.as_buffer(), np.uint64))
-            keys.append((d, t))
-            base += len(d)
-            if known.is_valid:
-                k = np.frombuffer(known.as_buffer(), np.int32).reshape(-1, 3)
-                for i in np.unique(k[:, 0]):
-                    ids.append(d[i])
-                    tags.append(t[i])
-                    spans.append(k[k[:, 0] == i, 1:].astype(np.int32).tobytes())
-    if all_h:
-        h, row, at = np.concatenate(all_h), np.concatenate(all_row), np.concatenate(all_at)
-        order = np.argsort(h, kind="stable")
-        same = h[order[1:]] == h[order[:-1]]
-        hit = np.zeros(len(h), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        row, at = row[hit], at[hit]
-        d = np.concatenate([k[0] for k in keys])
-        t = np.concatenate([k[1] for k in keys])
-        cuts = np.append(0, np.flatnonzero(np.diff(row)) + 1)
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(row)), strict=True) if len(row) else ():
-            ids.append(d[row[lo]])
-            tags.append(t[row[lo]])
-            own = at[lo:hi]
-            spans.append(np.column_stack([own, own]).astype(np.int32).tobytes())
-    return pa.table([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(spans, pa.binary())], schema=_FOUND)
+        h, d = h[order], d[order]
+        same = np.append(False, h[1:] == h[:-1])  # as the one before
+        repeated = same | np.append(same[1:], False)
+        keys = np.column_stack([np.asarray(batch.column(k)) for k in ("key", "tag")]).astype(np.int64)
+        known = _packed(d[repeated], h[repeated])
+        batch_id = task << 32 | number
+        rows = [(batch_id % ranges, batch_id, *known, keys.tobytes())]
+        h, d = h[~same], d[~same]
+        cuts = np.searchsorted(((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            rows.append((r, batch_id, *_packed(d[cuts[r] : cuts[r + 1]], h[cuts[r] : cuts[r + 1]]), None))
+        yield _batch(rows, _SENT)
+
+
+def _packed(owners: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Distinct hashes of each owner: the owners, how many each has, and the hashes owner by owner."""
+    order = np.lexsort((hashes, owners))
+    owners, hashes = owners[order], hashes[order]
+    new = np.append(True, (owners[1:] != owners[:-1]) | (hashes[1:] != hashes[:-1]))[: len(owners)]
+    used, counts = np.unique(owners[new], return_counts=True)
+    return used.astype(np.uint16).tobytes(), counts.astype(np.uint32).tobytes(), hashes[new].tobytes()
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def _again(rows: pa.Table) -> pa.Table:
+    """Of one range, the hashes that several batches sent, by batch and owner; rows with keys go on as they are."""
+    passed = rows.filter(rows["keys"].is_valid()).select(["batch", "owners", "counts", "hashes", "keys"])
+    rows = rows.filter(rows["keys"].is_null())
+    hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["hashes"]]
+    ends = np.append(0, np.cumsum([len(x) for x in hashes]))
+    all_hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    order = np.argsort(all_hashes, kind="stable")
+    same = np.append(False, all_hashes[order[1:]] == all_hashes[order[:-1]])[: len(order)]
+    hit = np.zeros(len(order), bool)
+    hit[order] = same | np.append(same[1:], False)[: len(order)]
+    out = []
+    for i, (batch, owners, counts) in enumerate(zip(*(rows[k].to_pylist() for k in ("batch", "owners", "counts")), strict=True)):
+        own = hit[ends[i] : ends[i + 1]]
+        if own.any():
+            by = np.repeat(np.frombuffer(owners, np.uint16).astype(np.int64), np.frombuffer(counts, np.uint32))
+            out.append((batch, *_packed(by[own], hashes[i][own]), None))
+    return pa.concat_tables([pa.Table.from_batches([_batch(out, _BACK)]), passed])
+
+
+_FOUND = "key bigint, tag bigint, hashes binary"
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """The repeated windows of each text of a batch, by its key."""
+    kinds = {"owners": np.uint16, "counts": np.uint32, "hashes": np.uint64, "keys": np.int64}
+    owners, counts, hashes, keys = (np.frombuffer(b"".join(rows[k].drop_null().to_pylist()), v) for k, v in kinds.items())
+    keys, by = keys.reshape(-1, 2), np.repeat(owners.astype(np.int64), counts)
+    order = np.argsort(by, kind="stable")
+    by, hashes = by[order], hashes[order]
+    used = np.unique(by)
+    lo, hi = np.searchsorted(by, used, "left"), np.searchsorted(by, used, "right")
+    return pa.Table.from_batches([_batch([(*keys[i].tolist(), hashes[a:b].tobytes()) for i, a, b in zip(used, lo, hi, strict=True)], _FOUND)])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, out = batch.column("spans"), {k: [] for k in ("n_words", "n_removed", "kept_text")}
+        found, out = batch.column("hashes"), {k: [] for k in ("n_words", "n_removed", "kept_text")}
         for c in chunks(batch.column("text")):
+            h = c.hashes() if found.slice(c.first, c.rows).null_count < c.rows else None
             for i in range(c.rows):
                 lo, hi = c.bounds[i], c.bounds[i + 1]
-                found = spans[c.first + i]
-                gone = np.zeros(hi - lo + 1, np.int32)
-                for one in found if found.is_valid else ():
-                    s = np.frombuffer(one.as_buffer(), np.int32).reshape(-1, 2)
-                    np.add.at(gone, s[:, 0], 1)
-                    np.add.at(gone, s[:, 1] + size, -1)
-                gone = np.cumsum(gone[:-1]) > 0
+                gone = np.zeros(hi - lo, bool)
+                if found[c.first + i].is_valid:
+                    at = np.flatnonzero(np.isin(windows(h[lo:hi], size), np.frombuffer(found[c.first + i].as_buffer(), np.uint64)))
+                    edge = np.zeros(hi - lo + 1, np.int32)
+                    edge[at] += 1
+                    edge[at + size] -= 1
+                    gone = np.cumsum(edge[:-1]) > 0
                 data, starts, ends = c.data, c.starts[lo:hi], c.ends[lo:hi]
                 out["n_words"].append(int(hi - lo))
                 out["n_removed"].append(int(gone.sum()))
                 out["kept_text"].append(b" ".join([data[s:e].tobytes() for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)]))
         new = {"n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_text": pa.array(out["kept_text"], pa.binary()).cast(pa.string())}
-        rest = batch.select([n for n in batch.schema.names if n not in ("text", "spans")])
+        rest = batch.select([n for n in batch.schema.names if n not in ("text", "hashes")])
         yield pa.RecordBatch.from_arrays([*rest.columns, *new.values()], names=[*rest.schema.names, *new])
 
 
@@ -174,18 +150,18 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     docs has doc_id (long) and text (string); other columns are ignored. A word goes if it is in
     a window of ``size`` words whose words also start anywhere else, in the same text or another.
     Null texts count as empty; a null doc_id keeps its row. Repeated rows are copies of each
-    other and lose all windows. An empty table gives no rows.
+    other and lose all windows. An empty table gives no rows. docs must give its rows in the same
+    order when a task is run again, as tables read from files do.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
-    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("key"), F.hash("text", doc_id.isNull()).alias("tag"), F.col("text"))
-    parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = keyed.select("key", "tag", "text").mapInArrow(lambda it: _pack(it, size, parts), "part int, docs array<bigint>, tags array<int>, counts binary, gaps binary, far binary, hashes binary, known binary")
-    found = found.groupBy("part").applyInArrow(_repeated, "key bigint, tag int, spans binary")
-    found = Written(found.groupBy("key", "tag").agg(F.collect_list("spans").alias("spans")), "spans").df
-    release(spark)
-    joined = keyed.join(found, ["key", "tag"], "left").select("doc_id", "text", "spans")
+    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("key"), F.xxhash64("text", doc_id.isNull()).alias("tag"), "text")
+    volume = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(LEAST_RANGES, volume // WINDOW_BYTES // RANGE_WINDOWS)
+    found = keyed.select("key", "tag", "text").mapInArrow(lambda it: _send(it, size, ranges), _SENT)
+    found = found.groupBy("range").applyInArrow(_again, _BACK).groupBy("batch").applyInArrow(_gather, _FOUND)
+    found = found.groupBy("key", "tag").agg(F.first("hashes").alias("hashes"))  # equal rows have equal windows
+    joined = keyed.join(found, ["key", "tag"], "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(lambda it: _cut(it, size), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
