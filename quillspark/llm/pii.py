@@ -7,6 +7,7 @@ an instance with two patterns, its two words before, and its words before and af
 a twentieth for each unknown one. A pattern of high score with several known instances is trusted;
 what it matches is known from then on, and scores as the best pattern that found it. Rounds of
 joins go on until nothing new is found; identifiers in trusted patterns are then spans as well.
+That holds for the keys too: a key in no trusted pattern, such as a checksum in prose, is none.
 
 All of it is DataFrame functions: no text leaves the JVM, none is shuffled.
 """
@@ -168,9 +169,8 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
     edges = each.select("value", "seed", F.explode("patterns").alias("pattern"))
     edges = Written(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges").df
     trusted = _trusted(edges).select("pattern")
-    open_ = each.where("NOT base AND NOT seed").select("row", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    open_ = each.where("NOT base").select("row", "start", "end", "value", F.explode("patterns").alias("pattern"))
     new = open_.join(trusted, "pattern").select("row", "start", "end", "value").distinct()
-    new = new.unionByName(each.where("NOT base AND seed").select("row", "start", "end", "value"))
     new = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("found"))
     out = rows.join(new, "row", "left")
     found = F.coalesce("found", F.array().cast("array<struct<start:int,end:int,value:string>>"))
@@ -182,6 +182,7 @@ def _written(kind: str, column: str) -> Column:
 
 
 def op8(docs: DataFrame) -> DataFrame:
+    """The counts and digests of find's spans; n_patterns: spans that patterns alone found, n_spans: all of them."""
     found = find(docs)
     base = F.concat(*(_written(k, k) for k in BASE))
     return found.select(
@@ -189,6 +190,8 @@ def op8(docs: DataFrame) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, _written("id", "found")), ",").alias("spans"),
+        F.size("found").cast("long").alias("n_patterns"),
+        (F.size("found") + sum(F.size(k) for k in BASE)).cast("long").alias("n_spans"),
     )
 
 
