@@ -22,6 +22,9 @@ from quillspark.llm.words import chunks
 
 #: Tokens of a block.
 BLOCK_TOKENS = 1 << 16
+#: Bytes of text that go to one file on average, a third of that in ids; a task reads a file whole, so this bounds tasks.
+SHARD_TEXT_BYTES = 64 << 20
+LEAST_SHARDS = 16
 #: Bytes of an id, and the id that ends a document.
 WIDTH = 2
 SEPARATOR_ID = 0
@@ -111,9 +114,14 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """Writes the documents as flat token files, counts the tokens in these, and names the documents by their order."""
+    """doc_id and n_tokens of each document: writes them as flat token files, counts in these, and names the documents by their order.
+
+    A null or empty text has 0 tokens. Rows with a null doc_id and repeated rows each keep theirs; other columns are ignored.
+    An empty table gives no rows. The number of files follows the volume of the texts.
+    """
     spark = docs.sparkSession
-    shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    volume = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(LEAST_SHARDS, volume // SHARD_TEXT_BYTES)
     path = new_path(spark, "tokens")
     write_flat(docs, path, shards)
     counts = count_tokens(read_flat(spark, path)).withColumn("shard", F.regexp_extract("file", r"shard=(\d+)", 1).cast("int"))
