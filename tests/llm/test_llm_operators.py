@@ -218,11 +218,12 @@ def test_ngram_join(spark, docs, some):
     assert got == ngram_join.brute_force(list(enumerate(some)))
 
 
-@pytest.mark.parametrize(("block", "tokens"), [(4, 1 << 20), (1024, 150), (4, 150)])
-def test_ngram_join_in_blocks(spark, monkeypatch, block, tokens):
+@pytest.mark.parametrize(("block", "tokens", "direct"), [(4, 1 << 20, 1), (1024, 150, 2), (4, 150, 99)])
+def test_ngram_join_in_blocks(spark, monkeypatch, block, tokens, direct):
     """Groups over several blocks: chains of near copies, most of which aren't similar to their leader."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(ngram_join, "DIRECT_BLOCKS", direct)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     data = []
@@ -440,7 +441,68 @@ def test_pii_bootstraps(spark):
     seeds = [f"please write to me at u{i}@mail.org today" for i in range(8)]
     data = list(enumerate([*seeds, "please write to me at user_2291_x today", "version 12345678 was the last one", "see token = \"" + "ab12" * 10 + "\" there"]))
     got = by_id(pii.op8(spark.createDataFrame(data, "doc_id bigint, text string")), "spans")
-    assert got[8] == ("id:22:33",) and got[9] == ("",) and got[10] == ("id:13:53",)
+    assert got[8] == ("id:22:33",) and got[9] == ("",) and got[10] == ("",)
+
+
+def test_pii_keys_need_a_pattern(spark):
+    """Keys are reported where a pattern of several keys confirms them, not in prose."""
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(6)]
+    data = list(enumerate([*(f'{"x" * i} token = "{k}" there' for i, k in enumerate(keys[:5])), f"commit {keys[5]} was reverted"]))
+    got = by_id(pii.op8(spark.createDataFrame(data, "doc_id bigint, text string")), "spans", "n_patterns", "n_spans")
+    assert [got[i] for i in range(6)] == [*((f"id:{i + 10}:{i + 50}", 1, 1) for i in range(5)), ("", 0, 0)]
+
+
+def pattern_spans(some):
+    """Spans that the method adds, from dicts, by the module's docstring."""
+    instances = []
+    for row, text in enumerate(t or "" for t in some):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in base(text)]
+        ids = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9][A-Za-z_-]*[0-9])[A-Za-z0-9_-]{6,}", text)]
+        free = [s for s in ids if not any(a < s[1] and s[0] < b for a, b in spans)]
+        for is_base, (lo, hi) in [*((True, x) for x in spans), *((False, x) for x in free)]:
+            left = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[0-9]+", "0", text[max(0, lo - 64) : lo].lower())) if w]
+            right = re.match(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)", re.sub("[0-9]+", "0", text[hi : hi + 64].lower()))[1]
+            patterns = [f"l:{left[-2]} {left[-1]}"] if len(left) > 1 else []
+            patterns += [f"b:{left[-1]} _ {right}"] if left else []
+            seed = is_base or bool(re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", text[lo:hi]))
+            instances.append((row, lo, hi, text[lo:hi].lower(), is_base, seed, patterns))
+    edges = {}
+    for *_, value, _, seed, patterns in instances:
+        for p in patterns:
+            edges.setdefault(p, {})[value] = edges.get(p, {}).get(value, False) or seed
+    scores, trusted = {}, {}
+    while True:
+        trusted = {}
+        for p, values in edges.items():
+            known = [1.0 if seed else scores[v] for v, seed in values.items() if seed or v in scores]
+            trust = round(sum(known) / (len(known) + 0.05 * (len(values) - len(known)) + 1), 9)
+            if len(known) >= 3 and trust >= 0.75:
+                trusted[p] = trust
+        new = {}
+        for p, t in trusted.items():
+            for v, seed in edges[p].items():
+                if not seed and v not in scores:
+                    new[v] = max(new.get(v, 0), t)
+        if not new:
+            break
+        scores |= new
+    out = {}
+    for row, lo, hi, _, is_base, _, patterns in instances:
+        if not is_base and any(p in trusted for p in patterns):
+            out.setdefault(row, set()).add((lo, hi))
+    return [",".join(f"id:{lo}:{hi}" for lo, hi in sorted(out.get(row, ()))) for row in range(len(some))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pii_graph_by_brute_force(spark, seed):
+    """Random texts with few context words, so that patterns chain, against scoring by dicts."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["mail", "id", "ref", "to", "é", "user:", "x"])
+    things = [lambda: f"u{rng.randrange(30)}@m.org", lambda: f"10.0.0.{rng.randrange(30)}", lambda: f"acct-{rng.randrange(60) + 100}", lambda: f"n{rng.randrange(40) + 10000}", lambda: hashlib.md5(bytes([rng.randrange(20)])).hexdigest(), word, word, word]
+    some = [" ".join(rng.choice(things)() for _ in range(rng.randrange(40))) for _ in range(60)] + [None, ""]
+    want, got = pattern_spans(some), by_id(pii.op8(table(spark, some)), "spans", "n_patterns")
+    added = [",".join(x for x in got[i][0].split(",") if x.startswith("id:")) for i in range(len(some))]
+    assert added == want and sum(n for _, n in got.values()) == sum(len(x.split(",")) for x in want if x) > 5
 
 
 def test_pii_settles(spark):
@@ -466,9 +528,18 @@ def test_redact(spark, empty):
     assert pii.op8(empty).count() == 0
 
 
-def test_pii_is_native(spark, docs):
-    plan = pii.base_spans(docs.select("doc_id", "text"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+def test_pii_is_native(docs, monkeypatch):
+    """The plans of every table that op8 and redact write, and of their results, hold no Python."""
+    plans, written = [], pii.Written
+
+    def record(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(pii, "Written", record)
+    for work in (pii.op8, pii.redact):
+        plans.append(work(docs)._jdf.queryExecution().toString())
+    assert len(plans) > 10 and not any(x in p for p in plans for x in ("Python", "Arrow", "Pandas"))
 
 
 # -- op9 --------------------------------------------------------------------------------------
