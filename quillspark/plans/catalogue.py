@@ -5,32 +5,18 @@ Each query reads the star-schema tables through a lens of quillspark.plans.lense
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers as N
 from quillspark.functions import text as X
 from quillspark.operators import contracts, corpus, detection, evaluation, lexical, metrics, traces
-from quillspark.plans import lenses
+from quillspark.plans import captured, lenses, scored  # noqa: F401 - two of them register their queries
 from quillspark.plans.lenses import DETECT, HALF_HOUR, HOUR, MINE, table
+from quillspark.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "false_activations_per_hour"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 TRACES = "(SELECT event_id AS trace_id, event_id AS seq, ts AS started_at, user_id AS agent, event_type AS error_stage, value AS total_ms, CASE WHEN event_type = 'error' THEN false WHEN event_type <> 'view' THEN true END AS success FROM events)"
 SCORES = "(SELECT event_id, user_id AS stream, epoch_us(ts) AS idx, value AS score, event_type FROM events)"
 
@@ -586,21 +572,26 @@ def phrase_spans(spark, sf_dir):
     return lexical.phrase_spans(words, "doc_id", "pos", "word", "pos", "end", ["of", "the"])
 
 
-_PLAIN = "substr(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), 1, 60)"
+_PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(a, b) / length(a) END AS cer FROM (SELECT doc_id, {_PLAIN.format('d.text')} AS a, {_PLAIN.format('b.text')} AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)")
+def _paired(spark, sf_dir):
+    """Each document with a text of the benchmark, whose items take turns."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other"))
+    size = F.broadcast(bench.agg(F.count("*").alias("size")))
+    return docs.crossJoin(size).join(bench, F.col("doc_id") % F.col("size") == F.col("item_id")).select("doc_id", "text", "other")
+
+
+@query(f"SELECT doc_id, CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(a, b) / length(a) END AS cer FROM (SELECT doc_id, {_PLAIN.format('d.text')} AS a, {_PLAIN.format('b.text')} AS b FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)")
 def cer(spark, sf_dir):
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other"))
-    pairs = docs.join(bench, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", plain("text").alias("a"), plain("other").alias("b"))
+    pairs = _paired(spark, sf_dir).select("doc_id", plain("text").alias("a"), plain("other").alias("b"))
     return evaluation.error_rates(pairs, "doc_id", "a", "b", "cer")
 
 
 @query()
 def wer(spark, sf_dir):
-    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other"))
-    pairs = docs.join(bench, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", X.tokens(F.col("text")).alias("a"), X.tokens(F.col("other")).alias("b"))
+    pairs = _paired(spark, sf_dir).select("doc_id", X.tokens(F.col("text")).alias("a"), X.tokens(F.col("other")).alias("b"))
     return evaluation.error_rates(pairs, "doc_id", "a", "b", "wer")
 
 
@@ -693,7 +684,7 @@ def exposed_entities(spark, sf_dir):
 
 @query(
     """WITH o(tool, offer) AS (VALUES ('a', 'always'), ('b', 'domain:BUILDING'), ('c', 'domains:MACHINERY,FURNITURE'), ('d', 'todo')),
-h AS (SELECT c_nationkey, list(DISTINCT c_mktsegment) AS ds FROM customer WHERE c_custkey % 9 = 0 GROUP BY c_nationkey)
+h AS (SELECT c_nationkey, list(DISTINCT c_mktsegment) AS ds FROM customer GROUP BY c_nationkey)
 SELECT c_nationkey, tool FROM h, o WHERE offer = 'always' OR (offer = 'domain:BUILDING' AND list_contains(ds, 'BUILDING')) OR (offer LIKE 'domains:%' AND (list_contains(ds, 'MACHINERY') OR list_contains(ds, 'FURNITURE')))"""
 )
 def offered_tools(spark, sf_dir):
