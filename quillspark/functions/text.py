@@ -1,4 +1,4 @@
-"""Text functions of utterances and transcripts, as Column expressions."""
+"""Text functions of utterances and transcripts, as Column expressions."""
 
 from __future__ import annotations
 
@@ -110,3 +110,27 @@ def sub_spans(words: Column) -> Column:
 def last_name(qualified: Column, separator: str = "__") -> Column:
     """What follows the last separator."""
     return F.element_at(F.split(qualified, separator), -1)
+
+
+def change_title(title: Column) -> dict[str, Column]:
+    """Kind, scope, whether it breaks and subject of a title like kind(scope)!: subject; null for another one."""
+    pattern = r"^([a-z]+)(?:\(([^()]+)\))?(!?): (\S.*)$"
+    ok = title.rlike(pattern)
+    part = lambda i: F.when(ok, F.regexp_extract(title, pattern, i))
+    return {"kind": part(1), "scope": F.nullif(part(2), F.lit("")), "breaking": F.coalesce(part(3) == "!", F.lit(False)), "subject": part(4)}
+
+
+def sentence_case(text: Column) -> Column:
+    """A text with its first letter in upper case."""
+    return F.concat(F.upper(text.substr(1, 1)), F.substring(text, 2, 1 << 30))
+
+
+def number_article(number: Column) -> Column:
+    """The article before a number: "an" before eight, eleven, eighteen and what begins with eight."""
+    return F.when(number.cast("string").startswith("8") | number.isin(11, 18), "an").otherwise("a")
+
+
+def is_plural(text: Column) -> Column:
+    """Whether the last word ends in s, but not in a possessive."""
+    last = F.element_at(F.split(F.trim(text), r"\s+"), -1)
+    return last.endswith("s") & ~last.endswith("'s")

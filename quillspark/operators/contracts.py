@@ -1,4 +1,4 @@
-"""Tool calls and catalogues: contract checks, simple call texts, offers and exposed entities."""
+"""Tool calls and catalogues: contract checks, simple call texts, offers and exposed entities."""
 
 from __future__ import annotations
 
@@ -80,3 +80,67 @@ def generate_cases(entities: DataFrame, templates: list[str], reviewed: DataFram
     kept = kept.withColumn("h", F.sha2(F.concat_ws("|", F.lit(seed), "plain"), 256))
     place = F.row_number().over(Window.partitionBy(household).orderBy("h"))
     return kept.withColumn("place", place).where(F.col("place") <= cap).select(household, key, "utterance")
+
+
+def catalogue(tools: DataFrame, scripts: DataFrame, removed: DataFrame, home: str) -> DataFrame:
+    """Offered tools and scripts of each home without those removed."""
+    return tools.select(home, "tool").unionByName(scripts.select(home, "tool")).distinct().join(removed.select(home, "tool"), [home, "tool"], "left_anti")
+
+
+def unknown_removals(tools: DataFrame, scripts: DataFrame, removed: DataFrame, home: str) -> DataFrame:
+    """Removals of what a home doesn't have; must be empty."""
+    return removed.select(home, "tool").distinct().join(tools.select(home, "tool").unionByName(scripts.select(home, "tool")), [home, "tool"], "left_anti")
+
+
+def declared_domains(parameters: Column) -> Column:
+    """The domains that a tool's parameter schema names: enum or const of the property, of its items, or null."""
+    at = lambda path: F.get_json_object(parameters, path)
+    listed = F.coalesce(at("$.properties.domain.enum"), at("$.properties.domain.items.enum"))
+    one = F.coalesce(at("$.properties.domain.const"), at("$.properties.domain.items.const"))
+    return F.coalesce(F.from_json(listed, "array<string>"), F.when(one.isNotNull(), F.array(one)))
+
+
+def argument_fault(unexpected: Column, wrong_type: Column, missing: Column, wrong_value: Column) -> Column:
+    """The first fault of a call's arguments: unexpected names, then a wrong type, then what is missing or out of range."""
+    return F.when(unexpected, "unexpected_argument").when(wrong_type, "schema_mismatch").when(missing | wrong_value, "invalid_arguments")
+
+
+def chat_messages(turns: DataFrame, key: str, order: str) -> DataFrame:
+    """Role-tagged messages in order, with an empty system text left out and calls as JSON with sorted keys (P23). turns: key, order, role, text, tool, args."""
+    filled = turns.where((F.col("role") != "system") | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    call = F.when(F.col("tool").isNotNull(), F.to_json(F.struct(canonical_json(F.col("args")).alias("arguments"), F.col("tool").alias("name"))))
+    message = F.struct(F.col(order).alias("pos"), "role", F.coalesce("text", F.lit("")).alias("content"), call.alias("call"))
+    return filled.groupBy(key).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+
+
+def first_call(results: DataFrame, key: str, order: str, success: Column, keep: list[str]) -> DataFrame:
+    """The first call of each turn, and the id of the first one that succeeded (P25)."""
+    return results.groupBy(key).agg(F.min_by(F.struct(*keep), order).alias("_f"), F.min_by("target", F.when(success & F.col("target").isNotNull(), F.col(order))).alias("first_success")).select(key, "_f.*", "first_success")
+
+
+def completion(envelope: Column) -> dict[str, Column]:
+    """Content, calls and token usage of a completion as JSON; a broken envelope gives nulls."""
+    kind = "struct<choices:array<struct<message:struct<content:string,tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>>>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>"
+    parsed = F.from_json(envelope, kind)
+    message = F.get(parsed["choices"], F.lit(0))["message"]
+    calls = F.transform(message["tool_calls"], lambda c: F.struct(c["function"]["name"].alias("name"), F.from_json(c["function"]["arguments"], "map<string,string>").alias("args")))
+    return {"content": message["content"], "calls": calls, "prompt_tokens": parsed["usage"]["prompt_tokens"], "completion_tokens": parsed["usage"]["completion_tokens"]}
+
+
+def edited(fields: Column, drop: list[str], override: dict[str, Column]) -> Column:
+    """A map with its keys in order, some dropped and some set anew."""
+    rest = F.map_filter(fields, lambda k, v: ~k.isin(drop + list(override)))
+    both = F.map_concat(rest, F.create_map(*(x for k, v in override.items() for x in (F.lit(k), v)))) if override else rest
+    return F.map_from_entries(F.array_sort(F.map_entries(both)))
+
+
+def tagged_names(cases: DataFrame, tag: str) -> DataFrame:
+    """All names that cases with a tag use."""
+    return cases.where(F.array_contains("tags", tag)).select(F.explode("names").alias("name")).distinct()
+
+
+def names_by_domain(entities: DataFrame, by: list[str], rank: list[str], name: str) -> DataFrame:
+    """Names of each domain by rank, and whether there is just one."""
+    ranked = F.array_sort(F.collect_list(F.struct(*rank, name)))
+    grouped = entities.groupBy(*by).agg(F.transform(ranked, lambda x: x[name]).alias("names"))
+    return grouped.withColumn("only_one", F.size("names") == 1)

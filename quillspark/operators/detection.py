@@ -1,4 +1,4 @@
-"""Score streams into detections: windows, refractory suppression, clusters, interval joins.
+"""Score streams into detections: windows, refractory suppression, cascades, clusters, interval joins.
 
 Rows of a stream are ordered by an integer index. A stream may be of any length: what needs the
 row before works within buckets of the index and takes a bucket's last row from a small table.
@@ -45,6 +45,23 @@ def refractory(rows: DataFrame, key: str, index: str, gap: int, bucket: int | No
     return groups.select(key, F.explode(folded).alias(index))
 
 
+def cascade(rows: DataFrame, key: str, index: str, score: str, verifier: str, mine: float, detect: float, verify: float, gap: int) -> DataFrame:
+    """rows with mined, and the gate that decides: below, refractory, vetoed or fired (T5).
+
+    Rows are mined by score before any gate. A verifier's veto, or no score of its own, stops a row without starting the
+    refractory time, so only rows that pass the verifier are suppressed by each other, and any row within the time after one
+    that fired is refractory.
+    """
+    passing = rows.where((F.col(score) >= detect) & (F.col(verifier) >= verify))
+    fires = refractory(passing, key, index, gap).select(key, F.col(index).alias("_fire"), F.explode(F.array(F.floor(F.col(index) / gap), F.floor(F.col(index) / gap) + 1)).alias("_bucket"))
+    near = rows.withColumn("_bucket", F.floor(F.col(index) / gap)).join(fires, [key, "_bucket"], "left")
+    same, after = F.max(F.coalesce(F.col("_fire") == F.col(index), F.lit(False))), F.max(F.coalesce((F.col("_fire") < F.col(index)) & (F.col(index) - F.col("_fire") < gap), F.lit(False)))
+    found = near.groupBy(*rows.columns).agg(same.alias("_same"), after.alias("_after"), F.count("*").alias("_n"))
+    passes = F.coalesce(F.col(verifier) >= verify, F.lit(False))
+    gate = F.when(~F.coalesce(F.col(score) >= detect, F.lit(False)), "below").when(F.col("_after"), "refractory").when(~passes, "vetoed").when(F.col("_same"), "fired").otherwise("refractory")
+    return found.withColumns({"mined": F.coalesce(F.col(score) >= mine, F.lit(False)), "gate": gate}).drop("_same", "_after", "_n")
+
+
 def sampling_class(score: Column, fraction: Column, detect: float, mine: float, below: float) -> Column:
     """detection, near_threshold, below_threshold by a fraction of the rest, or null."""
     return F.when(score >= detect, "detection").when(score >= mine, "near_threshold").when(fraction < below, "below_threshold")

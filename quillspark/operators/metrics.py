@@ -1,4 +1,4 @@
-"""Measures of detectors over clips and sessions."""
+"""Measures of detectors over clips and sessions."""
 
 from __future__ import annotations
 
@@ -52,12 +52,6 @@ def within_hold(rows: DataFrame, key: str, time: str, order: list[str], holds: C
     return marked.where(F.coalesce("_held", F.lit(False)) & (F.col(time) - F.col("_at") <= seconds * 1_000_000)).drop("_held", "_at")
 
 
-def read_back(wanted: Column, start: Column, end: Column) -> dict[str, Column]:
-    """What a ring that holds [start, end) gives for so many samples before its end, and whether that is fewer than wanted."""
-    first = F.greatest(start, end - wanted)
-    return {"first": first, "n": end - first, "underflow": end - first < wanted}
-
-
 def near_phrase(phones: Column, target: Column, sizes: tuple[int, ...] = (3, 4, 5), most: int = 1) -> Column:
     """Whether a run of phones, a character each, is within some edits of a target."""
     parts = [_runs(phones, n) for n in sizes]
@@ -66,3 +60,35 @@ def near_phrase(phones: Column, target: Column, sizes: tuple[int, ...] = (3, 4,
 
 def _runs(phones: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(phones) - n + 1, F.lit(1))), lambda i: phones.substr(i, F.lit(n)))
+
+
+def status_counts(results: DataFrame, status: str = "status", strict: bool = False) -> DataFrame:
+    """Total and number of passed, failed, skipped and error; strict counts an empty run as an error."""
+    n = lambda kind: F.count_if(F.col(status) == kind)
+    empty = F.when(F.lit(strict) & (F.count("*") == 0), 1).otherwise(0)
+    return results.agg(F.count("*").alias("total"), *(n(k).alias(k) for k in ("passed", "failed", "skipped")), (n("error") + empty).alias("errors"))
+
+
+def background_rate(reports: DataFrame, background: list[str], category: str = "category", seconds: str = "seconds", activations: str = "activations") -> DataFrame:
+    """Seconds of the background categories, their activations, and activations an hour (A8, A10). activations: an array for each report."""
+    quiet = F.col(category).isin(background)
+    n, total = F.sum(F.when(quiet, F.size(activations)).otherwise(0)), F.sum(F.when(quiet, F.col(seconds)).otherwise(0.0))
+    return reports.agg(total.alias("background_seconds"), n.cast("long").alias("n_activations"), per_hour(n, total).alias("per_hour"))
+
+
+def wake_evaluation(results: DataFrame, background: list[str], strict: bool = False) -> DataFrame:
+    """The summary of an evaluation run in one row: counts by status, background seconds and activations an hour (Q7)."""
+    return status_counts(results, strict=strict).crossJoin(background_rate(results, background))
+
+
+def blockers(rules: dict[str, Column]) -> Column:
+    """The names of the rules that hold, in order."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
+
+
+def verdict(rules: dict[str, tuple[str, Column]]) -> Column:
+    """PASS, SKIP or FAIL with the reason of the first rule that holds, as "FAIL: reason"; PASS if none does (P20)."""
+    out = F.lit("PASS")
+    for reason, (kind, rule) in reversed(rules.items()):
+        out = F.when(F.coalesce(rule, F.lit(False)), F.lit(f"{kind}: {reason}")).otherwise(out)
+    return out

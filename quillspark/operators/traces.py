@@ -1,4 +1,4 @@
-"""Traces: filtered and merged listings, nesting, stage sums, retention and failures.
+"""Traces: filtered and merged listings, nesting, stage sums, retention and failures.
 
 A trace store has trace_id, seq (order of arrival), started_at, success (true, false or null) and
 more. Nothing here reads the clock: cutoffs are parameters.
@@ -86,3 +86,60 @@ def failure_counters(events: DataFrame, kind: Column, order: str, keep: list[str
 def redacted(traces: DataFrame, blank: list[str], masked: list[str]) -> DataFrame:
     """Some columns null, others replaced by a mark where they hold anything."""
     return traces.withColumns({c: F.lit(None).cast(traces.schema[c].dataType) for c in blank} | {c: F.when(F.col(c).isNotNull(), F.lit("**REDACTED**")) for c in masked})
+
+
+def pipeline_spans(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row for each run of a pipeline, from the latest event of each type.
+
+    events: key, type, at (microseconds) and text (of stt-end); those without a time don't count.
+    upload_ms lasts from stt-start to stt-vad-end, stt_ms from there, or from stt-start if no end
+    of speech was seen (vad false), to stt-end. An stt span without text fails the run.
+    """
+    types = ["run-start", "wake_word-end", "stt-start", "stt-vad-start", "stt-vad-end", "stt-end"]
+    latest = F.struct(F.col("at"), F.col("text"))
+    pick = {t: F.max_by(latest, F.when((F.col("type") == t) & F.col("at").isNotNull(), F.struct(*order))).alias(t) for t in types}
+    runs = events.groupBy(key).agg(*pick.values())
+    at = {t: F.col(f"`{t}`.at") for t in types}
+    ms = lambda a, b: F.greatest(F.bround((b - a) / 1000).cast("long"), F.lit(0).cast("long"))
+    start = F.coalesce(at["stt-vad-end"], at["stt-start"])
+    text = F.coalesce(F.col("`stt-end`.text"), F.lit(""))
+    heard = at["stt-end"].isNotNull() & start.isNotNull()
+    return runs.select(
+        key,
+        *(F.when(at[t].isNotNull() & at["run-start"].isNotNull(), ms(at["run-start"], at[t])).alias(n) for t, n in (("wake_word-end", "wake_ms"), ("stt-vad-start", "speech_start_ms"), ("stt-vad-end", "speech_end_ms"))),
+        F.when(at["stt-start"].isNotNull() & at["stt-vad-end"].isNotNull(), ms(at["stt-start"], at["stt-vad-end"])).alias("upload_ms"),
+        F.when(heard, ms(start, at["stt-end"])).alias("stt_ms"),
+        F.when(heard, at["stt-vad-end"].isNotNull()).alias("vad"),
+        F.when(heard, F.length(text).cast("long")).alias("text_length"),
+        F.when(heard, F.trim(text) != "").alias("stt_success"),
+        F.when(heard & (F.trim(text) == ""), "stt_failed").alias("error_type"),
+    )
+
+
+def finished(events: DataFrame, key: str, kind: str, at: str, last: str, now, timeout_us: int) -> DataFrame:
+    """Runs that are over: complete with their last event, or timeout if none came within the time."""
+    runs = events.groupBy(key).agg(F.min(at).alias("began"), F.max(F.when(F.col(kind) == last, F.col(at))).alias("ended"))
+    state = F.when(F.col("ended").isNotNull() & (F.col("ended") - F.col("began") <= timeout_us), "complete").when(F.lit(now) - F.col("began") > timeout_us, "timeout")
+    return runs.withColumn("state", state).where("state IS NOT NULL").select(key, "state", F.when(F.col("state") == "complete", F.col("ended")).otherwise(F.col("began") + timeout_us).alias("at"))
+
+
+def closed_spans(spans: DataFrame, failures: DataFrame, key: str) -> DataFrame:
+    """spans (key, opened, closed, success) with those that the trace's first failure found open closed by it as failed."""
+    first = failures.groupBy(key).agg(F.min("at").alias("_failed"))
+    joined = spans.join(first, key, "left")
+    cut = F.coalesce((F.col("opened") <= F.col("_failed")) & (F.col("closed").isNull() | (F.col("closed") > F.col("_failed"))), F.lit(False))
+    return joined.withColumns({"closed": F.when(cut, F.col("_failed")).otherwise(F.col("closed")), "success": F.when(cut, False).otherwise(F.col("success"))}).drop("_failed")
+
+
+def with_timings(traces: DataFrame, timings: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """traces with a satellite's timings of the same conversation, the latest if it sent several."""
+    latest = timings.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_t")).select(key, "_t.*")
+    return traces.join(latest, key, "left")
+
+
+def spoken(error: Column, messages: dict[str, str], default: str) -> Column:
+    """What to say of an error (P26); kinds of errors (P21) work the same way."""
+    out = F.lit(default)
+    for kind, text in reversed(messages.items()):
+        out = F.when(error == kind, text).otherwise(out)
+    return F.when(error.isNotNull(), out)
