@@ -69,15 +69,17 @@ def with_owners(calls: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def canonical(call: Column, own_id: Column, own_domain: Column) -> Column:
-    """A key that equal calls share (H37): a script by any of its names, an entity by its id, a domain that the name implies left out."""
+    """A key that equal calls share (H37): switching on a script is the call of that name, an entity goes by its id, a domain that the name implies is left out."""
     args, domains, name = call["args"], call["domains"], call["args"]["name"]
     only_name = F.size(F.array_except(F.map_keys(args), F.array(F.lit("name")))) == 0
     script = (call["tool"] == TURN_ON) & only_name & name.isNotNull() & own_id.startswith("script.") & (domains.isNull() | (domains == F.array(F.lit("script"))))
     acts = is_action(call["tool"])
     resolved = F.transform_values(args, lambda k, v: F.when((k == "name") & acts & own_id.isNotNull(), F.concat(F.lit("\x00"), own_id)).otherwise(v))
     left = F.when(acts & name.isNotNull() & (domains == F.array(own_domain)), F.lit(None)).otherwise(domains)
-    usual = F.to_json(F.struct(call["tool"].alias("tool"), F.array_sort(F.map_entries(resolved)).alias("args"), left.alias("domains")))
-    return F.when(F.coalesce(script, F.lit(False)), F.concat(F.lit("script "), F.substring(own_id, 8, 1 << 20))).otherwise(usual)
+    is_script = F.coalesce(script, F.lit(False))
+    tool = F.when(is_script, F.substring(own_id, len("script.") + 1, 1 << 20)).otherwise(call["tool"])
+    pairs = F.filter(F.array_sort(F.map_entries(resolved)), lambda e: ~is_script)
+    return F.to_json(F.struct(tool.alias("tool"), pairs.alias("args"), F.when(~is_script, left).alias("domains")))
 
 
 def relaxed(call: Column, area: Column, source: Column) -> Column:
