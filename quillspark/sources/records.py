@@ -1,4 +1,4 @@
-"""Readers and writers of cases, records, sessions and transcripts.
+"""Readers and writers of cases, records, sessions and transcripts.
 
 Strict readers fail on a bad row; lenient ones drop or default. Schemas are always given, never inferred.
 """
@@ -103,8 +103,3 @@ def write_snapshot(rows: DataFrame, root: str, columns: list[str]) -> str:
     path = f"{root.rstrip('/')}/{row[0]}"
     rows.select(*columns).write.mode("overwrite").json(path)
     return path
-
-
-def write_classes(rows: DataFrame, path: str, kind: str) -> None:
-    """A folder for each class."""
-    rows.write.mode("overwrite").partitionBy(kind).json(path)
