@@ -52,12 +52,12 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     order of turn, then role and text, so gaps and repeated rows are turns like others. A null
     role or text is rendered as empty and equals a null alone. A side without turns has an empty
     completion; a pair whose sides are equal has empty completions and all turns as prompt. Rows
-    with a null pair_id are one pair.
+    with a null pair_id belong to no pair and are left out.
     """
     order = Window.partitionBy("side", "pair_id").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("pair_id", "turn", "role", "text", F.lit(name).alias("side"))
+        return df.where("pair_id IS NOT NULL").select("pair_id", "turn", "role", "text", F.lit(name).alias("side"))
 
     turns = side(chosen, "c").unionByName(side(rejected, "r")).withColumn("place", F.row_number().over(order) - 1)
     body = F.concat(F.coalesce("text", F.lit("")), F.lit(TAIL))

@@ -66,25 +66,26 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, budget: float = BUDGE
     words, 0 for null. quality has doc_id and a positive weight; documents without one have 1, and
     several of a doc_id are averaged. copies: how often the mix holds the document; taken: its
     words in it. A source without words has target 0 and none of its documents is taken beyond
-    whole epochs of nothing. A null source is a source. Rows that share doc_id are documents of
-    their own that get one key. An empty table gives no rows.
+    whole epochs of nothing. A null source is a source. Rows that share doc_id and text, or
+    have no doc_id and one text, are documents of their own that get one key. An empty table gives no rows.
     """
-    slim = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), *keep)
+    slim = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), _uniform("doc_id", "text").alias("uniform"), *keep)
     if quality is not None:
         rated = quality.where("weight > 0").groupBy("doc_id").agg(F.avg("weight").alias("weight"))
         slim = slim.join(rated, "doc_id", "left")
     else:
         slim = slim.withColumn("weight", F.lit(1.0))
     # u ** (1 / w), largest first, is the order of -ln(u) / w, smallest first; 1 - exp(-x) spreads that over slices
-    key = -F.log(_uniform("doc_id")) / F.coalesce("weight", F.lit(1.0))
-    slim = slim.withColumn("key", key).drop("weight")
+    key = -F.log(F.col("uniform")) / F.coalesce("weight", F.lit(1.0))
+    slim = slim.withColumn("key", key).drop("weight", "uniform")
     fine = -F.expm1(-F.col("key")) * SLICES
     slim = slim.withColumn("coarse", F.floor(fine).cast("int")).withColumn("fine", F.floor((fine - F.floor(fine)) * SLICES).cast("int"))
     rows = Written(slim, "sizes").df
 
-    cells = rows.groupBy("source", "coarse").agg(F.sum("size").alias("words"))
-    cells = Written(cells, "cells").df
-    shares = Written(targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget), "targets").df
+    passing = [Written(rows.groupBy("source", "coarse").agg(F.sum("size").alias("words")), "cells")]
+    cells = passing[0].df
+    passing.append(Written(targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget), "targets"))
+    shares = passing[-1].df
     few = shares.count() <= LISTED_SOURCES
     shares = shares.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     shares = shares.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -105,13 +106,17 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, budget: float = BUDGE
         return F.broadcast(df) if few else df
 
     left = cells.join(listed(shares.select(F.col("source").alias("s"), "rest")), F.col("source").eqNullSafe(F.col("s"))).drop("s").where("rest > 0")
-    one = Written(edge(left, "coarse", ["rest"]), "edge").df
+    passing.append(Written(edge(left, "coarse", ["rest"]), "edge"))
+    one = passing[-1].df
     inner = rows.join(listed(one), same(rows, one, "coarse")).select(rows["source"], rows["coarse"], "fine", "size", (F.col("rest") - F.col("before")).alias("rest"), F.col("before").alias("base"))
     inner = inner.groupBy("source", "coarse", "rest", "base", "fine").agg(F.sum("size").alias("words"))
-    two = Written(edge(inner, "fine", ["coarse", "rest", "base"]).select("source", "coarse", "fine", (F.col("base") + F.col("before")).alias("before")), "edge").df
+    passing.append(Written(edge(inner, "fine", ["coarse", "rest", "base"]).select("source", "coarse", "fine", (F.col("base") + F.col("before")).alias("before")), "edge"))
+    two = passing[-1].df
 
     ends = two.select(F.col("source").alias("s"), F.col("coarse").alias("end_coarse"), F.col("fine").alias("end_fine"), F.col("before"))
     known = Written(shares.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "shares").df
+    for x in passing:
+        x.drop()
     out = rows.join(listed(known), same(rows, known)).drop(known["source"])
     here = (F.col("coarse") == F.col("end_coarse")) & (F.col("fine") == F.col("end_fine"))
     early = F.coalesce((F.col("coarse") < F.col("end_coarse")) | ((F.col("coarse") == F.col("end_coarse")) & (F.col("fine") < F.col("end_fine"))), F.lit(False))

@@ -143,6 +143,8 @@ def _trusted(edges: DataFrame) -> DataFrame:
         found = edges.where("NOT seed").join(patterns.df, "pattern").join(scores.df, "value", "left_anti").groupBy("value").agg(F.max("trust").alias("score"))
         new = Written(found, "scores")
         if new.df.isEmpty():
+            for x in (new, scores):
+                x.drop()
             return patterns.df
         both = Written(scores.df.unionByName(new.df), "scores")
         for x in (patterns, new, scores):
@@ -167,8 +169,9 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
 
     each = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")
     edges = each.select("value", "seed", F.explode("patterns").alias("pattern"))
-    edges = Written(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges").df
-    trusted = _trusted(edges).select("pattern")
+    edges = Written(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
+    trusted = _trusted(edges.df).select("pattern")
+    edges.drop()
     open_ = each.where("NOT base").select("row", "start", "end", "value", F.explode("patterns").alias("pattern"))
     new = open_.join(trusted, "pattern").select("row", "start", "end", "value").distinct()
     new = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("found"))

@@ -131,6 +131,14 @@ def test_chat_prefix_and_masks(spark):
     assert (got[2].n_prompt_turns, got[2].chosen, got[2].rejected) == (1, "", "")
     assert (got[3].prompt, got[3].rejected, got[4].chosen, got[4].rejected_mask) == ("", "", "", "14:27")
     assert chat_format.op1(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+    nobody = spark.createDataFrame([(None, 0, "user", "x"), (5, 0, "user", "y")], schema)
+    assert [x.pair_id for x in chat_format.format_pairs(nobody, nobody).collect()] == [5]
+
+
+def test_empty_tables(spark, empty):
+    """Operators that have no test of their own on an empty table."""
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality.op3(empty, labels).count() == toxicity.op7(empty, labels).count() == token_counts.op9(empty).count() == 0
 
 
 # -- op2 --------------------------------------------------------------------------------------
@@ -167,6 +175,28 @@ def test_mixing(spark, docs, some, labels):
     assert all(r.taken <= 2 * r.size for r in got)
 
 
+def test_mixing_by_brute_force(spark):
+    """The cut of each source's sorted keys, with whole epochs before it, document by document."""
+    rng = random.Random(11)
+    data = [(None if i % 11 == 0 else i, " ".join("w" * rng.randint(0, 30)), rng.choice("ab") if i % 5 else None) for i in range(500)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    weight = {i: float(rng.choice([1, 4])) for i in range(0, 500, 3)}
+    quality = spark.createDataFrame(list(weight.items()), "doc_id bigint, weight double")
+    got = mixing.mix(docs, quality, budget=1.2, keep=("text",)).collect()
+    uniform = {(r.doc_id, r.text, r.source): r.u for r in docs.select("*", mixing._uniform("doc_id", "text").alias("u")).collect()}
+    for source in (None, "a", "b"):
+        own = [r for r in got if r.source == source]
+        epochs = int(own[0].target // own[0].source_size)
+        rest, until, want = own[0].target - epochs * own[0].source_size, 0, {}
+        for key, doc_id, size in sorted(((-np.log(uniform[r.doc_id, r.text, source]) / weight.get(r.doc_id, 1.0), r.doc_id or 0, r.size) for r in own)):
+            until += size
+            want.setdefault((key, doc_id, size), []).append((epochs + (until - size / 2 <= rest)) * size)
+        taken = {}
+        for r in own:
+            taken.setdefault((-np.log(uniform[r.doc_id, r.text, source]) / weight.get(r.doc_id, 1.0), r.doc_id or 0, r.size), []).append(r.taken)
+        assert {k: sorted(v) for k, v in taken.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_mixing_prefers_good_documents(spark):
     n = 4000
     docs = spark.range(n).selectExpr("id AS doc_id", "'a b' AS text", "'s' AS source")
@@ -354,6 +384,44 @@ def test_toxicity_learns(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_toxicity_forward_by_loops():
+    """Scores of windows against the network written out step by step, with shorter windows padded at their end."""
+    rng = np.random.default_rng(1)
+    net = toxicity.train(["a b c d"] * 4, [0, 1, 0, 1])
+    w = net.weights = {k: (rng.standard_normal(v.shape) * 0.5).astype(np.float32) for k, v in net.weights.items()}
+    n = toxicity.STATE
+    x = np.vstack([rng.standard_normal((9, toxicity.WORD_SIZE + toxicity.CHAR_SIZE)), np.zeros((1, toxicity.WORD_SIZE + toxicity.CHAR_SIZE))]).astype(np.float32)
+    index = rng.integers(0, 9, (6, 7))
+    for i in range(6):
+        index[i, 7 - i :] = 9
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def read(words, d):
+        h, out = np.zeros(n), []
+        for i in words:
+            a = x[i] @ w[f"W{d}"] + w[f"b{d}"]
+            zr = sigmoid(a[: 2 * n] + h @ w[f"U{d}"])
+            c = np.tanh(a[2 * n :] + (zr[n:] * h) @ w[f"V{d}"])
+            h = (1 - zr[:n]) * h + zr[:n] * c
+            out.append(h)
+        return out
+
+    for row, got in zip(index, net.logits(x, index), strict=True):
+        words = [i for i in row if i != 9]
+        states = [np.concatenate(both) for both in zip(read(words, "f"), read(words[::-1], "b")[::-1], strict=True)]
+        e = np.array([np.tanh(s @ w["A"]) @ w["a"] for s in states])
+        share = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        assert got == pytest.approx(sum(k * s for k, s in zip(share, states, strict=True)) @ w["o"] + w["c"][0], abs=1e-4)
+
+
+def test_windows_hold_short_phrases():
+    """Every run of up to WINDOW - STRIDE + 1 words lies whole in a window, wherever it starts."""
+    size = toxicity.WINDOW_WORDS - toxicity.STRIDE_WORDS + 1
+    rows, _ = toxicity.window_index(np.array([0, 200]), np.arange(200), 999)
+    held = {tuple(r[i : i + size]) for r in rows.tolist() for i in range(len(r) - size + 1)}
+    assert all(tuple(range(i, i + size)) in held for i in range(200 - size + 1))
+
+
 def test_windows_cover_every_word():
     bounds = np.array([0, 0, 3, 3 + 24, 27 + 25, 52 + 200])
     windows_, text = toxicity.window_index(bounds, np.arange(252), 999)
