@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,9 +26,14 @@ def percentile(value: Column, q: float) -> Column:
     return F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0))
 
 
-def upper_median(value: Column) -> Column:
-    """The element at half the count, not interpolated."""
-    return F.element_at(F.sort_array(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int") + 1)
+def upper_medians(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Of each group the value at half the count, not interpolated (A6). Equal values are counted first, and a running sum finds the place, so no group is held whole."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    within = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    placed = counts.withColumn("_until", F.sum("_n").over(within))
+    placed = placed.join(totals, by) if by else placed.crossJoin(F.broadcast(totals))
+    return placed.where(F.col("_until") > F.floor(F.col("_total") / 2)).groupBy(*by).agg(F.min(value).alias(out))
 
 
 def sigmoid(x: Column) -> Column:

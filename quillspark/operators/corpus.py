@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.numbers import stable_fraction
 
-SAY_SO = r"\bSAY SO\b"
-#: Terms that make a transcript a hard negative.
-HARD_TERMS = r"\b(SAY SOMETHING|SAY SOME|SAY|SO|SAID|SAYS|SAME|SAVE|SAFE)\b"
-
-
 def label_conflicts(entries: DataFrame, digest: str, label: str) -> DataFrame:
     """All members of hashes that carry more than one label (A14). The labels of a hash are counted before they meet its members."""
     labels = entries.where(F.col(label).isNotNull() & F.col(digest).isNotNull()).groupBy(digest, label).agg(F.count("*").alias("n"))
@@ -57,17 +52,21 @@ def without(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return rows.join(other.select(key).distinct(), key, "left_anti")
 
 
-def transcript_class(text: Column) -> Column:
-    """excluded_say_so, hard_negative or false_positive."""
+def _whole(phrases: list[str]) -> str:
+    return r"\b(" + "|".join(phrases) + r")\b"
+
+
+def transcript_class(text: Column, phrase: str, terms: list[str]) -> Column:
+    """excluded if a transcript holds the phrase itself, hard_negative if one of the terms like it, else false_positive (P13). Phrase and terms in upper case."""
     upper = F.upper(text)
-    return F.when(upper.rlike(SAY_SO), "excluded_say_so").when(upper.rlike(HARD_TERMS), "hard_negative").otherwise("false_positive")
+    return F.when(upper.rlike(_whole([phrase])), "excluded").when(upper.rlike(_whole(terms)), "hard_negative").otherwise("false_positive")
 
 
-def transcript_terms(text: Column) -> Column:
+def transcript_terms(text: Column, phrase: str, terms: list[str]) -> Column:
     """The sorted distinct terms that decide the class."""
     upper = F.upper(text)
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(upper, F.lit(HARD_TERMS), F.lit(1))))
-    return F.when(upper.rlike(SAY_SO), F.array(F.lit("SAY SO"))).otherwise(found)
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(upper, F.lit(_whole(terms)), F.lit(1))))
+    return F.when(upper.rlike(_whole([phrase])), F.array(F.lit(phrase))).otherwise(found)
 
 
 def fired_said(fired: Column, said: Column) -> Column:
@@ -86,12 +85,22 @@ def sample_by_hash(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     return rows.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)
 
 
-def capped_weak(rows: DataFrame, weak: Column, order: str, share: float) -> DataFrame:
-    """All strong rows, and of the weak ones the first, at most max(1, share of all)."""
-    allowed = rows.agg(F.greatest(F.floor(F.count("*") * share), F.lit(1)).alias("allowed"))
-    numbered = rows.where(weak).withColumn("rank", F.row_number().over(Window.orderBy(order)))
-    some = numbered.join(F.broadcast(allowed), F.col("rank") <= F.col("allowed")).drop("rank", "allowed")
-    return rows.where(~F.coalesce(weak, F.lit(False))).unionByName(some)
+def capped_weak(rows: DataFrame, weak: Column, order: str, share: float, slices: int = 4096) -> DataFrame:
+    """All strong rows, and of the weak ones the first, at most max(1, share of all) (L10). order: a number, distinct for each row.
+
+    Slices of the order are counted to find the one in which the cut lies; only that slice is ranked.
+    """
+    few = F.greatest(F.floor(F.count("*") * share), F.lit(1)).alias("_allowed")
+    ends = rows.agg(few, F.min(F.when(weak, F.col(order))).alias("_low"), F.max(F.when(weak, F.col(order))).alias("_high"))
+    place = F.floor((F.col(order) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * slices)
+    weaker = rows.where(weak).crossJoin(F.broadcast(ends)).withColumn("_slice", F.coalesce(place, F.lit(-1)))
+    cells = weaker.groupBy("_slice").agg(F.count("*").alias("_n"), F.first("_allowed").alias("_most"))
+    until = F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))  # over the slices, not the rows
+    cells = cells.withColumn("_left", F.col("_most") - until + F.col("_n")).where("_left > 0").select("_slice", "_n", "_left")
+    kept = weaker.join(F.broadcast(cells), "_slice")
+    whole = kept.where("_n <= _left").select(*rows.columns)
+    cut = kept.where("_n > _left").withColumn("_rank", F.row_number().over(Window.partitionBy("_slice").orderBy(order)))
+    return rows.where(~F.coalesce(weak, F.lit(False))).unionByName(whole).unionByName(cut.where("_rank <= _left").select(*rows.columns))
 
 
 def within_caps(records: DataFrame, kind: str, order: list[str], size: str, per_class: int, most: int, most_bytes: int) -> DataFrame:

@@ -248,7 +248,7 @@ def percentiles(spark, sf_dir):
 
 @query(f"SELECT event_type, list_sort(list(score))[count(*) // 2 + 1] AS middle FROM {SCORES} GROUP BY event_type")
 def upper_medians(spark, sf_dir):
-    return lenses.scores(spark, sf_dir).groupBy("event_type").agg(N.upper_median(F.col("score")).alias("middle"))
+    return N.upper_medians(lenses.scores(spark, sf_dir), ["event_type"], "score", "middle")
 
 
 @query(f"SELECT event_type AS variant, avg(e) AS mean_error, quantile_cont(e, 0.5) AS p50, quantile_cont(e, 0.95) AS p95, count(*) FILTER (WHERE e = 0) AS n_exact FROM (SELECT event_type, floor(score / 100) AS e FROM {SCORES}) GROUP BY event_type")
@@ -343,17 +343,19 @@ def fired_said_matrix(spark, sf_dir):
     return lenses.scores(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-_SAYS = r"\b(SAY SOMETHING|SAY SOME|SAY|SO|SAID|SAYS|SAME|SAVE|SAFE)\b"
+_PHRASE, _TERMS = "OF THE", ["OTHER OF", "OF", "THEN", "THERE", "AND"]
+_TERM = r"\b(" + "|".join(_TERMS) + r")\b"
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN regexp_matches(u, '\\bSAY SO\\b') THEN 'excluded_say_so' WHEN regexp_matches(u, '{_SAYS}') THEN 'hard_negative' ELSE 'false_positive' END AS kind,
-CASE WHEN regexp_matches(u, '\\bSAY SO\\b') THEN 'SAY SO' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(u, '{_SAYS}'))), ',') END AS terms
+    f"""SELECT doc_id, CASE WHEN regexp_matches(u, '\\b{_PHRASE}\\b') THEN 'excluded' WHEN regexp_matches(u, '{_TERM}') THEN 'hard_negative' ELSE 'false_positive' END AS kind,
+CASE WHEN regexp_matches(u, '\\b{_PHRASE}\\b') THEN '{_PHRASE}' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(u, '{_TERM}'))), ',') END AS terms
 FROM (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS u FROM documents)"""
 )
 def transcript_classes(spark, sf_dir):
     plain = F.regexp_replace("text", "[^A-Za-z]+", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", corpus.transcript_class(plain).alias("kind"), F.array_join(corpus.transcript_terms(plain), ",").alias("terms"))
+    kind, terms = corpus.transcript_class(plain, _PHRASE, _TERMS), corpus.transcript_terms(plain, _PHRASE, _TERMS)
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.array_join(terms, ",").alias("terms"))
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY sha256('v1|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 250")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOME = """home_id string, satellite_area string, sayso_entity_area string, areas map<string, array<string>>, area_aliases map<string, array<string>>,
+HOME = """home_id string, satellite_area string, areas map<string, array<string>>, area_aliases map<string, array<string>>,
 entities array<struct<entity_id: string, name: string, aliases: array<string>, domain: string, device_class: string, area: string, floor: string, state: string>>,
 context_entities array<struct<name: string, domain: string, area: string>>"""
 SESSION = "session_id string, source_path string, sample_rate int, sample_count bigint, duration_seconds double, ingested_utc string, audio_sha256 string, notes string"
@@ -29,10 +29,10 @@ def _parsed(documents: DataFrame, schema: str) -> DataFrame:
     return documents.withColumn("d", F.from_json("text", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
 
 
-def read_homes(spark: SparkSession, path: str) -> DataFrame:
-    """Homes with defaults for the entity's area and the aliases of areas."""
-    homes = _parsed(read_documents(spark, path, "*.json"), HOME).select("file", "stem", "d.*").drop("_bad")
-    return homes.withColumns({"sayso_entity_area": F.coalesce("sayso_entity_area", "satellite_area"), "area_aliases": F.coalesce("area_aliases", "areas")})
+def read_homes(spark: SparkSession, path: str, own_area: str = "own_area") -> DataFrame:
+    """Homes with defaults for the assistant's own area, in the field of that name, and for the aliases of areas."""
+    homes = _parsed(read_documents(spark, path, "*.json"), f"{HOME}, {own_area} string").select("file", "stem", "d.*").drop("_bad")
+    return homes.withColumns({own_area: F.coalesce(own_area, "satellite_area"), "area_aliases": F.coalesce("area_aliases", "areas")})
 
 
 def misnamed_homes(homes: DataFrame) -> DataFrame:

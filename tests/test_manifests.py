@@ -17,10 +17,10 @@ def put(folder, **files):
 
 def test_homes(spark, tmp_path):
     home = {"home_id": "a", "satellite_area": "Kitchen", "areas": {"Kitchen": ["cook"]}, "entities": [{"name": "Lamp", "domain": "light", "area": None}]}
-    homes = manifests.read_homes(spark, put(tmp_path, a_json=home, b_json=home | {"sayso_entity_area": "Hall", "area_aliases": {}}))
+    homes = manifests.read_homes(spark, put(tmp_path, a_json=home, b_json=home | {"own_area": "Hall", "area_aliases": {}}))
     got = {r.stem: r for r in homes.collect()}
-    assert got["a"].sayso_entity_area == "Kitchen" and got["a"].area_aliases == {"Kitchen": ["cook"]} and got["a"].entities[0].name == "Lamp"
-    assert got["b"].sayso_entity_area == "Hall" and got["b"].area_aliases == {}
+    assert got["a"].own_area == "Kitchen" and got["a"].area_aliases == {"Kitchen": ["cook"]} and got["a"].entities[0].name == "Lamp"
+    assert got["b"].own_area == "Hall" and got["b"].area_aliases == {}
     assert [r.home_id for r in manifests.misnamed_homes(homes).collect()] == ["a"]
 
 

@@ -74,7 +74,18 @@ def test_ratio_policies(spark):
 @pytest.mark.parametrize("values, middle", [([1.0], 1.0), ([1.0, 2.0], 2.0), ([3.0, 1.0, 2.0], 2.0), ([4.0, 1.0, 2.0, 3.0], 3.0)])
 def test_upper_median(spark, values, middle):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    assert df.agg(N.upper_median(F.col("x"))).first()[0] == middle
+    assert N.upper_medians(df, [], "x", "middle").first()[0] == middle
+
+
+def test_weak_cap_in_slices(spark):
+    """The first weak rows by order up to a share of all, whatever the slices."""
+    from quillspark.operators import corpus
+
+    data = [(i * i, i % 3 == 0) for i in range(40)]
+    rows = spark.createDataFrame(data, "id bigint, weak boolean")
+    for share, slices in ((0.1, 3), (0.25, 4096), (0.0, 1), (2.0, 7)):
+        want = [i for i, w in data if not w] + [i for i, w in data if w][: max(1, int(40 * share))]
+        assert sorted(r.id for r in corpus.capped_weak(rows, F.col("weak"), "id", share, slices).collect()) == sorted(want)
 
 
 def fires(times, gap):
