@@ -1,4 +1,4 @@
-"""Text functions of utterances and transcripts, as Column expressions."""
+"""Text functions of utterances and transcripts, as Column expressions."""
 
 from __future__ import annotations
 
@@ -134,3 +134,42 @@ def is_plural(text: Column) -> Column:
     """Whether the last word ends in s, but not in a possessive."""
     last = F.element_at(F.split(F.trim(text), r"\s+"), -1)
     return last.endswith("s") & ~last.endswith("'s")
+
+
+def loose_words(text: Column) -> Column:
+    """Lower case with all but letters, digits, underscores, apostrophes and white space as a space (H3)."""
+    return squeeze(F.regexp_replace(text, r"[^\w\s']", " "))
+
+
+def letter_word(word: Column) -> Column:
+    """A word's lower-case letters and apostrophes (H3)."""
+    return F.regexp_replace(F.lower(word), "[^a-z']", "")
+
+
+def without_lines(text: Column, patterns: list[str]) -> Column:
+    """A text without the lines that begin with one of the patterns."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike("^(?:" + "|".join(patterns) + ")")), "\n")
+
+
+def area_lines(satellite: Column, target: Column, source: Column) -> Column:
+    """The lines that tell a model about areas."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "none").otherwise(c)
+    return F.concat_ws("\n", F.lit("Area context:"), line("satellite_area", some(satellite)), line("target_area", some(target)), line("target_area_source", source))
+
+
+def heard(text: Column, label: Column) -> Column:
+    """Whether a normalized utterance holds a normalized label as whole words."""
+    framed = lambda c: F.concat(F.lit(" "), normalize_utterance(c), F.lit(" "))
+    return F.contains(framed(text), framed(label))
+
+
+def literal(text: Column, labels: Column) -> Column:
+    """Whether an utterance says a label of every target that has some (H43). labels: an array of labels for each call."""
+    return F.forall(labels, lambda some: (F.size(some) == 0) | F.exists(some, lambda one: heard(text, one)))
+
+
+def answer_key(text: Column, kind: Column, calls: Column, candidates: Column, missing: Column) -> Column:
+    """A key that cases with one utterance and one answer share."""
+    answer = F.struct(calls.alias("calls"), F.array_sort(candidates).alias("candidates"), kind.alias("response_type"), missing.alias("unavailable"))
+    return F.concat_ws("|", normalize_utterance(text), F.to_json(answer))

@@ -1,4 +1,4 @@
-"""Capture records: their outcomes and sessions, listings, caps, label logs and audits."""
+"""Capture records: their outcomes and sessions, listings, caps, label logs and audits."""
 
 from __future__ import annotations
 
@@ -116,3 +116,51 @@ def relabelled(records: DataFrame, log: DataFrame, key: str, order: list[str]) -
 def context_bounds(start: Column, end: Column, before: int, after: int, length: Column) -> tuple[Column, Column]:
     """A window with its context, within the recording."""
     return F.greatest(start - before, F.lit(0)), F.least(end + after, length)
+
+
+def teacher(label: Column, ambiguous: Column, clipped: Column, silent: Column, disagreed: Column, peak: Column, below: Column, trusted: list[str], quiet: int = 100, loud: int = 5000, very_loud: int = 8000) -> dict[str, Column]:
+    """A label and the reason for it, by the first rule that holds: a person's label, what can't be told, then levels (P18). No rule gives a positive."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    rules = [
+        (sure(label.isin(trusted)), label, "trusted_manual"),
+        (sure(ambiguous), None, "homophone_ambiguous"),
+        (sure(clipped), None, "clipping"),
+        (sure(silent), None, "empty_asr"),
+        (sure(disagreed), None, "teacher_disagreement"),
+        (peak < quiet, F.lit("negative"), "quiet_window"),
+        ((peak >= very_loud) & sure(below), None, "uncertain_alignment"),
+        (peak >= loud, None, "no_automatic_positive"),
+    ]
+    given, reason = F.lit("negative"), F.lit("conservative_negative")
+    for rule, value, why in reversed(rules):
+        given = F.when(rule, F.lit(None).cast("string") if value is None else value).otherwise(given)
+        reason = F.when(rule, why).otherwise(reason)
+    return {"label": given, "reason": reason}
+
+
+def context_flags(windows: DataFrame, chunks: DataFrame, key: str, before: int, after: int, capacity: int, deadline_us: int) -> DataFrame:
+    """windows (key, id, start, end, at) with whether the audio before them is gone from the ring, or the audio after them came too late.
+
+    chunks (key, end, arrived) tell how far a stream had come at a time: a window's own end, and the deadline.
+    """
+    points = windows.select(key, "id", F.col("at").alias("time"), F.lit(1).alias("kind")).unionByName(windows.select(key, "id", (F.col("at") + deadline_us).alias("time"), F.lit(2).alias("kind")))
+    marks = chunks.select(key, F.lit(None).cast("bigint").alias("id"), F.col("arrived").alias("time"), F.lit(0).alias("kind"), F.col("end").alias("reached"))
+    both = points.withColumn("reached", F.lit(None).cast("bigint")).unionByName(marks)
+    upto = F.max("reached").over(Window.partitionBy(key).orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    seen = both.withColumn("reached", F.coalesce(upto, F.lit(0))).where("kind > 0").groupBy(key, "id").agg(F.max(F.when(F.col("kind") == 1, F.col("reached"))).alias("now"), F.max(F.when(F.col("kind") == 2, F.col("reached"))).alias("late"))
+    out = windows.join(seen, [key, "id"])
+    gone = F.greatest(F.col("start") - before, F.lit(0)) < F.col("now") - capacity
+    return out.withColumns({"pre_context_missing": gone | (F.col("start") < before), "post_context_missing": F.col("late") < F.col("end") + after}).drop("now", "late")
+
+
+def hold_spans(acquired: DataFrame, released: DataFrame, id: str, timeout_us: int) -> DataFrame:
+    """acquired (id, at) with until: the release of the same id, or the timeout if that comes first."""
+    first = released.groupBy(id).agg(F.min("at").alias("_released"))
+    end = F.least(F.coalesce("_released", F.col("at") + timeout_us), F.col("at") + timeout_us)
+    return acquired.join(first, id, "left").withColumn("until", F.greatest(end, F.col("at"))).drop("_released")
+
+
+def write_commands(commands: DataFrame, path: str) -> None:
+    """Speech commands, and copies of the failed ones in a folder of their own."""
+    commands.write.mode("append").json(f"{path}/commands")
+    commands.where("failed").write.mode("append").json(f"{path}/failures")

@@ -62,6 +62,13 @@ def cascade(rows: DataFrame, key: str, index: str, score: str, verifier: str, mi
     return found.withColumns({"mined": F.coalesce(F.col(score) >= mine, F.lit(False)), "gate": gate}).drop("_same", "_after", "_n")
 
 
+def replay(windows: DataFrame, key: str, index: str, score: str, threshold: float, gap: int) -> DataFrame:
+    """Scored windows of recorded sessions as what a detector does with them: windows, best score and activations of each (Q6)."""
+    fires = refractory(windows.where(F.col(score) >= threshold), key, index, gap).groupBy(key).agg(F.count("*").alias("n_activations"))
+    seen = windows.groupBy(key).agg(F.count("*").alias("n_windows"), F.max(score).alias("best"))
+    return seen.join(fires, key, "left").fillna(0, ["n_activations"])
+
+
 def sampling_class(score: Column, fraction: Column, detect: float, mine: float, below: float) -> Column:
     """detection, near_threshold, below_threshold by a fraction of the rest, or null."""
     return F.when(score >= detect, "detection").when(score >= mine, "near_threshold").when(fraction < below, "below_threshold")

@@ -1,4 +1,4 @@
-"""Evaluation results: selection, scoring by bags, rates, gates, qualification."""
+"""Evaluation results: selection, scoring by bags, rates, gates, qualification."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from quillspark.functions.numbers import rate
 
 
-def select_cases(cases: DataFrame, suite: DataFrame | None = None, category: str | None = None, tag: str | None = None) -> DataFrame:
-    """Cases of a suite in its order, of a category, with a tag."""
+def select_cases(cases: DataFrame, suite: DataFrame | None = None, category: str | None = None, tag: str | None = None, household: str | None = None, case_id: str | None = None) -> DataFrame:
+    """Cases of a suite in its order, of a category or household, with a tag; a case_id selects that case whatever else is asked."""
+    if case_id is not None:
+        return cases.where(F.col("case_id") == case_id)
     if suite is not None:
         cases = cases.join(suite, "case_id")
-    if category is not None:
-        cases = cases.where(F.col("category") == category)
+    for column, value in (("category", category), ("household", household)):
+        if value is not None:
+            cases = cases.where(F.col(column) == value)
     if tag is not None:
         cases = cases.where(F.array_contains("tags", tag))
     return cases.orderBy("pos") if suite is not None else cases
@@ -52,23 +55,6 @@ def bag_comparison(expected: DataFrame, actual: DataFrame, case: str, item: str)
     return out.withColumn("equal", (F.col("n_missing") == 0) & (F.col("n_unexpected") == 0))
 
 
-def outcome(parse_error: Column, unknown_tool: Column, violations: Column, expected: Column, n_calls: Column, equal: Column, clarification: Column, refusal: Column) -> Column:
-    """The first of the ordered rules that holds (Q1)."""
-    acts = expected.isin("action", "status")
-    return (
-        F.when(parse_error, "malformed_output")
-        .when(unknown_tool, "unknown_tool")
-        .when(violations > 0, "invalid_arguments")
-        .when(acts & (n_calls == 0), F.when(clarification | refusal, "wrong_abstention").otherwise("no_call"))
-        .when(acts & equal, "correct")
-        .when(acts, "wrong_call")
-        .when(n_calls > 0, "false_action")
-        .when((expected == "clarification") & clarification, "correct")
-        .when((expected == "refusal") & refusal, "correct")
-        .otherwise("wrong_abstention")
-    )
-
-
 def summarize(results: DataFrame) -> DataFrame:
     """One row of totals and rates (A1, A4). Columns: passed, expected_type, outcome, n_calls."""
     acts, quiet = F.col("expected_type").isin("action", "status"), F.col("expected_type").isin("clarification", "refusal")
@@ -145,6 +131,12 @@ def variant_summary(phrases: DataFrame, variant: str, error: str) -> DataFrame:
     return phrases.groupBy(variant).agg(F.avg(error).alias("mean_error"), F.percentile(error, F.lit(0.5)).alias("p50"), F.percentile(error, F.lit(0.95)).alias("p95"), F.count_if(F.col(error) == 0).alias("n_exact"))
 
 
+def variant_delta(summary: DataFrame, variant: str, base: str, other: str) -> DataFrame:
+    """How much another variant's mean error and number of exact matches exceed the base's, in one row."""
+    pick = lambda name, column: F.max(F.when(F.col(variant) == name, F.col(column)))
+    return summary.agg(*((pick(other, c) - pick(base, c)).alias(f"delta_{c}") for c in ("mean_error", "n_exact")))
+
+
 def gain_recommendation(levels: Column, target: float, low: float = -12.0, high: float = 24.0) -> Column:
     """The middle distance to a target level, within limits."""
     return F.greatest(F.lit(low), F.least(F.lit(high), F.percentile(F.lit(target) - levels, F.lit(0.5))))

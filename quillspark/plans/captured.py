@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import captures
-from quillspark.plans.lenses import HOUR, micros, table
+from quillspark.functions import text as X
+from quillspark.operators import captures, detection, metrics
+from quillspark.plans.lenses import DETECT, HOUR, micros, table
 from quillspark.plans.registry import query
 
 _LABEL = "CASE event_id % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'unsure' END"
@@ -117,3 +118,75 @@ def context_bounds(spark, sf_dir):
     at = F.floor(F.col("value") * 10000)
     first, last = captures.context_bounds(at, at, 5000, 2000, F.lit(4_000_000).cast("long"))
     return table(spark, sf_dir, "events").select("event_id", first.alias("first"), last.alias("last"))
+
+
+_RULES = """CASE WHEN l IN ('positive', 'negative') THEN 'trusted_manual' WHEN event_id % 11 = 0 THEN 'homophone_ambiguous' WHEN event_id % 13 = 0 THEN 'clipping' WHEN event_id % 17 = 0 THEN 'empty_asr' WHEN event_id % 19 = 0 THEN 'teacher_disagreement'
+WHEN peak < 100 THEN 'quiet_window' WHEN peak >= 8000 AND event_type = 'view' THEN 'uncertain_alignment' WHEN peak >= 5000 THEN 'no_automatic_positive' ELSE 'conservative_negative' END"""
+
+
+@query(
+    f"""SELECT event_id, CASE reason WHEN 'trusted_manual' THEN l WHEN 'quiet_window' THEN 'negative' WHEN 'conservative_negative' THEN 'negative' END AS label, reason
+FROM (SELECT *, {_RULES} AS reason FROM (SELECT *, {_LABEL} AS l, value * 50 AS peak FROM events))"""
+)
+def taught_labels(spark, sf_dir):
+    rows, each = _captures(spark, sf_dir), lambda n: F.col("event_id") % n == 0
+    got = captures.teacher(F.col("label"), each(11), each(13), each(17), each(19), F.col("value") * 50, F.col("event_type") == "view", ["positive", "negative"])
+    return rows.select("event_id", got["label"].alias("label"), got["reason"].alias("reason"))
+
+
+@query(
+    """WITH w AS (SELECT event_id, user_id, epoch_us(ts) AS m, CAST(floor(value * 1000) AS BIGINT) AS s FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, CAST(floor(value * 1000) AS BIGINT) + 9000 AS e, epoch_us(ts) AS m FROM events WHERE event_type <> 'purchase'),
+r AS (SELECT w.event_id, any_value(s) AS s, coalesce(max(e) FILTER (WHERE c.m <= w.m), 0) AS now, coalesce(max(e) FILTER (WHERE c.m <= w.m + 86400000000), 0) AS late FROM w LEFT JOIN c USING (user_id) GROUP BY w.event_id)
+SELECT event_id, greatest(s - 3000, 0) < now - 200000 OR s < 3000 AS pre_context_missing, late < s + 2000 + 5000 AS post_context_missing FROM r"""
+)
+def context_flags(spark, sf_dir):
+    rows = _captures(spark, sf_dir).select("event_id", "user_id", "event_type", micros("ts").alias("at"), F.floor(F.col("value") * 1000).alias("s"))
+    windows = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("id"), F.col("s").alias("start"), (F.col("s") + 2000).alias("end"), "at")
+    chunks = rows.where("event_type <> 'purchase'").select("user_id", (F.col("s") + 9000).alias("end"), F.col("at").alias("arrived"))
+    return captures.context_flags(windows, chunks, "user_id", 3000, 5000, 200_000, 86_400_000_000).select(F.col("id").alias("event_id"), "pre_context_missing", "post_context_missing")
+
+
+@query(
+    "SELECT event_id, greatest(least(coalesce(r, m + 3600000000), m + 3600000000), m) AS until FROM (SELECT event_id, epoch_us(ts) AS m FROM events WHERE event_type = 'click')"
+    " LEFT JOIN (SELECT event_id - 1 AS event_id, min(epoch_us(ts)) AS r FROM events GROUP BY 1) USING (event_id)"
+)
+def hold_spans(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", micros("ts").alias("at"))
+    spans = captures.hold_spans(rows.where("event_type = 'click'").select("event_id", "at"), rows.select((F.col("event_id") - 1).alias("event_id"), "at"), "event_id", HOUR)
+    return spans.select("event_id", "until")
+
+
+@query(
+    f"""WITH RECURSIVE h AS (SELECT DISTINCT user_id AS stream, epoch_us(ts) AS idx FROM events WHERE value >= {DETECT}),
+f AS (SELECT stream, min(idx) AS idx FROM h GROUP BY stream UNION ALL SELECT f.stream, (SELECT min(h.idx) FROM h WHERE h.stream = f.stream AND h.idx >= f.idx + {HOUR}) FROM f WHERE f.idx IS NOT NULL)
+SELECT user_id AS stream, count(*) AS n_windows, max(value) AS best, (SELECT count(idx) FROM f WHERE f.stream = user_id) AS n_activations FROM events GROUP BY user_id"""
+)
+def replayed_sessions(spark, sf_dir):
+    windows = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), micros("ts").alias("idx"), F.col("value").alias("score"))
+    return detection.replay(windows, "stream", "idx", "score", DETECT, HOUR)
+
+
+@query("SELECT p_partkey, len(list_filter(range(1, greatest(length(p_name) - 2, 1) + 1), lambda i: levenshtein(substr(p_name, i, 3), 'ring') <= 1)) + len(list_filter(range(1, greatest(length(p_name) - 3, 1) + 1), lambda i: levenshtein(substr(p_name, i, 4), 'ring') <= 1)) + len(list_filter(range(1, greatest(length(p_name) - 4, 1) + 1), lambda i: levenshtein(substr(p_name, i, 5), 'ring') <= 1)) > 0 AS near FROM part")
+def near_phrases(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", metrics.near_phrase(F.col("p_name"), F.lit("ring")).alias("near"))
+
+
+@query(
+    r"""SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(p_name || '-' || p_brand || '!', '[^\w\s'']', ' ', 'g')), '\s+', ' ', 'g')) AS loose, regexp_replace(lower(p_brand), '[^a-z'']', '', 'g') AS letters,
+CASE WHEN p_size > 25 THEN p_type ELSE p_name || chr(10) || p_type END AS rest, 'Area context:' || chr(10) || 'satellite_area: ' || p_brand || chr(10) || 'target_area: ' || CASE WHEN p_size > 25 THEN 'none' ELSE p_name END || chr(10) || 'target_area_source: none' AS area,
+p_size % 2 = 0 AS literal FROM part"""
+)
+def rendered_texts(spark, sf_dir):
+    name, brand, kind, big = F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size") > 25
+    text = F.concat_ws("\n", F.when(big, F.concat(F.lit("Area: "), name)).otherwise(name), kind)
+    labels = F.array(F.array().cast("array<string>"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("zebra"), name)).otherwise(F.array(F.lit("zebra"))))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.loose_words(F.concat(name, F.lit("-"), brand, F.lit("!"))).alias("loose"), X.letter_word(brand).alias("letters"), X.without_lines(text, ["Area:", "Room:"]).alias("rest"),
+        X.area_lines(brand, F.when(~big, name), F.lit("none")).alias("area"), X.literal(F.concat(F.lit("please dim the "), name, F.lit(" for me")), labels).alias("literal"),
+    )
+
+
+@query("""SELECT p_partkey, 'dim ' || p_name || '|{"calls":["' || p_type || '"],"candidates":["a","b"],"response_type":"' || p_brand || '"}' AS key FROM part""")
+def answer_keys(spark, sf_dir):
+    key = X.answer_key(F.concat(F.lit("Please dim "), F.col("p_name")), F.col("p_brand"), F.array("p_type"), F.array(F.lit("b"), F.lit("a")), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", key.alias("key"))
