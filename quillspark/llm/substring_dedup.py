@@ -8,7 +8,8 @@ only hashes that occur again travel back to their documents. A document's repeat
 merged into maximal intervals, whose words go.
 
 Two windows count as the same if their 64-bit hashes agree; among n windows n * n / 2**65 pairs
-of different ones are expected to agree by chance, 5e-4 for 0.1 billion.
+of different ones are expected to agree by chance, 5e-4 for 0.1 billion. A document's repeated
+windows are told from its others by 48 bits: k * k / 2**48 for k windows of one document.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _send(batches: Iterator[pa.RecordBatch], size: int, ranges: int) -> Iterator
         same = np.append(False, h[1:] == h[:-1])  # as the one before
         repeated = same | np.append(same[1:], False)
         keys = np.column_stack([np.asarray(batch.column(k)) for k in ("key", "tag")]).astype(np.int64)
-        known = _packed(d[repeated], h[repeated])
+        known = _packed(d[repeated], h[repeated], short=True)
         batch_id = task << 32 | number
         rows = [(batch_id % ranges, batch_id, *known, keys.tobytes())]
         h, d = h[~same], d[~same]
@@ -70,13 +71,25 @@ def _send(batches: Iterator[pa.RecordBatch], size: int, ranges: int) -> Iterator
         yield _batch(rows, _SENT)
 
 
-def _packed(owners: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+def _packed(owners: np.ndarray, hashes: np.ndarray, short: bool = False) -> tuple[bytes, bytes, bytes]:
     """Distinct hashes of each owner: the owners, how many each has, and the hashes owner by owner."""
     order = np.lexsort((hashes, owners))
     owners, hashes = owners[order], hashes[order]
     new = np.append(True, (owners[1:] != owners[:-1]) | (hashes[1:] != hashes[:-1]))[: len(owners)]
     used, counts = np.unique(owners[new], return_counts=True)
-    return used.astype(np.uint16).tobytes(), counts.astype(np.uint32).tobytes(), hashes[new].tobytes()
+    return used.astype(np.uint16).tobytes(), counts.astype(np.uint32).tobytes(), _short(hashes[new]) if short else hashes[new].tobytes()
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of each hash."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(short: bytes) -> np.ndarray:
+    """The hashes that _short has made, with high bits of 0."""
+    out = np.zeros((len(short) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -102,7 +115,7 @@ def _again(rows: pa.Table) -> pa.Table:
         own = hit[ends[i] : ends[i + 1]]
         if own.any():
             by = np.repeat(np.frombuffer(owners, np.uint16).astype(np.int64), np.frombuffer(counts, np.uint32))
-            out.append((batch, *_packed(by[own], hashes[i][own]), None))
+            out.append((batch, *_packed(by[own], hashes[i][own], short=True), None))
     return pa.concat_tables([pa.Table.from_batches([_batch(out, _BACK)]), passed])
 
 
@@ -111,14 +124,14 @@ _FOUND = "key bigint, tag bigint, hashes binary"
 
 def _gather(rows: pa.Table) -> pa.Table:
     """The repeated windows of each text of a batch, by its key."""
-    kinds = {"owners": np.uint16, "counts": np.uint32, "hashes": np.uint64, "keys": np.int64}
-    owners, counts, hashes, keys = (np.frombuffer(b"".join(rows[k].drop_null().to_pylist()), v) for k, v in kinds.items())
-    keys, by = keys.reshape(-1, 2), np.repeat(owners.astype(np.int64), counts)
+    owners, counts, hashes, keys = (b"".join(rows[k].drop_null().to_pylist()) for k in ("owners", "counts", "hashes", "keys"))
+    hashes, keys = _long(hashes), np.frombuffer(keys, np.int64).reshape(-1, 2)
+    by = np.repeat(np.frombuffer(owners, np.uint16).astype(np.int64), np.frombuffer(counts, np.uint32))
     order = np.argsort(by, kind="stable")
     by, hashes = by[order], hashes[order]
     used = np.unique(by)
     lo, hi = np.searchsorted(by, used, "left"), np.searchsorted(by, used, "right")
-    return pa.Table.from_batches([_batch([(*keys[i].tolist(), hashes[a:b].tobytes()) for i, a, b in zip(used, lo, hi, strict=True)], _FOUND)])
+    return pa.Table.from_batches([_batch([(*keys[i].tolist(), _short(hashes[a:b])) for i, a, b in zip(used, lo, hi, strict=True)], _FOUND)])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -130,7 +143,8 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
                 lo, hi = c.bounds[i], c.bounds[i + 1]
                 gone = np.zeros(hi - lo, bool)
                 if found[c.first + i].is_valid:
-                    at = np.flatnonzero(np.isin(windows(h[lo:hi], size), np.frombuffer(found[c.first + i].as_buffer(), np.uint64)))
+                    low = windows(h[lo:hi], size) & np.uint64((1 << 48) - 1)
+                    at = np.flatnonzero(np.isin(low, _long(found[c.first + i].as_py())))
                     edge = np.zeros(hi - lo + 1, np.int32)
                     edge[at] += 1
                     edge[at + size] -= 1
