@@ -171,7 +171,18 @@ def tumbling_argmax(spark, sf_dir):
     return detection.bucket_best(lenses.scores(spark, sf_dir), "stream", "idx", "score", 24 * HOUR, 50.0)
 
 
-@query()
+_NEW_CLUSTER = "{'first': w.s, 's': w.s, 'e': w.e, 'score': w.score, 'n': CAST(1 AS BIGINT)}"
+_GROWN = "CASE WHEN w.score >= x.score THEN {'first': x.first, 's': w.s, 'e': w.e, 'score': w.score, 'n': x.n + 1} ELSE {'first': x.first, 's': x.s, 'e': x.e, 'score': x.score, 'n': x.n + 1} END"
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT stream, idx - {HOUR} AS s, idx AS e, score, row_number() OVER (PARTITION BY stream ORDER BY idx, score) AS k FROM {SCORES} WHERE score >= {MINE}),
+t AS (SELECT DISTINCT stream, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT("first" BIGINT, s BIGINT, e BIGINT, score DOUBLE, n BIGINT)[]) AS c FROM w UNION ALL
+SELECT t.stream, w.k, CASE WHEN hit > 0 THEN list_transform(c, lambda x, i: CASE WHEN i = hit THEN {_GROWN} ELSE x END) ELSE list_append(c, {_NEW_CLUSTER}) END
+FROM t JOIN w ON w.stream = t.stream AND w.k = t.k + 1, LATERAL (SELECT coalesce(list_position(list_transform(t.c, lambda x: x.s < w.e AND w.s < x.e), true), 0) AS hit)),
+g AS (SELECT stream, unnest(arg_max(c, k)) AS c FROM t GROUP BY stream)
+SELECT stream, c.first AS first_start, c.s AS start, c.e AS "end", c.score AS score, c.n AS n_windows FROM g"""
+)
 def cluster_overlaps(spark, sf_dir):
     windows = lenses.scores(spark, sf_dir).where(F.col("score") >= MINE).select("stream", (F.col("idx") - HOUR).alias("s"), F.col("idx").alias("e"), "score")
     return detection.clusters(windows, "stream", "s", "e", "score")
@@ -304,9 +315,14 @@ def _hashed(spark, sf_dir):
     return docs.join(labels, "doc_id", "left").select("doc_id", F.sha2("text", 256).alias("digest"), path.alias("path"), label.alias("label"), (F.col("doc_id") % 13 == 0).alias("pinned"))
 
 
-@query(f"SELECT doc_id, digest, label FROM {_HASHED} WHERE digest IN (SELECT digest FROM {_HASHED} WHERE label IS NOT NULL GROUP BY digest HAVING count(DISTINCT label) > 1)")
+_ENTRIES = "(SELECT p_partkey, sha256(p_name || p_brand) AS digest, CASE WHEN p_size % 5 > 0 THEN CASE WHEN p_size % 9 = 0 THEN 'positive' ELSE 'negative' END END AS label FROM part)"
+
+
+@query(f"SELECT p_partkey, digest, label FROM {_ENTRIES} WHERE digest IN (SELECT digest FROM {_ENTRIES} WHERE label IS NOT NULL GROUP BY digest HAVING count(DISTINCT label) > 1)")
 def label_conflicts(spark, sf_dir):
-    return corpus.label_conflicts(_hashed(spark, sf_dir), "digest", "label").select("doc_id", "digest", "label")
+    label = F.when(F.col("p_size") % 5 > 0, F.when(F.col("p_size") % 9 == 0, "positive").otherwise("negative"))
+    entries = table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat("p_name", "p_brand"), 256).alias("digest"), label.alias("label"))
+    return corpus.label_conflicts(entries, "digest", "label").select("p_partkey", "digest", "label")
 
 
 @query(f"SELECT doc_id, path, retained_copy FROM (SELECT *, first_value(path) OVER (PARTITION BY digest ORDER BY NOT pinned, path) AS retained_copy FROM {_HASHED}) WHERE path <> retained_copy AND NOT pinned")
@@ -454,9 +470,10 @@ def suite_lookup(spark, sf_dir):
     return evaluation.select_cases(lenses.results(spark, sf_dir), suite).select("pos", "case_id", "category")
 
 
-@query("SELECT lower(p_name) AS label, min(p_partkey) AS p_partkey FROM part GROUP BY lower(p_name) HAVING count(DISTINCT p_partkey) = 1")
+@query("SELECT label, min(p_partkey) AS p_partkey FROM (SELECT lower(p_name || ' ' || p_brand || ' ' || p_size) AS label, p_partkey FROM part) GROUP BY label HAVING count(DISTINCT p_partkey) = 1")
 def unique_owner_ids(spark, sf_dir):
-    return evaluation.unique_owners(table(spark, sf_dir, "part").withColumn("label", F.lower("p_name")), "label", "p_partkey")
+    label = F.lower(F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string")))
+    return evaluation.unique_owners(table(spark, sf_dir, "part").withColumn("label", label), "label", "p_partkey")
 
 
 @query("SELECT label, min(p_brand) AS p_brand, min(p_type) AS p_type FROM (SELECT DISTINCT lower(p_name) || '/' || p_size AS label, p_brand, p_type FROM part) GROUP BY label HAVING count(*) = 1")
