@@ -337,6 +337,32 @@ def test_embedding_odd(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, None)], key=repr)
 
 
+def test_embedding_many_equal_vectors(spark):
+    """A group of equal vectors is one entity: each counts all others, and what is near them counts them all."""
+    n, x = 20_000, [0.5, 0.25, -1.0]
+    rows = spark.range(n).selectExpr("id + 10 AS vec_id", "array(0.5F, 0.25F, -1.0F) AS embedding")
+    more = spark.createDataFrame([(1, [0.5, 0.25, -1.01]), (2, [0.0, 1.0, 0.0]), (3, x)], "vec_id bigint, embedding array<float>")
+    got = embedding_dedup.op5(rows.unionByName(more))
+    assert {(r.n_links, r.component_id) for r in got.where("vec_id >= 10").collect()} == {(n + 1, 1)}
+    assert by_id(got.where("vec_id < 10").withColumnRenamed("vec_id", "doc_id"), "n_links", "component_id", "kept") == {1: (n + 1, 1, True), 2: (0, 2, True), 3: (n + 1, 1, False)}
+
+
+def test_embedding_recall(spark):
+    """Pairs just above the least cosine are found nearly all, and the sketches lose none of them."""
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    cosine = rng.uniform(0.951, 0.96, 1500)[:, None]
+    pairs = np.stack([a, cosine * a + np.sqrt(1 - cosine**2) * b], 1).reshape(3000, 64)
+    got = {r.vec_id: r.component_id for r in embedding_dedup.op5(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pairs)], "vec_id bigint, embedding array<double>")).collect()}
+    assert np.mean([got[2 * i + 1] == 2 * i for i in range(1500)]) >= 0.98
+    signs = pairs @ embedding_dedup.planes(64, embedding_dedup.SKETCH_BITS) > 0
+    assert (signs[::2] != signs[1::2]).sum(1).max() <= embedding_dedup.most_apart()
+
+
 # -- op6 --------------------------------------------------------------------------------------
 
 
