@@ -23,8 +23,8 @@ from quillspark.llm.words import chunks
 #: Tokens of a block.
 BLOCK_TOKENS = 1 << 16
 #: Bytes of text that go to one file on average, a third of that in ids; a task reads a file whole, so this bounds tasks.
-SHARD_TEXT_BYTES = 64 << 20
-LEAST_SHARDS = 16
+SHARD_TEXT_BYTES = 32 << 20
+LEAST_SHARDS = 4
 #: Bytes of an id, and the id that ends a document.
 WIDTH = 2
 SEPARATOR_ID = 0
