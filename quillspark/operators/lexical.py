@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import phrase_in, tokens
+from quillspark.functions.text import tokens
+
+
+#: First tokens of labels up to which each task gets them all.
+LISTED_HEADS = 1000
 
 
 def phrase_matches(utterances: DataFrame, labels: DataFrame, key: str, text: str = "utterance", label: str = "label") -> DataFrame:
-    """Pairs of utterances and labels whose tokens are a contiguous part of the utterance's (J19). key: the utterance's, distinct.
+    """Distinct pairs of an utterance's key and a label whose tokens are a contiguous part of the utterance's (J19), with the label's columns.
 
-    A label can only match where its first token stands, so both sides meet by that token instead
-    of by a cross product, without the texts; the phrase is tested where they have met.
+    A label can only match where its first token stands, so both sides meet by that token instead of by a cross product. Each
+    place of an utterance brings as many tokens as the longest label has, so the phrase is tested where the sides have met.
     """
-    words = utterances.withColumn("_words", tokens(F.col(text)))
-    heads = words.select(key, F.explode(F.array_distinct("_words")).alias("_head"))
-    named = labels.withColumn("_phrase", tokens(F.col(label))).withColumn("_head", F.get("_phrase", F.lit(0)))
-    met = heads.join(named, "_head").drop("_head")
-    return words.join(met, key).where(phrase_in(F.col("_phrase"), F.col("_words"))).drop("_words", "_phrase")
+    named = labels.withColumn("_phrase", tokens(F.col(label))).withColumn("_head", F.get("_phrase", F.lit(0))).where("_head IS NOT NULL")
+    width = named.agg(F.max(F.size("_phrase"))).first()[0] or 1
+    words = utterances.select(key, tokens(F.col(text)).alias("_words")).where(F.size("_words") > 0)
+    heads = [r[0] for r in named.select("_head").distinct().limit(LISTED_HEADS + 1).collect()]
+    places = F.sequence(F.lit(1), F.size("_words"))
+    if len(heads) <= LISTED_HEADS:  # few first tokens are looked up where the text is; more meet the text by the join alone
+        places = F.filter(places, lambda i: F.element_at("_words", i).isin(heads))
+    runs = F.transform(places, lambda i: F.concat(F.array_join(F.slice("_words", i, width), " "), F.lit(" ")))
+    each = words.select(key, F.explode(F.array_distinct(runs)).alias("_run")).withColumn("_head", F.substring_index("_run", " ", 1))
+    met = each.join(named, "_head").where(F.startswith("_run", F.concat(F.array_join("_phrase", " "), F.lit(" "))))
+    return met.select(key, *labels.columns).distinct()
 
 
 def domain_hints(matches: DataFrame, key: str, domain: str, control: list[str]) -> DataFrame:
@@ -69,8 +81,21 @@ def history(messages: DataFrame, key: str, order: str) -> DataFrame:
     return messages.join(starts, key, "left").where(F.col("start").isNull() | (F.col(order) >= F.col("start")) | (F.col("role") == "system")).drop("start")
 
 
+def _with_checkpoints(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspark-"))
+
+
 def closure(edges: DataFrame, source: str, target: str, most_rounds: int = 64) -> DataFrame:
-    """All pairs that edges join in one step or more (J21). Stops with an error if paths are still new after most_rounds doublings."""
+    """All pairs that edges join in one step or more (J21). Stops with an error if paths are still new after most_rounds doublings.
+
+    Lineage is cut in the session's checkpoint folder; a local session without one gets its own, a cluster must name one.
+    """
+    _with_checkpoints(edges.sparkSession)
     paths = edges.select(source, target).where(F.col(source).isNotNull() & F.col(target).isNotNull()).distinct()
     n = paths.count()
     for _ in range(most_rounds):
