@@ -1,4 +1,4 @@
-"""Tool calls and catalogues: contract checks, simple call texts, offers and exposed entities."""
+"""Tool calls and catalogues: contract checks, simple call texts, offers and exposed entities."""
 
 from __future__ import annotations
 

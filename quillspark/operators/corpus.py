@@ -1,4 +1,4 @@
-"""Labelled corpora: hash audits, duplicates, splits, leakage, labelling counts."""
+"""Labelled corpora: hash audits, duplicates, splits, leakage, labelling counts."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Score streams into detections: windows, refractory suppression, cascades, clusters, interval joins.
+"""Score streams into detections: windows, refractory suppression, cascades, clusters, interval joins.
 
 Rows of a stream are ordered by an integer index. A stream may be of any length: what needs the
 row before works within buckets of the index and takes a bucket's last row from a small table.

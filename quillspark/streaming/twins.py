@@ -1,4 +1,4 @@
-"""Streaming twins of batch operators (T3, T8, T13, S17, S18): over the same rows in order they give the same result."""
+"""Streaming twins of batch operators (T2, T3, T7, T8, T13): over the same rows in order they give the same result."""
 
 from __future__ import annotations
 

@@ -95,3 +95,23 @@ def test_streaming_windows(spark, tmp_path):
     want = {(r.start, r.k): (r.best, r.n) for r in batch.groupBy(F.window("t", "1 minute"), "k").agg(F.max("score").alias("best"), F.count("*").alias("n")).select(F.col("window.start").alias("start"), "k", "best", "n").collect()}
     got = {(r.start, r.k): (r.best, r.n) for r in spark.sql("SELECT * FROM best").collect()}
     assert got and all(want[k] == v for k, v in got.items()) and len(got) >= len(want) - 2
+
+
+def test_streaming_finished_traces(spark, tmp_path):
+    """A trace closes when it was quiet for a while, and tells whether its end came."""
+    rows = [("a", 0, "x"), ("a", 20, "run-end"), ("b", 5, "x"), ("b", 30, "x"), ("late", 4000, "x")]
+    spark.createDataFrame(rows, "k string, s int, kind string").selectExpr("k", "timestamp_seconds(s) AS t", "kind").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, t timestamp, kind string").parquet(f"{tmp_path}/in")
+    run(twins.finished_traces(stream, "t", "k", "kind", "run-end", "1 minute", "0 seconds"), "finished")
+    assert sorted((r.k, r.n_events, r.completed) for r in spark.sql("SELECT * FROM finished").collect()) == [("a", 2, True), ("b", 2, False)]
+
+
+def test_streaming_context(spark, tmp_path):
+    """Audio after a detection meets it; without any the detection comes alone once the watermark has passed."""
+    put = lambda rows, columns, name: spark.createDataFrame(rows, "k string, s int").selectExpr("k", f"timestamp_seconds(s) AS {columns}").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    put([("a", 10), ("b", 20), ("z", 9000)], "t", "d")
+    put([("a", 12), ("a", 300), ("z", 9100)], "audio_time", "a")
+    read = lambda schema, name: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+    run(twins.with_context(read("k string, t timestamp", "d"), read("k string, audio_time timestamp", "a"), "k", "t", "10 seconds", "0 seconds"), "context")
+    got = sorted((r.k, r.post_context_missing) for r in spark.sql("SELECT * FROM context WHERE k <> 'z'").collect())
+    assert got == [("a", False), ("b", True)]
