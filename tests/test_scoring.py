@@ -153,3 +153,10 @@ def test_areas_by_hand(spark):
     assert {r.k: r.areas for r in named.collect()} == {0: ["Living Room"], 1: ["Room", "Office"], 2: ["Back Office"], 3: ["Living Room"], 5: ["Living Room", "Room", "Office"]}
     assert got == {0: ("Living Room", "explicit"), 1: (None, "multiple"), 2: ("Back Office", "explicit"), 3: ("Living Room", "explicit"), 4: ("Hall", "satellite"), 5: (None, "multiple")}
     assert {r.k: r.area for r in grounding.longest_area(df, areas, "k", "text").collect()} == {0: "Living Room", 1: "Room", 2: "Back Office", 3: "Living Room", 5: "Living Room"}
+
+
+def test_held_answers(spark):
+    turns = [(0, "yes please"), (1, "no thanks"), (2, "the desk one"), (3, "yes"), (4, "lamp"), (5, "no, yes"), (6, ""), (7, "the kitchen lamp, no")]
+    options = [(0, "a", ["Desk Lamp"]), (1, "a", ["Desk Lamp"])] + [(i, o, [label]) for i in range(2, 8) for o, label in (("a", "Desk Lamp"), ("b", "Kitchen Lamp"))]
+    got = grounding.held_answers(spark.createDataFrame(turns, "k int, text string"), spark.createDataFrame(options, "k int, option string, labels array<string>"), "k", "text")
+    assert {r.k: (r.cancelled, r.option) for r in got.collect()} == {0: (False, "a"), 1: (True, None), 2: (False, "a"), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, "b")}
