@@ -48,6 +48,25 @@ def test_run(spark, folder):
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 60
 
 
+def test_odd_ids(spark, tmp_path):
+    """Rows without an id, and rows that repeat one, go through all stages; only copies of identified rows go."""
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["river", "house", "light", "green", "old"]) + rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(50))
+    a, b, c = text(), text(), text()
+    data = [(None, a, "s"), (None, a, "s"), (1, a, "s"), (1, a, "s"), (1, b, "t"), (2, a, None), (None, None, "t"), (3, c, "t")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in data], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, 1, 1), (2, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert good.count() == 7
+    one = stages["ngram_jaccard_join"](spark, good, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=repr) == sorted([(None, a), (None, a), (1, a), (1, b), (3, c)], key=repr)
+    assert stages["pii"](spark, one, str(tmp_path)).count() == 5
+    got = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in got} <= {None, 1, 3} and sum(r["count"] for r in got) >= 5
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
