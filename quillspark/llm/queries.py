@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat_format, embedding_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_counts, toxicity
+from quillspark.llm import bpe, chat_format, embedding_dedup, fill_middle, filter_audit, html_template, mixing, ngram_join, pii, quality, substring_dedup, token_counts, toxicity
 from quillspark.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.op11(table(spark, sf_dir, "pages"))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_token_counts,
         op10_bpe,
+        op11_html_extraction,
+        op12_filter_interaction,
+        op13_fill_middle,
     )
 }
-ORACLES: dict[str, str] = {"op1_chat_formatting": chat_format.SQL, "op9_token_counts": token_counts.SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": chat_format.SQL, "op9_token_counts": token_counts.SQL, "op12_filter_interaction": filter_audit.SQL, "op13_fill_middle": fill_middle.SQL}
