@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import numbers as N
 from quillspark.functions import text as X
 from quillspark.operators import contracts, corpus, detection, evaluation, lexical, metrics, traces
-from quillspark.plans import captured, lenses, replayed, scored  # noqa: F401 - three of them register their queries
+from quillspark.plans import called, captured, lenses, replayed, scored  # noqa: F401 - four of them register their queries
 from quillspark.plans.lenses import DETECT, HALF_HOUR, HOUR, MINE, table
 from quillspark.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
