@@ -81,7 +81,7 @@ def history(messages: DataFrame, key: str, order: str) -> DataFrame:
     return messages.join(starts, key, "left").where(F.col("start").isNull() | (F.col(order) >= F.col("start")) | (F.col("role") == "system")).drop("start")
 
 
-def _with_checkpoints(spark: SparkSession) -> None:
+def with_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -95,7 +95,7 @@ def closure(edges: DataFrame, source: str, target: str, most_rounds: int = 64) -
 
     Lineage is cut in the session's checkpoint folder; a local session without one gets its own, a cluster must name one.
     """
-    _with_checkpoints(edges.sparkSession)
+    with_checkpoints(edges.sparkSession)
     paths = edges.select(source, target).where(F.col(source).isNotNull() & F.col(target).isNotNull()).distinct()
     n = paths.count()
     for _ in range(most_rounds):

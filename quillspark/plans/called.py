@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import schemas
+from quillspark.functions.text import normalize_utterance
+from quillspark.operators import budgets, schemas
 from quillspark.plans.lenses import table
 from quillspark.plans.registry import query
 
@@ -63,3 +64,31 @@ def call_violations(spark, sf_dir):
 )
 def call_failures(spark, sf_dir):
     return schemas.argument_failures(calls(spark, sf_dir), TOOLS).select("l_orderkey", "l_linenumber", "l_partkey", "failure")
+
+
+SEED = "v1"
+#: What drafts say of a part, by place.
+TEMPLATES = ("Turn on the {name}", "please turn on the {name}", "Is the {name} on for me?")
+
+
+def drafts(spark, sf_dir):
+    """part: a draft for each part and template; a home for each brand, five categories of each home by size.
+
+    An utterance comes once in a home, a type twice, and an answer (name and category) once in all
+    homes; of each home's category 12 stay.
+    """
+    home, category = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("bigint"), F.col("p_size").cast("bigint") % 5
+    part = table(spark, sf_dir, "part").select("*", home.alias("home"), category.alias("category"), F.posexplode(F.array(*map(F.lit, TEMPLATES))).alias("place", "template"))
+    part = part.withColumn("utterance", F.replace("template", F.lit("{name}"), F.col("p_name")))
+    items = F.array(
+        budgets.item(F.concat_ws("|", F.lit("said"), "home", normalize_utterance(F.col("utterance"))), 1),
+        budgets.item(F.concat_ws("|", F.lit("near"), "home", "p_type", "place"), 2),
+        budgets.item(F.concat_ws("|", F.lit("answer"), "p_name", "category"), 1, late=True),
+    )
+    return part.select((F.col("home") * 5 + F.col("category")).alias("phase"), (F.col("p_partkey") * 3 + F.col("place")).alias("pos"), items.alias("items"), F.lit(12).alias("cap"), "p_brand", "utterance")
+
+
+@query()
+def admitted_cases(spark, sf_dir):
+    found = budgets.admit(drafts(spark, sf_dir), SEED)
+    return found.df.where("kept").select("phase", "pos", "p_brand", "utterance")
