@@ -101,6 +101,8 @@ def _runs(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Documents that are numbered together at most, whatever the batches hold; a number has 16 bits.
+MOST_OWNERS = 1 << 15
 _SENT = "range int, batch bigint, owners binary, counts binary, single binary, several binary, measures binary"
 
 
@@ -112,7 +114,8 @@ def _send(batches: Iterator[pa.RecordBatch], size: int, ranges: int) -> Iterator
     """
     names = [x.split(" ")[0] for x in _SENT.split(", ")]
     task = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
+    pieces = (whole.slice(at, MOST_OWNERS) for whole in batches for at in range(0, whole.num_rows, MOST_OWNERS))
+    for number, batch in enumerate(pieces):
         sets = list(_sets(batch.column("text"), size))
         digests = np.array([_digests(s) for s in sets], np.int64).reshape(-1, 3)
         _, first = np.unique(digests, axis=0, return_index=True)
@@ -542,13 +545,13 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tup
     share its doc_id but not their text all stay, and so do all rows with a null doc_id.
     """
     copies = near_components(docs, size, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
     kept = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
     if rest:
-        kept = kept.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_rest")).select("doc_id", "text", *(F.col("_rest")[c].alias(c) for c in rest))
+        kept = kept.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("rest")).select("doc_id", "text", *(F.col(f"rest.{c}") for c in rest))
     else:
         kept = kept.distinct()
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return kept.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op4(docs: DataFrame) -> DataFrame:
