@@ -45,6 +45,9 @@ LEAST_SUPPORT = 3
 UNSEEN = 0.05
 MOST_ROUNDS = 60
 CONTEXT = 64
+#: Items that a sweep gathers at a time, and code points of a piece of a text.
+SWEEP = 128
+BLOCK = 4096
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -58,15 +61,55 @@ def _matches(text: str, pattern: str, hint: str | None) -> tuple[Column, Column]
     return found, gaps
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used, lambdas included."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _swept(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]) -> Column:
+    """emit(state, x) of each item in order, where state, an integer, is zero folded by step over the items before.
+
+    A fold copies what it gathers at each step, so it gathers the states alone, first one for each
+    block of items and then, block by block, one for each item; that keeps the time near to
+    proportional to the items.
+    """
+    none = F.array().cast("array<int>")
+
+    def of(all_: Column) -> Column:
+        places = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / SWEEP).cast("int"))).otherwise(none)
+        return _bound(F.transform(places, lambda i: F.slice(all_, i * SWEEP + 1, SWEEP)), blocks)
+
+    def blocks(parts: Column) -> Column:
+        starts = F.aggregate(parts, F.struct(zero.alias("s"), none.alias("out")), lambda a, part: F.struct(F.aggregate(part, a["s"], step).alias("s"), F.array_append(a["out"], a["s"]).alias("out")))["out"]
+        return F.flatten(F.zip_with(parts, starts, block))
+
+    def block(part: Column, start: Column) -> Column:
+        states = F.aggregate(part, F.struct(start.alias("s"), none.alias("out")), lambda a, x: F.struct(step(a["s"], x).alias("s"), F.array_append(a["out"], a["s"]).alias("out")))["out"]
+        return F.zip_with(part, states, lambda x, s: emit(s, x))
+
+    return _bound(items, of)
+
+
 def _places(kind: str) -> Column:
     """Structs of first code point, end and text of each match, from the columns that _matches gave."""
-    return F.expr(
-        f"""CASE WHEN size({kind}_found) = 0 THEN CAST(array() AS array<struct<start:int,end:int,value:string>>) ELSE
-        aggregate(sequence(0, size({kind}_found) - 1), named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int,value:string>>)),
-          (s, i) -> named_struct('at', s.at + length({kind}_gaps[i]) + length({kind}_found[i]),
-            'out', array_append(s.out, named_struct('start', s.at + length({kind}_gaps[i]), 'end', s.at + length({kind}_gaps[i]) + length({kind}_found[i]), 'value', {kind}_found[i]))),
-          s -> s.out) END"""
-    )
+    pairs = F.zip_with(F.slice(F.col(f"{kind}_gaps"), 1, F.size(f"{kind}_found")), f"{kind}_found", lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("own"), v.alias("value")))
+
+    def span(at: Column, x: Column) -> Column:
+        return F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["own"]).alias("end"), x["value"].alias("value"))
+
+    return _swept(pairs, F.lit(0), lambda at, x: at + x["gap"] + x["own"], span)
+
+
+def _blocks(text: Column) -> Column:
+    """A text cut every BLOCK code points, since a place in a text is found by counting from its start."""
+    return F.when(F.length(text) > BLOCK, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).otherwise(F.array(text))
+
+
+def _cut(blocks: Column, lo: Column, hi: Column) -> Column:
+    """The code points from lo to hi of a text that _blocks has cut."""
+    first, last = F.floor(lo / BLOCK).cast("int"), F.floor(hi / BLOCK).cast("int")
+    ends = F.concat(F.get(blocks, first).substr(lo % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.coalesce(F.get(blocks, last).substr(F.lit(1), hi % BLOCK), F.lit("")))
+    return F.when(lo >= hi, "").when(first == last, F.get(blocks, first).substr(lo % BLOCK + 1, hi - lo)).otherwise(ends)
 
 
 def _digits(value: Column) -> Column:
@@ -106,25 +149,34 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _instances(docs: DataFrame) -> Column:
-    """Seeds and other identifiers of a text that base_spans has read, with their two patterns."""
-    spans = F.concat(*(F.col(k) for k in BASE))
-    kinds = "array<struct<start:int,end:int,value:string,base:boolean,seed:boolean>>"
-    seeds = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), F.lit(True).alias("base"), F.lit(True).alias("seed")))
-    free = F.filter(F.col("id_places"), lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    others = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), F.lit(False).alias("base"), x["value"].rlike(KEY).alias("seed")))
-    return F.concat(seeds.cast(kinds), others.cast(kinds))
+    """Seeds and other identifiers of a text that base_spans has read; of these, the ones that overlap no span."""
+    def event(at: str, base: int) -> Callable[[Column], Column]:
+        return lambda x: F.struct(x[at].alias("at"), F.lit(base).alias("base"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))
+
+    # an identifier comes after the spans that begin before its end, and overlaps one if one of them ends after its start
+    events = F.array_sort(F.concat(F.transform(F.concat(*(F.col(k) for k in BASE)), event("start", 1)), F.transform("id_places", event("end", 0))))
 
+    def told(until: Column, x: Column) -> Column:
+        base = x["base"] == 1
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), base.alias("base"), (base | x["value"].rlike(KEY)).alias("seed"), (base | (until <= x["start"])).alias("free"))
 
-def _context(x: Column) -> Column:
-    text = F.col("text")
+    swept = _swept(events, F.lit(0), lambda until, x: F.when(x["base"] == 1, F.greatest(until, x["end"])).otherwise(until), told)
+    return F.filter(swept, lambda x: x["free"])
+
+
+def _context(x: Column, blocks: Column) -> Column:
     first = F.greatest(x["start"] - CONTEXT, F.lit(0))
-    left = F.lower(text.substr(first + 1, x["start"] - first))
+    left = F.lower(_cut(blocks, first, x["start"]))
     words = F.filter(F.split(F.regexp_replace(left, "[0-9]+", "0"), _SPACE), lambda w: w != "")
-    right = F.regexp_extract(F.regexp_replace(F.lower(text.substr(x["end"] + 1, F.lit(CONTEXT))), "[0-9]+", "0"), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)", 1)
-    n = F.size(words)
-    before = F.when(n >= 2, F.concat(F.lit("l:"), F.element_at(words, -2), F.lit(" "), F.element_at(words, -1)))
-    around = F.when(n >= 1, F.concat(F.lit("b:"), F.element_at(words, -1), F.lit(" _ "), right))
-    return F.array_compact(F.array(before, around))
+    right = F.regexp_extract(F.regexp_replace(F.lower(_cut(blocks, x["end"], x["end"] + CONTEXT)), "[0-9]+", "0"), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)", 1)
+
+    def patterns(words: Column) -> Column:
+        n = F.size(words)
+        before = F.when(n >= 2, F.concat(F.lit("l:"), F.element_at(words, -2), F.lit(" "), F.element_at(words, -1)))
+        around = F.when(n >= 1, F.concat(F.lit("b:"), F.element_at(words, -1), F.lit(" _ "), right))
+        return F.array_compact(F.array(before, around))
+
+    return _bound(words, patterns)
 
 
 def _trusted(edges: DataFrame) -> DataFrame:
@@ -159,12 +211,12 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
     docs has doc_id and text; other columns don't count. Null texts count as empty. Repeated rows
     each keep theirs and count once as evidence. An empty table gives no rows.
     """
-    more = [F.struct(*docs.columns).alias("doc")] if whole else []
-    read = base_spans(docs.select("doc_id", "text", *more))
+    more = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if whole else []
+    read = base_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more))
     ids, gaps = _matches("text", IDENTIFIER, None)
     read = read.withColumns({"id_found": ids, "id_gaps": gaps}).withColumn("id_places", _places("id"))
     read = read.withColumn("instances", _instances(read))
-    read = read.withColumn("instances", F.transform("instances", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["base"].alias("base"), x["seed"].alias("seed"), _context(x).alias("patterns"))))
+    read = read.withColumn("instances", _bound(_blocks(F.col("text")), lambda b: F.transform("instances", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["base"].alias("base"), x["seed"].alias("seed"), _context(x, b).alias("patterns")))))
     rows = Written(read.select(F.monotonically_increasing_id().alias("row"), "doc_id", *BASE, "instances", *(["doc"] if whole else [])), "spans").df
 
     each = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")
@@ -207,12 +259,18 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find(docs, whole=True)
     tag = lambda kind: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(f"<{kind.upper()}>").alias("tag"))
     spans = F.array_sort(F.concat(*(F.transform(k, tag(k)) for k in BASE), F.transform("found", tag("id"))))
-    text = F.expr(
-        """CASE WHEN size(spans) = 0 THEN doc.text ELSE aggregate(spans, named_struct('at', 0, 'out', ''),
-        (s, x) -> CASE WHEN x.start < s.at THEN s ELSE named_struct('at', -x.back, 'out', concat(s.out, substring(doc.text, s.at + 1, x.start - s.at), x.tag)) END,
-        s -> concat(s.out, substring(doc.text, s.at + 1))) END"""
-    )
-    out = found.select("doc", spans.alias("spans")).select("doc", text.alias("new"))
+    plan = _swept(
+        spans, F.lit(0), lambda at, x: F.when(x["start"] < at, at).otherwise(-x["back"]),
+        lambda at, x: F.struct((x["start"] >= at).alias("keep"), at.alias("lo"), x["start"].alias("hi"), (-x["back"]).alias("end"), x["tag"].alias("tag")),
+    )
+    text = F.col("doc.text")
+
+    def joined(blocks: Column) -> Column:
+        pieces = F.transform("plan", lambda x: F.concat(_cut(blocks, x["lo"], x["hi"]), x["tag"]))
+        return F.concat(F.array_join(pieces, ""), _cut(blocks, F.element_at("plan", -1)["end"], F.length(text)))
+
+    new = F.when(F.size("plan") == 0, text).otherwise(_bound(_blocks(text), joined))
+    out = found.select("doc", F.filter(plan, lambda x: x["keep"]).alias("plan")).select("doc", new.alias("new"))
     renewed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         renewed["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
