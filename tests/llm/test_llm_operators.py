@@ -379,6 +379,32 @@ def test_substring_dedup_in_batches(spark, some, monkeypatch):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("rows_of_a_batch", [7, 100_000])
+def test_substring_dedup_whatever_the_batches(spark, monkeypatch, rows_of_a_batch):
+    """A hundred thousand rows with passages that repeat far apart, under any batch size at the time of the action; some texts twice as rows."""
+    monkeypatch.setattr("quillspark.llm.common.ARROW_BATCH_ROWS", 10**6)
+    passage = " ".join(f"p{i}" for i in range(8))
+    n = 100_000 if rows_of_a_batch > 7 else 300
+    some = [f"a{i} b{i} {passage} c{i}" if i % (n // 50) == 0 else f"x{i} y{i} z{i}" for i in range(n)]
+    df = spark.createDataFrame(pa.table({"doc_id": pa.array(range(n)), "text": some})).coalesce(1)
+    made = substring_dedup.remove_repeats(df, 8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_of_a_batch)
+    try:
+        got = made.where("n_removed > 0").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.doc_id for r in got} == set(range(0, n, n // 50)) and all(r.n_removed == 8 and "p" not in r.kept_text for r in got)
+
+
+@pytest.mark.parametrize("bits", [1, 6])
+def test_substring_dedup_with_colliding_hashes(spark, some, bits):
+    """Windows whose first hashes collide are told apart by the second."""
+    want = substring_dedup.brute_force(some, 6)
+    got = by_id(substring_dedup.remove_repeats(table(spark, some).repartition(5), 6, bits).withColumn("h", F.sha2("kept_text", 256)), "n_words", "n_removed", "h")
+    assert got == dict(enumerate(want))
+
+
 def test_substring_dedup_odd(spark, empty):
     assert substring_dedup.op6(empty).count() == 0
     long = " ".join(f"w{i}" for i in range(400))
@@ -636,6 +662,19 @@ def test_pii_is_native(docs, monkeypatch):
     assert len(plans) > 10 and not any(x in p for p in plans for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_pii_of_a_text_with_many_matches(spark):
+    """Tens of thousands of spans in one text, beyond ASCII, are found and replaced in reasonable time."""
+    n = 20_000
+    t = "é".join(f" mail user{i}@host{i % 7}.example.org or card 4111 1111 1111 1111 " for i in range(n))
+    df = spark.createDataFrame([(1, t)], "doc_id bigint, text string")
+    r = pii.op8(df).first()
+    ends = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    cards = [(m.start(), m.end()) for m in re.finditer(r"4111 1111 1111 1111", t)]
+    spans = ",".join([f"email:{a}:{b}" for a, b in ends] + [f"card:{a}:{b}" for a, b in cards])
+    assert (r.n_email, r.n_card) == (n, n) and r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    assert pii.redact(df).first().text == "é".join([" mail <EMAIL> or card <CARD> "] * n)
+
+
 # -- op9 --------------------------------------------------------------------------------------
 
 

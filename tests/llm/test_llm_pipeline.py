@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import mixing, ngram_join, queries
@@ -67,6 +68,18 @@ def test_odd_ids(spark, tmp_path):
     assert {r.doc_id for r in got} <= {None, 1, 3} and sum(r["count"] for r in got) >= 5
 
 
+def test_clashing_columns(spark, folder):
+    """Columns named like those that operators use inside go through all stages but the last unchanged."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40 OR doc_id >= 200")
+    names = ["copies", "_row", "_copy", "_rest", "row", "doc", "size", "spans", "new", "kept", "a.b", "_doc_lang", "component_id"]
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        assert docs.columns[5:] == names and docs.count() > 30, name
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in docs.collect() for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -74,4 +87,4 @@ def test_empty(spark, tmp_path):
 
 
 def test_registered(spark):
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
