@@ -1,6 +1,6 @@
 """Substring dedup: repeated windows of tokens are found by counted Rabin-Karp hashes and removed.
 
-Every window of ``size`` words of every text gets two rolling hashes, of 64 and of 32 bits. A
+Every window of ``size`` words of every text gets two rolling hashes, of 64 and of 24 bits. A
 batch of texts sends each of its distinct windows once to Spark's shuffle, packed by ranges of
 the first hash, so a passage that a third of all texts share leaves a batch once. A range is a
 partition and a group of about RANGE_WINDOWS windows at any size of the input; there the
@@ -8,8 +8,8 @@ occurrences of each window are counted over all batches. What travels back is on
 window that was sent, in the order of its text's sorted windows. A document's repeated windows
 are merged into maximal intervals, whose words go.
 
-Two windows count as the same if both hashes agree, 96 bits: among n windows n * n / 2**97 pairs
-of different ones are expected to agree by chance, 6e-4 for ten trillion.
+Two windows count as the same if both hashes agree, 88 bits: among n windows n * n / 2**89 pairs
+of different ones are expected to agree by chance, 0.16 for ten trillion.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ _BACK = "range int, batch bigint, owners binary, counts binary, hashes binary, c
 
 def _hashed(words: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Both hashes of every window; the first with all but its highest bits cleared, for tests."""
-    first, second = windows(words, size), windows(words, size, CHECK_BASE) >> np.uint64(32)
+    first, second = windows(words, size), windows(words, size, CHECK_BASE) >> np.uint64(40)
     return first if bits == 64 else first >> np.uint64(64 - bits) << np.uint64(64 - bits), second.astype(np.uint32)
 
 
@@ -95,10 +95,21 @@ def _send(batches: Iterator[pa.RecordBatch], size: int, ranges: int, bits: int)
                 part = slice(cuts[r], cuts[r + 1])
                 by = np.argsort(d[part], kind="stable")
                 used, counts = np.unique(d[part], return_counts=True)
-                rows.append((r, batch_id, used.astype(np.uint16).tobytes(), counts.astype(np.uint32).tobytes(), h[part][by].tobytes(), c[part][by].tobytes(), None))
+                rows.append((r, batch_id, used.astype(np.uint16).tobytes(), counts.astype(np.uint32).tobytes(), h[part][by].tobytes(), _three(c[part][by]), None))
             yield _batch(rows, _SENT)
 
 
+def _three(checks: np.ndarray) -> bytes:
+    """The low 24 bits of each number."""
+    return np.ascontiguousarray(checks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _four(packed: pa.Buffer) -> np.ndarray:
+    out = np.zeros((len(packed) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names, kinds = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
     types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
@@ -113,7 +124,7 @@ def _again(rows: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["hashes"]]
     ends = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
     h = np.concatenate([np.zeros(0, np.uint64), *parts])
-    c = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x.as_buffer(), np.uint32) for x in rows["checks"])])
+    c = np.concatenate([np.zeros(0, np.uint32), *(_four(x.as_buffer()) for x in rows["checks"])])
     order, same = _sorted(h, c)
     hit = np.zeros(len(h), bool)
     hit[order] = same | np.append(same[1:], False)[: len(order)]
