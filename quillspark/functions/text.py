@@ -100,10 +100,11 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def sub_spans(words: Column) -> Column:
-    """All contiguous parts of a token array, shortest start first."""
+def sub_spans(words: Column, widest: int | None = None) -> Column:
+    """All contiguous parts of a token array, or those of some words at most, by their start and then shortest first."""
     n = F.size(words)
-    spans = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.slice(words, i, k)))
+    most = lambda i: n - i + 1 if widest is None else F.least(n - i + 1, F.lit(widest))
+    spans = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), most(i)), lambda k: F.slice(words, i, k)))
     return F.when(n > 0, F.flatten(spans)).otherwise(F.array().cast("array<array<string>>"))
 
 

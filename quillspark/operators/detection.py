@@ -54,12 +54,12 @@ def cascade(rows: DataFrame, key: str, index: str, score: str, verifier: str, mi
     """
     passing = rows.where((F.col(score) >= detect) & (F.col(verifier) >= verify))
     fires = refractory(passing, key, index, gap).select(key, F.col(index).alias("_fire"), F.explode(F.array(F.floor(F.col(index) / gap), F.floor(F.col(index) / gap) + 1)).alias("_bucket"))
-    near = rows.withColumn("_bucket", F.floor(F.col(index) / gap)).join(fires, [key, "_bucket"], "left")
-    same, after = F.max(F.coalesce(F.col("_fire") == F.col(index), F.lit(False))), F.max(F.coalesce((F.col("_fire") < F.col(index)) & (F.col(index) - F.col("_fire") < gap), F.lit(False)))
-    found = near.groupBy(*rows.columns).agg(same.alias("_same"), after.alias("_after"), F.count("*").alias("_n"))
+    near = rows.select(key, index).distinct().withColumn("_bucket", F.floor(F.col(index) / gap)).join(fires, [key, "_bucket"])
+    same, after = F.max(F.col("_fire") == F.col(index)), F.max((F.col("_fire") < F.col(index)) & (F.col(index) - F.col("_fire") < gap))
+    found = rows.join(near.groupBy(key, index).agg(same.alias("_same"), after.alias("_after")), [key, index], "left").fillna(False, ["_same", "_after"])
     passes = F.coalesce(F.col(verifier) >= verify, F.lit(False))
     gate = F.when(~F.coalesce(F.col(score) >= detect, F.lit(False)), "below").when(F.col("_after"), "refractory").when(~passes, "vetoed").when(F.col("_same"), "fired").otherwise("refractory")
-    return found.withColumns({"mined": F.coalesce(F.col(score) >= mine, F.lit(False)), "gate": gate}).drop("_same", "_after", "_n")
+    return found.withColumns({"mined": F.coalesce(F.col(score) >= mine, F.lit(False)), "gate": gate}).select(*rows.columns, "mined", "gate")
 
 
 def replay(windows: DataFrame, key: str, index: str, score: str, threshold: float, gap: int) -> DataFrame:

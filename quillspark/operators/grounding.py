@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-from functools import lru_cache
+from difflib import SequenceMatcher
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from quillspark.functions.text import tokens
 
@@ -19,7 +19,9 @@ NOUN = {"light": "light", "lights": "light", "lamp": "light", "lamps": "light",
 YES = ["yes", "yeah", "yep", "yup", "sure", "correct", "ok", "okay"]
 NO = ["no", "nope", "nah", "cancel", "neither", "never", "mind", "stop"]
 FILLER = ["the", "it", "that", "one", "please", "do", "thanks", "thank", "you"]
-LEAST_RATIO, SATELLITE_BONUS, GENERIC_SUPPORT = 0.6, 0.2, 0.3
+LEAST_RATIO, SATELLITE_BONUS, GENERIC_SUPPORT, GROUNDED_SUPPORT = 0.6, 0.2, 0.3, 0.5
+#: Tools whose calls need no name.
+NAMELESS = ["GetLiveContext", "GetDateTime"]
 
 
 def words(text: Column) -> Column:
@@ -74,57 +76,102 @@ def longest_area(utterances: DataFrame, areas: DataFrame, key: str, text: str) -
     return found.groupBy(key).agg(F.min_by("area", F.struct((-F.col("width")).alias("w"), "rank", "start")).alias("area"))
 
 
-@lru_cache(maxsize=1 << 16)
-def ratio(a: str, b: str) -> float:
-    """Twice the matching characters of two texts over all, where matching blocks are found longest first."""
-    return difflib.SequenceMatcher(None, a, b).ratio()
+#: Characters from rare to frequent, so that few words share those looked at first.
+_RARITY = "'0123456789qjzxvkwyfbghmpduclsntoirae"
 
 
-def support(label: list[str], said: list[str], generic: float) -> float:
-    """How well an utterance's tokens support a label's: the mean of each one's best ratio, none under the least (H9)."""
-    own, other = [t for t in label if t not in GENERIC], [t for t in said if t not in GENERIC and t not in NOUN] or [""]
-    if not own:
-        return generic if any(t in said for t in label) else 0.0
-    ratios = [max(ratio(t, x) for x in other) for t in own]
-    return sum(r if r >= LEAST_RATIO else 0.0 for r in ratios) / len(own)
+def _letters(word: Column) -> Column:
+    """A word's characters from rare to frequent, each with its number among equal ones."""
+    n = F.length(word)
+    rare = F.array_sort(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.instr(F.lit(_RARITY), word.substr(i, F.lit(1))).alias("rank"), word.substr(i, F.lit(1)).alias("c"))))
+    return F.transform(rare, lambda x, i: F.concat(x["c"], (i - F.array_position(rare, x) + 1).cast("string")))
 
 
-def phrase_score(label: list[str], said: list[str]) -> float:
-    """The best ratio of a label to the words before a noun, as many or one more, with the same initial."""
-    own = [t for t in label if t not in GENERIC]
-    name, best = " ".join(own), 0.0
-    for i in (i for i, t in enumerate(said) if own and t in NOUN):
-        for k in (len(own), len(own) + 1):
-            before = " ".join(said[i - k : i]) if i >= k else ""
-            if before[:1] == name[:1] and before:
-                best = max(best, ratio(name, before))
-    return best
+@pandas_udf(DoubleType())
+def _matching(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks, found longest first, over all characters; no built-in function finds such blocks."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        labels, said = batch.column("label").to_pylist(), batch.column("said").to_pylist()
-        full = [support(a, b, 1.0) for a, b in zip(labels, said, strict=True)]
-        both = [max(support(a, b, GENERIC_SUPPORT), phrase_score(a, b)) for a, b in zip(labels, said, strict=True)]
-        rest = batch.drop_columns(["label", "said"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(full, pa.float64()), pa.array(both, pa.float64())], names=[*rest.schema.names, "support", "match"])
+def similar_words(own: DataFrame, heard: DataFrame) -> DataFrame:
+    """a, b and ratio of all pairs of a word of own and one of heard (columns word) with a ratio of LEAST_RATIO or more.
+
+    Words of m and n characters that reach it share LEAST_RATIO / 2 * (m + n) of them at least,
+    hence 3 / 7 of the longer and of the shorter. So one of a word's rarest characters, all but
+    3 / 7 and one more, is among the other's: words meet by these, and only distinct pairs that
+    share enough characters are compared in full.
+    """
+    least = LEAST_RATIO / (2 - LEAST_RATIO)
+
+    def keyed(words: DataFrame, name: str) -> DataFrame:
+        words = words.select(F.col("word").alias(name)).where(F.length("word") > 0).distinct().withColumn(f"{name}_letters", _letters(F.col(name)))
+        n = F.length(name)
+        return words.withColumn("key", F.explode(F.slice(f"{name}_letters", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))))
+
+    pairs = keyed(own, "a").join(keyed(heard, "b"), "key").drop("key")
+    enough = 2 * F.size(F.array_intersect("a_letters", "b_letters")) >= LEAST_RATIO * (F.length("a") + F.length("b")) - 1e-9
+    return pairs.where(enough).select("a", "b").distinct().withColumn("ratio", _matching("a", "b")).where(F.col("ratio") >= LEAST_RATIO)
+
+
+def _plain(text: Column) -> Column:
+    return tokens(text, True)
+
+
+def _tells(word: Column) -> Column:
+    return ~word.isin(GENERIC)
+
+
+def label_supports(said: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of said, owner, label, full and weak: how well an utterance supports each label that it supports at all (H9).
+
+    said: keys, group and text; labels: group, owner and label. A label's support is the mean, over its words
+    that tell entities apart, of each one's best ratio to such a word of the utterance. A label of
+    generic words alone has full support 1, and weak support GENERIC_SUPPORT, if one of them is said.
+    """
+    heard = said.select(*keys, "group", F.explode(F.array_distinct(_plain(F.col("text")))).alias("word"))
+    own = labels.select("group", "owner", "label", F.explode(_plain(F.col("label"))).alias("word"))
+    own = own.groupBy("group", "owner", "label", "word").agg(F.count("*").alias("times"))
+    size = own.groupBy("group", "owner", "label").agg(F.sum(F.when(_tells(F.col("word")), F.col("times")).otherwise(0)).alias("size"))
+    own = own.join(size, ["group", "owner", "label"])
+    telling = heard.where(_tells(F.col("word")) & ~F.col("word").isin(list(NOUN)))
+    alike = similar_words(own.where(_tells(F.col("word"))).select("word"), telling.select("word"))
+    best = telling.join(alike, F.col("word") == F.col("b")).groupBy(*keys, "group", F.col("a").alias("word")).agg(F.max("ratio").alias("ratio"))
+    met = best.join(own, ["group", "word"]).groupBy(*keys, "owner", "label", "size").agg(F.sum(F.col("ratio") * F.col("times")).alias("total"))
+    full = met.select(*keys, "owner", "label", (F.col("total") / F.col("size")).alias("full")).withColumn("weak", F.col("full"))
+    generic = heard.join(own.where("size = 0"), ["group", "word"]).select(*keys, "owner", "label").distinct()
+    return full.unionByName(generic.withColumns({"full": F.lit(1.0), "weak": F.lit(GENERIC_SUPPORT)}))
+
+
+def noun_phrases(said: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of said, owner, label and phrase: the best ratio of a label to what stands before a noun, with its initial and as many words or one more."""
+    names = labels.select("group", "owner", "label", F.filter(_plain(F.col("label")), _tells).alias("own")).where(F.size("own") > 0)
+    names = names.select("group", "owner", "label", F.array_join("own", " ").alias("a"), F.explode(F.array(F.size("own"), F.size("own") + 1)).alias("width"), F.substring(F.col("own")[0], 1, 1).alias("initial"))
+    at = said.select(*keys, "group", _plain(F.col("text")).alias("all")).select("*", F.posexplode("all").alias("place", "noun")).where(F.col("noun").isin(list(NOUN)))
+    widest = names.groupBy("group").agg(F.max("width").alias("widest"))
+    at = at.join(widest, "group").where("place > 0").withColumn("width", F.explode(F.sequence(F.lit(1), F.least("place", "widest"))))
+    before = at.select(*keys, "group", "width", F.array_join(F.slice("all", F.col("place") - F.col("width") + 1, F.col("width")), " ").alias("b")).withColumn("initial", F.substring("b", 1, 1)).distinct()
+    met = before.join(names, ["group", "width", "initial"])
+    ratios = met.select("a", "b").distinct().withColumn("ratio", _matching("a", "b"))
+    return met.join(ratios, ["a", "b"]).groupBy(*keys, "owner", "label").agg(F.max("ratio").alias("phrase"))
 
 
 def entity_scores(utterances: DataFrame, entities: DataFrame, key: str, home: str, text: str) -> DataFrame:
     """key, entity_id, support and score of each entity of an utterance's home.
 
     entities: home, entity_id, labels (array) and area; utterances: key, home, text, room (the area
-    named, or null) and satellite_area. An entity has its best label's score, and a bonus in the
-    satellite's area if no room is named. Ratios are of matching blocks, which no built-in function
-    gives, so pairs of token arrays are scored in Arrow batches.
+    named, or null) and satellite_area. An entity has its best label's support or phrase, and a
+    bonus in the satellite's area if no room is named. Only words and phrases that may be alike
+    meet; an entity that nothing supports has 0.
     """
-    said = utterances.select(key, home, "room", "satellite_area", words(F.col(text)).alias("said"))
-    each = entities.select(home, "entity_id", "area", F.explode("labels").alias("label")).withColumn("label", words(F.col("label")))
-    kinds = {f.name: f.dataType.simpleString() for df in (utterances, entities) for f in df.schema.fields}
-    pairs = said.join(each, home).select(key, "entity_id", (F.col("room").isNull() & (F.col("area") == F.col("satellite_area"))).alias("near"), "label", "said")
-    scored = pairs.mapInArrow(_scored, f"{key} {kinds[key]}, entity_id {kinds['entity_id']}, near boolean, support double, match double")
-    best = scored.groupBy(key, "entity_id").agg(F.max("support").alias("support"), F.max("match").alias("match"), F.max("near").alias("near"))
-    return best.select(key, "entity_id", "support", (F.col("match") + F.when(F.coalesce("near", F.lit(False)), SATELLITE_BONUS).otherwise(0.0)).alias("score"))
+    said = utterances.select(key, F.col(home).alias("group"), F.col(text).alias("text"))
+    labels = entities.select(F.col(home).alias("group"), F.col("entity_id").alias("owner"), F.explode("labels").alias("label")).distinct()
+    found = label_supports(said, labels, [key]).join(noun_phrases(said, labels, [key]), [key, "owner", "label"], "full_outer")
+    found = found.groupBy(key, F.col("owner").alias("entity_id")).agg(F.max("full").alias("support"), F.max(F.greatest("weak", "phrase")).alias("match"))
+    near = F.coalesce(F.col("room").isNull() & (F.col("area") == F.col("satellite_area")), F.lit(False))
+    each = utterances.join(entities.select(home, "entity_id", "area"), home).select(key, "entity_id", near.alias("near"))
+    each = each.join(found, [key, "entity_id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return each.select(key, "entity_id", zero("support").alias("support"), (zero("match") + F.when(F.col("near"), SATELLITE_BONUS).otherwise(0.0)).alias("score"))
 
 
 def noun_match(said: Column, room: Column, area: Column, domain: Column, name: Column) -> Column:
@@ -134,10 +181,53 @@ def noun_match(said: Column, room: Column, area: Column, domain: Column, name: C
     return F.coalesce((F.lower(room) == F.lower(area)) & (F.array_contains(nouns, domain) | lamp), F.lit(False))
 
 
-def grounded(support_of: Column, by_noun: Column, tool: Column) -> Column:
-    """Whether a call that names an entity may stand: timers and queries always, else half the support, or area and noun."""
-    bare = F.element_at(F.split(tool, "__"), -1)
-    return bare.isin("GetLiveContext", "GetDateTime") | F.contains(bare, F.lit("Timer")) | F.coalesce(support_of >= 0.5, F.lit(False)) | by_noun
+def grounded(calls: DataFrame, entities: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """key and grounded: whether the utterance of each call says what the call is about.
+
+    calls: key, home, tool, name, area, text and satellite_area; key tells calls apart. entities:
+    home, entity_id, rank, name, labels (array, the name among them), domain and area. areas: home,
+    area, phrase (the area's name and its aliases, a row each) and rank.
+
+    A call of a timer, or of a tool that asks for the time or the state, stands. A name must be a
+    label of an entity: of the first such one a label must have half the support, or its area and
+    a noun of its domain must be said. A name that is an area's must be said, and so must the
+    area of a call without name, or be the satellite's. A name that nothing has doesn't stand; a
+    call without name and area does.
+    """
+    plain = lambda c: F.lower(F.trim(c))
+    calls = calls.select(key, "home", "tool", "name", "area", "text", "satellite_area")
+    owners = entities.select("home", "rank", "entity_id", F.col("name").alias("entity_name"), "domain", F.col("area").alias("entity_area"), "labels", F.explode("labels").alias("_label"))
+    owner = F.min_by(F.struct("entity_id", "entity_name", "domain", "entity_area", "labels"), "rank")
+    owners = owners.groupBy("home", plain(F.col("_label")).alias("needle")).agg(owner.alias("e"))
+    named = calls.withColumn("needle", plain(F.col("name"))).join(owners, ["home", "needle"], "left")
+
+    asked = named.where("e IS NOT NULL").select(key, F.col(key).alias("group"), "text", "e.labels")
+    supports = label_supports(asked.select(key, "group", "text"), asked.select("group", F.lit(0).alias("owner"), F.explode("labels").alias("label")), [key])
+    supports = supports.groupBy(key).agg(F.max("full").alias("support"))
+
+    phrases = areas.select("home", "area", "phrase", "rank", plain(F.col("phrase")).alias("needle"))
+    first = phrases.groupBy("home", "needle").agg(F.min_by("area", "rank").alias("named_area"))
+    wanted = named.join(first, ["home", "needle"], "left").withColumn("target", F.when(F.col("name").isNull(), F.col("area")).otherwise(F.col("named_area")))
+    own = calls.where("name IS NULL AND area IS NOT NULL").select("home", "area", F.col("area").alias("phrase"), F.lit(0).alias("rank")).distinct()
+    heads = calls.select(key, "home", _plain(F.col("text")).alias("_words"))
+    heads = heads.select(key, "home", "_words", F.posexplode("_words").alias("_start", "_head"))
+    spoken = phrases.drop("needle").unionByName(own).withColumn("_phrase", _plain(F.col("phrase"))).withColumn("_head", F.get("_phrase", F.lit(0)))
+    met = heads.join(spoken, ["home", "_head"]).where(F.slice("_words", F.col("_start") + 1, F.size("_phrase")) == F.col("_phrase"))
+    uttered = met.select(key, F.col("area").alias("target")).distinct().withColumn("uttered", F.lit(True))
+    in_home = met.join(areas.select("home", "area").distinct(), ["home", "area"], "left_semi")
+    room = in_home.groupBy(key).agg(F.min_by("area", F.struct((-F.size("_phrase")).alias("w"), "rank")).alias("room"))
+
+    all_ = wanted.join(supports, key, "left").join(uttered, [key, "target"], "left").join(room, key, "left")
+    bare = F.element_at(F.split("tool", "__"), -1)
+    here = F.coalesce(F.col("uttered") | (F.lower("target") == F.lower("satellite_area")), F.col("uttered"), F.lit(False))
+    noun = noun_match(_plain(F.col("text")), F.col("room"), F.col("e.entity_area"), F.col("e.domain"), F.col("e.entity_name"))
+    stands = (
+        F.when(bare.isin(NAMELESS) | F.contains(bare, F.lit("Timer")), True)
+        .when(F.col("e").isNotNull(), F.coalesce(F.col("support") >= GROUNDED_SUPPORT, F.lit(False)) | noun)
+        .when(F.col("target").isNotNull(), here)
+        .otherwise(F.col("name").isNull())
+    )
+    return all_.select(key, stands.alias("grounded"))
 
 
 def held_answers(turns: DataFrame, options: DataFrame, key: str, text: str) -> DataFrame:
@@ -147,16 +237,14 @@ def held_answers(turns: DataFrame, options: DataFrame, key: str, text: str) -> D
     fillers, choose it. Else the option with the best support is chosen, if that is half at least and
     no other has as much. options: key, option and labels.
     """
-    said = turns.select(key, words(F.col(text)).alias("said"))
+    said = turns.select(key, _plain(F.col(text)).alias("said"))
     only = lambda lists: F.forall("said", lambda w: w.isin(lists))
     some = lambda lists: F.exists("said", lambda w: w.isin(lists))
     cancelled = (F.size("said") > 0) & only(YES + NO + FILLER) & some(NO) & ~some(YES)
     confirmed = some(YES) & only(YES + FILLER)
-    kinds = {f.name: f.dataType.simpleString() for df in (turns, options) for f in df.schema.fields}
-    each = options.select(key, "option", F.explode("labels").alias("label")).withColumn("label", words(F.col("label")))
-    pairs = said.join(each, key).select(key, "option", "label", "said")
-    scored = pairs.mapInArrow(_scored, f"{key} {kinds[key]}, option {kinds['option']}, support double, match double")
-    best = scored.groupBy(key, "option").agg(F.max("support").alias("support"))
+    labels = options.select(F.col(key).alias("group"), F.col("option").alias("owner"), F.explode("labels").alias("label"))
+    found = label_supports(turns.select(key, F.col(key).alias("group"), F.col(text).alias("text")), labels, [key]).groupBy(key, F.col("owner").alias("option")).agg(F.max("full").alias("support"))
+    best = turns.select(key).join(options.select(key, "option").distinct(), key).join(found, [key, "option"], "left").fillna(0.0, ["support"])
     ranked = best.groupBy(key).agg(F.max("support").alias("top"), F.max_by("option", "support").alias("first"), F.count("*").alias("n"))
     tied = best.join(ranked.select(key, "top"), key).where("support = top").groupBy(key).agg(F.count("*").alias("n_top"))
     out = said.join(ranked, key, "left").join(tied, key, "left")

@@ -261,10 +261,32 @@ def longest_areas(spark, sf_dir):
 @query()
 def grounding_scores(spark, sf_dir):
     said = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id") % 5, "text", F.when(F.col("item_id") % 3 == 0, "area 1").alias("room"), F.lit("area 2").alias("satellite_area")).toDF("item_id", "home", "text", "room", "satellite_area")
-    entities = table(spark, sf_dir, "part").where("p_size <= 10").select((F.col("p_partkey") % 5).alias("home"), F.col("p_partkey").alias("entity_id"), F.array("p_name", F.concat_ws(" ", "p_name", F.lit("lamp"))).alias("labels"), F.concat(F.lit("area "), (F.col("p_partkey") % 3).cast("string")).alias("area"))
+    entities = table(spark, sf_dir, "part").select((F.col("p_partkey") % 5).alias("home"), F.col("p_partkey").alias("entity_id"), F.array("p_name", F.concat_ws(" ", "p_name", F.lit("lamp"))).alias("labels"), F.concat(F.lit("area "), (F.col("p_partkey") % 3).cast("string")).alias("area"))
     return grounding.entity_scores(said, entities, "item_id", "home", "text")
 
 
+@query()
+def grounded_calls(spark, sf_dir):
+    """lineitem: a call for each line that names its part, another part's type, an area or nothing; what is said names the part, badly spelt at times, an area or both."""
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("home"), "p_name", "p_type")
+    area = lambda c: F.concat(F.lit("area "), (c % 3).cast("string"))
+    entities = part.select(
+        "home", F.col("p_partkey").alias("entity_id"), F.col("p_partkey").alias("rank"), F.col("p_name").alias("name"), F.array("p_name", F.concat_ws(" ", "p_type", "p_partkey")).alias("labels"),
+        F.when(F.col("p_partkey") % 2 == 0, "light").otherwise("switch").alias("domain"), area(F.col("p_partkey")).alias("area"),
+    )
+    areas = part.select("home").distinct().withColumn("rank", F.explode(F.array(*map(F.lit, range(3))))).select("home", area(F.col("rank")).alias("area"), "rank")
+    areas = areas.withColumn("phrase", F.explode(F.array("area", F.concat(F.lit("room number "), F.col("rank").cast("string"))))).select("home", "area", "phrase", "rank")
+    line, key = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")), F.col("l_suppkey")
+    name = F.when(key % 5 < 2, F.col("p_name")).when(key % 5 == 2, F.concat_ws(" ", "p_type", "p_partkey")).when(key % 5 == 3, "Room number 1")
+    said = F.when(F.col("l_linenumber") % 3 == 0, F.col("p_name")).when(F.col("l_linenumber") % 3 == 1, F.regexp_replace("p_name", "e", "")).otherwise("it")
+    text = F.concat(F.lit("turn on the "), said, F.when(F.col("l_quantity") > 25, F.concat(F.lit(" light in room number "), (F.col("l_orderkey") % 3).cast("string"))).otherwise(" lamp"))
+    calls = line.select(
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("call"), "home", F.when(key % 7 == 0, "intent__StartTimer").otherwise("intent__TurnOn").alias("tool"), name.alias("name"),
+        F.when(key % 2 == 0, area(key)).alias("area"), text.alias("text"), F.when(F.col("l_orderkey") % 2 == 0, area(F.col("l_orderkey"))).alias("satellite_area"),
+    ).distinct()
+    return grounding.grounded(calls, entities, areas, "call").select("call.*", "grounded")
+
+
 # -- small text functions ---------------------------------------------------------------------
 
 
@@ -282,12 +304,24 @@ def text_names(spark, sf_dir):
 
 
 @query(
-    r"""SELECT conv_id, turn, list_contains(w, 'the') AS mentions, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda t: t <> '')) AS n_tokens, len(w) * (len(w) + 1) // 2 AS n_spans
-FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+')[1:12] AS w FROM conversations)"""
+    r"""SELECT conv_id, turn, list_contains(w, 'the') AS mentions, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS n_tokens,
+len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_spans, len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS n_pairs
+FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations)"""
 )
 def text_tokens(spark, sf_dir):
-    head = F.slice(X.tokens(F.col("text")), 1, 12)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.mentions(F.array_join(head, " "), F.lit("the")).alias("mentions"), F.size(X.tokens_without_possessive(F.col("text"))).cast("long").alias("n_tokens"), F.size(X.sub_spans(head)).cast("long").alias("n_spans"))
+    words = X.tokens(F.col("text"))
+    read = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", words.alias("words"), X.sub_spans(words, 3).alias("spans"))
+    pairs = F.size(F.array_distinct(F.transform(F.filter("spans", lambda s: F.size(s) == 2), lambda s: F.array_join(s, " "))))
+    return read.select("conv_id", "turn", X.mentions(F.array_join("words", " "), F.lit("the")).alias("mentions"), F.size(X.tokens_without_possessive(F.col("text"))).cast("long").alias("n_tokens"), F.size("spans").cast("long").alias("n_spans"), pairs.cast("long").alias("n_pairs"))
+
+
+@query(
+    """SELECT p_partkey, len(w) * (len(w) + 1) // 2 AS n_spans, array_to_string(list_transform(range(1, len(w) + 1), lambda i: array_to_string(list_transform(range(i, len(w) + 1), lambda j: array_to_string(w[i:j], ' ')), '|')), '|') AS spans
+FROM (SELECT p_partkey, regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+') AS w FROM part)"""
+)
+def name_spans(spark, sf_dir):
+    spans = X.sub_spans(X.tokens(F.concat_ws(" ", "p_name", "p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(spans).cast("long").alias("n_spans"), F.array_join(F.transform(spans, lambda s: F.array_join(s, " ")), "|").alias("spans"))
 
 
 @query(r"SELECT p_partkey, length(p_name) > 0 AND regexp_matches(' ' || lower(p_name) || ' ', '[^\w'']ring[^\w'']') AS mentions FROM part")

@@ -49,8 +49,8 @@ def _call(tool, name, area, step, domains):
 
 
 def _calls(spark, sf_dir):
-    """Expected and actual calls from the first three lines of an order."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    """Expected and actual calls from the lines of an order."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
     order, tool = F.col("l_orderkey"), _pick(_TOOLS, F.col("l_partkey"))
     switches, moves = F.col("l_partkey") % 4 < 2, F.col("l_partkey") % 4 == 2
     area = F.when(switches & (F.col("l_quantity") > 20), F.concat(F.lit("area "), (order % 3).cast("string")))
@@ -91,7 +91,7 @@ c AS (SELECT o_orderkey AS case_id, o_custkey % 5 AS household, {_listed(_TYPES)
 r AS (SELECT l_orderkey AS case_id, l_linenumber AS pos, l_returnflag, {_listed(_TOOLS)}[l_partkey % 4 + 1] AS tool, s_name AS name, CASE WHEN l_partkey % 4 < 2 AND l_quantity > 20 THEN 'area ' || (l_orderkey % 3) END AS area,
   CASE WHEN l_partkey % 4 = 2 THEN CASE WHEN l_quantity > 25 THEN 'up' ELSE 'down' END END AS step, CASE WHEN l_partkey % 4 < 2 AND l_discount >= 0.05 THEN {_listed(_DOMAINS)}[l_suppkey % 4 + 1] END AS domains,
   CASE WHEN l_linestatus = 'O' THEN lower(s_name) ELSE s_name END AS a_name, CASE WHEN l_returnflag <> 'A' THEN area END AS a_area, CASE step WHEN 'up' THEN '10' WHEN 'down' THEN '-5' END AS a_step, CASE WHEN l_tax < 0.04 THEN domains END AS a_domains
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber <= 3),
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 j AS (SELECT r.*, c.household, kind, target_area, area_source, forbidden, own_id, own_domain, known_domain, x.label IS NOT NULL AND known_domain IS NULL AS shown FROM r JOIN c ON c.case_id = r.case_id
   LEFT JOIN l ON l.household = c.household AND l.label = lower(r.name) LEFT JOIN x ON x.household = c.household AND x.label = lower(r.name)),
 w AS (SELECT case_id, list({_key("name", "area", "step", "domains")}) AS keys, count(*) AS n, CASE WHEN count(*) = 1 THEN min(lower(name)) END AS wanted FROM j WHERE case_id % 4 < 2 GROUP BY case_id),
