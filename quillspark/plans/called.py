@@ -1,4 +1,4 @@
-"""Queries of schema checks, admission under budgets and call texts."""
+"""Queries of schema checks, admission under budgets, call texts and operators with timers."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize_utterance
 from quillspark.operators import budgets, schemas
-from quillspark.plans.lenses import table
+from quillspark.plans.lenses import HOUR, table
 from quillspark.plans.registry import query
+from quillspark.streaming import timers
 
 #: Parameters of the tools that lines call by their return flag; R is offered to nobody.
 _GRID = {"type": "array", "items": {"type": "array", "items": {"type": "array", "items": {"type": "integer", "maximum": 8}}}}
@@ -92,3 +93,45 @@ def drafts(spark, sf_dir):
 def admitted_cases(spark, sf_dir):
     found = budgets.admit(drafts(spark, sf_dir), SEED)
     return found.df.where("kept").select("phase", "pos", "p_brand", "utterance")
+
+
+# -- state and timers, over the events of each user as one whole stream -----------------------
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS m, event_type = 'purchase' AS last FROM events),
+runs AS (SELECT user_id, min(m) AS began FROM e GROUP BY user_id UNION ALL
+  SELECT r.user_id, (SELECT min(e.m) FROM e WHERE e.user_id = r.user_id AND e.m > r.began + {2 * HOUR}) FROM runs r WHERE r.began IS NOT NULL),
+ends AS (SELECT r.user_id, r.began, min(e.m) AS ended FROM runs r LEFT JOIN e ON e.user_id = r.user_id AND e.last AND e.m BETWEEN r.began AND r.began + {HOUR} WHERE r.began IS NOT NULL GROUP BY ALL)
+SELECT user_id, CASE WHEN ended IS NULL THEN 'timeout' ELSE 'complete' END AS state, CAST(coalesce(ended, began + {HOUR}) AS BIGINT) AS "at" FROM ends"""
+)
+def ended_runs(spark, sf_dir):
+    return timers.finished(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "purchase", HOUR)
+
+
+@query(
+    f"""SELECT user_id, event_id AS answer, m AS "at", question FROM (SELECT user_id, event_id, epoch_us(ts) AS m, lag(event_id) OVER w AS question, lag(event_type = 'click') OVER w AS holds, lag(epoch_us(ts)) OVER w AS asked
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE holds AND m - asked <= {HOUR}"""
+)
+def answered_questions(spark, sf_dir):
+    turns = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "click").alias("holds"))
+    return timers.held_answers(turns, "user_id", "ts", "event_id", "holds", HOUR)
+
+
+@query()
+def hold_log(spark, sf_dir):
+    """Ten things that users take with a view and release with anything else."""
+    changes = table(spark, sf_dir, "events").select((F.col("event_id") % 10).alias("thing"), "ts", "user_id", (F.col("event_type") == "view").alias("takes"))
+    return timers.reference_holds(changes, "thing", "ts", "user_id", "takes", HOUR)
+
+
+#: Records of each class, records and bytes that a spool may hold.
+CAPS, MOST_RECORDS, MOST_BYTES = {"view": 5, "click": 3, "purchase": 4, "error": 2}, 10, 900
+
+
+@query()
+def spool_log(spark, sf_dir):
+    """A spool for each of 20 groups of users, a class for each kind of event."""
+    kind = F.when(F.col("event_type").isin(list(CAPS)), F.col("event_type")).otherwise("view")
+    records = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("spool"), "ts", "event_id", kind.alias("kind"), F.ceil("value").alias("size"))
+    return timers.admitted(records, "spool", "ts", "event_id", "kind", "size", CAPS, MOST_RECORDS, MOST_BYTES)
