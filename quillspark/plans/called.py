@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize_utterance
-from quillspark.operators import budgets, schemas
+from quillspark.operators import budgets, call_texts, schemas
 from quillspark.plans.lenses import HOUR, table
 from quillspark.plans.registry import query
 from quillspark.streaming import timers
@@ -67,6 +67,19 @@ def call_failures(spark, sf_dir):
     return schemas.argument_failures(calls(spark, sf_dir), TOOLS).select("l_orderkey", "l_linenumber", "l_partkey", "failure")
 
 
+@query(
+    r"""SELECT p_partkey, pos, CASE pos WHEN 1 THEN 'set_level' ELSE 'stop' || p_size END AS name,
+CASE pos WHEN 1 THEN '{"name":"' || p_name || '''s, \"' || p_brand || '\"","levels":[' || p_size || ',[-' || p_partkey || ',[]],true],"at":null}' ELSE '{"why":"it''s (' || p_type || ')"}' END AS arguments
+FROM part, (VALUES (1), (2)) t(pos) WHERE p_partkey % 5 > 0"""
+)
+def text_calls(spark, sf_dir):
+    """part: a text of two calls for each, with lists in lists and quotes in quotes; every fifth text lacks a bracket."""
+    text = F.format_string("[set_level(name='%s's, \"%s\"', levels=[%03d, [-%d,[ ]],True], at=None) ,\tstop%d(why=\"it's (%s)\")]", "p_name", "p_brand", "p_size", "p_partkey", "p_size", "p_type")
+    text = F.when(F.col("p_partkey") % 5 > 0, text).otherwise(F.replace(text, F.lit("[ ]"), F.lit("[")))
+    calls = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(call_texts.parse_calls(text)).alias("pos", "call"))
+    return calls.select("p_partkey", (F.col("pos") + 1).alias("pos"), "call.name", "call.arguments")
+
+
 SEED = "v1"
 #: What drafts say of a part, by place.
 TEMPLATES = ("Turn on the {name}", "please turn on the {name}", "Is the {name} on for me?")
