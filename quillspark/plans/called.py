@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import normalize_utterance
-from quillspark.operators import budgets, call_texts, schemas
+from quillspark.functions.text import normalize_utterance, tokens
+from quillspark.operators import budgets, call_texts, prefixes, schemas
 from quillspark.plans.lenses import HOUR, table
 from quillspark.plans.registry import query
 from quillspark.streaming import timers
@@ -148,3 +148,41 @@ def spool_log(spark, sf_dir):
     kind = F.when(F.col("event_type").isin(list(CAPS)), F.col("event_type")).otherwise("view")
     records = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("spool"), "ts", "event_id", kind.alias("kind"), F.ceil("value").alias("size"))
     return timers.admitted(records, "spool", "ts", "event_id", "kind", "size", CAPS, MOST_RECORDS, MOST_BYTES)
+
+
+# -- prefixes ---------------------------------------------------------------------------------
+
+_PROMPTS = """w AS (SELECT conv_id, regexp_extract_all(lower(string_agg(role || ' ' || coalesce(text, ''), ' ' ORDER BY turn, role, text)), '[a-z0-9]+') AS w FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, l AS length, array_to_string(w[1:l], ' ') AS prefix, len(w) AS n FROM (SELECT conv_id, w, unnest(range(1, len(w) + 1)) AS l FROM w))"""
+
+
+def _prompts(spark, sf_dir):
+    """conversations: the words of each as one sequence."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", F.concat(F.col("role"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("said"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(tokens(F.array_join(F.transform(turns, lambda t: t["said"]), " ")).alias("words"))
+
+
+@query(
+    f"""WITH {_PROMPTS}, i AS (SELECT prefix, min(conv_id) AS conv_id FROM p WHERE conv_id % 3 > 0 GROUP BY prefix)
+SELECT w.conv_id, coalesce(max(p.length), 0) AS length, arg_max(p.cached, p.length) AS cached FROM w LEFT JOIN (SELECT p.conv_id, p.length, i.conv_id AS cached FROM p JOIN i USING (prefix)) p ON p.conv_id = w.conv_id WHERE w.conv_id % 3 = 0 GROUP BY w.conv_id"""
+)
+def shared_prefixes(spark, sf_dir):
+    """Every third conversation against all others."""
+    every = _prompts(spark, sf_dir)
+    return prefixes.shared_prefix(every.where("conv_id % 3 = 0"), every.where("conv_id % 3 > 0"), "conv_id", "words")
+
+
+@query(
+    f"""WITH {_PROMPTS}, i AS (SELECT prefix, min(conv_id) AS conv_id FROM p WHERE length = least(n, 3 + conv_id % 40) AND length <= 30 GROUP BY prefix)
+SELECT w.conv_id, coalesce(max(p.length), 0) AS length, arg_max(p.checkpoint, p.length) AS checkpoint FROM w LEFT JOIN (SELECT p.conv_id, p.length, i.conv_id AS checkpoint FROM p JOIN i USING (prefix)) p ON p.conv_id = w.conv_id GROUP BY w.conv_id"""
+)
+def checkpoints_met(spark, sf_dir):
+    """A checkpoint after the first 3 to 42 words of each conversation; those of 30 words at most count."""
+    every = _prompts(spark, sf_dir)
+    saved = every.select("conv_id", F.slice("words", 1, (F.col("conv_id") % 40 + 3).cast("int")).alias("words"))
+    return prefixes.longest_checkpoint(every, saved, "conv_id", "words", 30)
+
+
+@query(f"WITH {_PROMPTS} SELECT conv_id, len(w) - 1 - list_position(list_reverse(list_transform(range(1, len(w)), lambda i: w[i] = 'user' AND w[i + 1] = 'the')), TRUE) AS place FROM w")
+def last_markers(spark, sf_dir):
+    return _prompts(spark, sf_dir).select("conv_id", prefixes.last_marker(F.col("words"), F.array(F.lit("user"), F.lit("the"))).cast("bigint").alias("place"))
