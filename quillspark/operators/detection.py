@@ -6,6 +6,10 @@ row before works within buckets of the index and takes a bucket's last row from
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +36,74 @@ def islands(rows: DataFrame, key: str, index: str, gap: int, bucket: int) -> Dat
     return rows.withColumn("island", F.coalesce("inside", "carried")).drop("previous", "start", "bucket", "inside", "carried")
 
 
-def refractory(rows: DataFrame, key: str, index: str, gap: int, bucket: int | None = None) -> DataFrame:
+#: Rows of an island that are folded as one array at most, and refractory times that a block of a longer island spans.
+FOLDED_ROWS, BLOCK_GAPS = 2048, 256
+
+
+def refractory(rows: DataFrame, key: str, index: str, gap: int, bucket: int | None = None, folded_rows: int = FOLDED_ROWS) -> DataFrame:
     """key and index of the rows that fire: the first of a stream, then each that follows the last that fired by gap or more.
 
     A row that follows its predecessor by gap fires whatever came before, so the rows from one
-    such to the next are folded by themselves.
+    such to the next, an island, are folded by themselves; islands of more than folded_rows rows
+    by blocks.
     """
-    rows = islands(rows.select(key, index), key, index, gap, bucket or 64 * gap)
+    rows = islands(rows.select(key, F.col(index).cast("long").alias(index)).where(F.col(index).isNotNull()), key, index, gap, bucket or 64 * gap)
+    long = rows.groupBy(key, "island").agg(F.count("*").alias("_n")).where(F.col("_n") > folded_rows).drop("_n")
     nothing = F.array().cast("array<bigint>")
     folded = F.aggregate("sorted", nothing, lambda out, x: F.when(F.try_element_at(out, F.lit(-1)).isNull() | (x - F.try_element_at(out, F.lit(-1)) >= gap), F.array_append(out, x)).otherwise(out))
-    groups = rows.groupBy(key, "island").agg(F.array_sort(F.collect_set(F.col(index).cast("long"))).alias("sorted"))
-    return groups.select(key, F.explode(folded).alias(index))
+    groups = rows.join(long, [key, "island"], "left_anti").groupBy(key, "island").agg(F.array_sort(F.collect_set(index)).alias("sorted"))
+    short = groups.select(key, F.explode(folded).alias(index))
+    return short.unionByName(_by_blocks(rows.join(long, [key, "island"], "left_semi"), key, index, gap).select(key, index))
+
+
+def _by_blocks(rows: DataFrame, key: str, index: str, gap: int) -> DataFrame:
+    """The rows of long islands that fire.
+
+    What comes before a block matters only by the row of the block that fires first: one within
+    gap of its start, or the first after. For each of these a task finds the block's last fire,
+    and a row goes on with both. Passing through these rows in order, block after block, settles
+    where each block is entered; then every block is run through by itself.
+    """
+    rows = rows.select(key, "island", F.col(index).alias("_at")).distinct().withColumn("_block", F.floor(F.col("_at") / (gap * BLOCK_GAPS)))
+    name, kind = key, rows.schema[key].dataType.simpleString()
+    block = [name, "island", "_block"]
+
+    def following(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(at, at + gap)
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(pdf["_at"].to_numpy())
+        nxt = following(at)
+        nxt = np.where(nxt < len(at), nxt, np.arange(len(at)))
+        while not np.array_equal(further := nxt[nxt], nxt):  # twice as far each time
+            nxt = further
+        n = min(int(np.searchsorted(at, (int(pdf["_block"].iloc[0]) * BLOCK_GAPS + 1) * gap)) + 1, len(at))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * n for c in block}, "_first": at[:n], "_last": at[nxt[:n]]})
+
+    def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, last, entered = None, None, None
+        for part in parts:
+            out = []
+            for k, island, number, first, end in part.itertuples(index=False, name=None):
+                if (k, island) != stream:
+                    stream, last, entered = (k, island), None, None
+                if number != entered and (last is None or first >= last + gap):
+                    out.append((k, island, number, first))
+                    last, entered = end, number
+            yield pd.DataFrame(out, columns=[*block, "_entry"]).astype({"island": "int64", "_block": "int64", "_entry": "int64"})
+
+    def fires(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(pdf["_at"].to_numpy())
+        nxt, i, out = following(at), int(np.searchsorted(at, pdf["_entry"].iloc[0])), []
+        while i < len(at):
+            out.append(at[i])
+            i = nxt[i]
+        return pd.DataFrame({name: [pdf[name].iloc[0]] * len(out), index: np.array(out, np.int64)})
+
+    schema = f"`{name}` {kind}, island bigint, _block bigint"
+    found = rows.groupBy(*block).applyInPandas(exits, f"{schema}, _first bigint, _last bigint")
+    found = found.repartition(name, "island").sortWithinPartitions(*block, "_first").mapInPandas(entries, f"{schema}, _entry bigint")
+    return rows.join(found, block).groupBy(*block).applyInPandas(fires, f"`{name}` {kind}, `{index}` bigint")
 
 
 def cascade(rows: DataFrame, key: str, index: str, score: str, verifier: str, mine: float, detect: float, verify: float, gap: int) -> DataFrame:

@@ -81,3 +81,27 @@ def test_small_pieces(spark, tmp_path):
     assert [r.id for r in spark.read.json(f"{tmp_path}/failures").collect()] == ["a"] and spark.read.json(f"{tmp_path}/commands").count() == 2
     one = spark.createDataFrame([("{",), ('{"choices": []}',), ('{"choices": [{"message": {"content": "hi"}}]}',)], "e string")
     assert [r[0] for r in one.select(contracts.completion(F.col("e"))["content"]).collect()] == [None, None, "hi"]
+
+
+@pytest.mark.parametrize(("folded", "step"), [(0, 3), (5, 40), (50, 1)])
+def test_refractory_by_blocks(spark, folded, step):
+    """Islands of any length, by blocks and folded, give what a loop gives; indices may be negative and repeat."""
+    rng = random.Random(folded)
+    streams = {s: sorted(rng.randrange(-9000, 9000) * step for _ in range(rng.choice([1, 40, 3000]))) for s in "abcd"} | {"dense": list(range(-500, 20000))}
+    df = spark.createDataFrame([(s, i) for s, rows in streams.items() for i in rows] + [("a", None)], "k string, i bigint")
+    got = {(r.k, r.i) for r in detection.refractory(df, "k", "i", 7, folded_rows=folded).collect()}
+    want = set()
+    for s, rows in streams.items():
+        last = None
+        for i in rows:
+            if last is None or i - last >= 7:
+                last = i
+                want.add((s, i))
+    assert got == want
+
+
+def test_refractory_of_a_long_dense_stream(spark):
+    """A million rows of one stream without a pause."""
+    df = spark.range(1_000_000).selectExpr("'s' AS k", "id * 10 AS i")
+    got = detection.refractory(df, "k", "i", 1003).agg(F.count("*").alias("n"), F.max("i").alias("last"), F.countDistinct("i").alias("d")).first()
+    assert tuple(got) == (9901, 9900 * 1010, 9901)
