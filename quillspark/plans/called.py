@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize_utterance, tokens
-from quillspark.operators import budgets, call_texts, prefixes, schemas
+from quillspark.operators import budgets, call_texts, prefixes, schemas, tool_schemas
 from quillspark.plans.lenses import HOUR, table
 from quillspark.plans.registry import query
 from quillspark.streaming import timers
@@ -186,3 +186,40 @@ def checkpoints_met(spark, sf_dir):
 @query(f"WITH {_PROMPTS} SELECT conv_id, len(w) - 1 - list_position(list_reverse(list_transform(range(1, len(w)), lambda i: w[i] = 'user' AND w[i + 1] = 'the')), TRUE) AS place FROM w")
 def last_markers(spark, sf_dir):
     return _prompts(spark, sf_dir).select("conv_id", prefixes.last_marker(F.col("words"), F.array(F.lit("user"), F.lit("the"))).cast("bigint").alias("place"))
+
+
+# -- tool schemas -----------------------------------------------------------------------------
+
+
+def _tools(spark, sf_dir):
+    """part: a tool for each part, with keys, required names and white space in an order that its key tells."""
+    fields = ['"type": "object"', '"required":["mode",\n "level"]', '"$schema":"x"', '"properties":{"mode":{"title":"mode","enum":["b","a"]},"level":{"title":"Level","description":" ","type":"integer"}}']
+    parameters = F.array_join(F.when(F.col("p_partkey") % 2 == 0, F.array(*map(F.lit, fields))).otherwise(F.array(*map(F.lit, reversed(fields)))), " , ")
+    text = F.format_string('{"type":"function","function":{"parameters":{%s},"name":"%s","description":"size %d"}}', parameters, F.concat(F.lit("set_"), F.col("p_partkey") % 50), "p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", text.alias("tool"))
+
+
+_TIDY = """'{"function":{"description":"size ' || p_size || '","name":"set_' || (p_partkey % 50) || '","parameters":{{{0}"properties":{{"level":{{{1}"title":"Level","type":"integer"}},"mode":{{"enum":["b","a"]{2}}}}},"required":["level","mode"],"type":"object"}}}},"type":"function"}}'""".replace('{"function":{"description"', '{{"function":{{"description"')
+
+
+@query(f"SELECT p_partkey, {_TIDY.format('', '', '')} AS tool FROM part")
+def tidy_schemas(spark, sf_dir):
+    return _tools(spark, sf_dir).select("p_partkey", tool_schemas.canonical(F.col("tool"), tidy=True).alias("tool"))
+
+
+_RAW = _TIDY.format('"$schema":"x",', '"description":" ",', ',"title":"mode"')
+
+
+@query(f"SELECT p_brand, 'sha256:' || sha256('[' || string_agg(tool, ',' ORDER BY name, tool) || ']') AS fingerprint FROM (SELECT p_brand, 'set_' || (p_partkey % 50) AS name, {_RAW} AS tool FROM part) GROUP BY p_brand")
+def schema_fingerprints(spark, sf_dir):
+    return tool_schemas.fingerprint(_tools(spark, sf_dir), "p_brand", "tool")
+
+
+@query(
+    """WITH t AS (SELECT p_brand, p_partkey % 50 AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, row_number() OVER (PARTITION BY p_brand, p_partkey % 50 ORDER BY p_partkey) AS seen FROM part)
+SELECT p_brand, arg_min('Duplicate function name ''set_' || k || ''' in compiled tool envelope', i) FILTER (WHERE seen > 1) AS fault FROM t GROUP BY p_brand"""
+)
+def envelope_faults(spark, sf_dir):
+    tools = F.array_sort(F.collect_list(F.struct("p_partkey", "tool")))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(tools, lambda t: t["tool"]), ","), F.lit("]"))
+    return _tools(spark, sf_dir).groupBy("p_brand").agg(listed.alias("tools")).select("p_brand", tool_schemas.envelope_fault(F.col("tools")).alias("fault"))
