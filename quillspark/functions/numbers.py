@@ -72,3 +72,10 @@ def fingerprint(columns: list[Column]) -> Column:
     """SHA-256 of a group's rows whatever their order: of the sorted digests of the rows."""
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)
     return F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256)
+
+
+def ordered_fingerprint(columns: list[Column], order: list[Column]) -> Column:
+    """SHA-256 of a group's rows in an order: of their digests one after the other, so that it changes with the order."""
+    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)
+    placed = F.array_sort(F.collect_list(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), row.alias("digest"))))
+    return F.sha2(F.array_join(F.transform(placed, lambda x: x["digest"]), ""), 256)

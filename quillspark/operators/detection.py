@@ -98,7 +98,7 @@ def _by_blocks(rows: DataFrame, key: str, index: str, gap: int) -> DataFrame:
         while i < len(at):
             out.append(at[i])
             i = nxt[i]
-        return pd.DataFrame({name: [pdf[name].iloc[0]] * len(out), index: np.array(out, np.int64)})
+        return pd.DataFrame({name: pd.Series([pdf[name].iloc[0]] * len(out), dtype=object), index: np.array(out, np.int64)})
 
     schema = f"`{name}` {kind}, island bigint, _block bigint"
     found = rows.groupBy(*block).applyInPandas(exits, f"{schema}, _first bigint, _last bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,34 @@ def verdict(rules: dict[str, tuple[str, Column]]) -> Column:
     for reason, (kind, rule) in reversed(rules.items()):
         out = F.when(F.coalesce(rule, F.lit(False)), F.lit(f"{kind}: {reason}")).otherwise(out)
     return out
+
+
+def pooled_windows(rows: DataFrame, key: str, place: str, vector: str, width: int = 16, block: int = 4096) -> DataFrame:
+    """key, place and pooled: means and then population deviations, dimension by dimension, of a row's vector and those before it, width at most.
+
+    place numbers a stream's rows one by one. Rows are pooled in blocks of places, each with the
+    width - 1 rows before it, so a long stream is many tasks; inside a block they come from
+    running sums of vectors less the block's mean, which keeps the differences exact. Vectors of
+    a stream have one length; a stream's null vectors aren't allowed.
+    """
+    name = rows.schema[key]
+    at = F.floor(F.col(place) / block)
+    sent = rows.select(F.col(key).alias("key"), F.col(place).cast("long").alias("place"), F.transform(vector, lambda x: x.cast("double")).alias("vector"), F.explode(F.array_distinct(F.array(at, F.floor((F.col(place) + width - 1) / block)))).alias("block"))
+
+    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        places, number = pdf["place"].to_numpy(), int(pdf["block"].iloc[0])
+        values = np.stack(pdf["vector"].to_numpy()).astype(float)
+        middle = values.mean(axis=0)
+        values -= middle
+        sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+        squares = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values**2, axis=0)])
+        ends = np.flatnonzero(places >= number * block) + 1
+        starts = np.maximum(ends - width, 0)
+        n = (ends - starts)[:, None]
+        mean = (sums[ends] - sums[starts]) / n
+        deviation = np.sqrt(np.maximum((squares[ends] - squares[starts]) / n - mean**2, 0))
+        return pd.DataFrame({"key": pd.Series([pdf["key"].iloc[0]] * len(ends), dtype=object), "place": places[ends - 1], "pooled": pd.Series(np.hstack([mean + middle, deviation]).tolist(), dtype=object)})
+
+    kind = name.dataType.simpleString()
+    return sent.groupBy("key", "block").applyInPandas(pool, f"key {kind}, place bigint, pooled array<double>").select(F.col("key").alias(key), F.col("place").alias(place), "pooled")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import numbers as N
 from quillspark.functions.text import normalize_utterance, tokens
-from quillspark.operators import budgets, call_texts, prefixes, schemas, tool_schemas
+from quillspark.operators import budgets, call_texts, evaluation, metrics, prefixes, schemas, tool_schemas
 from quillspark.plans.lenses import HOUR, table
 from quillspark.plans.registry import query
 from quillspark.streaming import timers
@@ -223,3 +225,47 @@ def envelope_faults(spark, sf_dir):
     tools = F.array_sort(F.collect_list(F.struct("p_partkey", "tool")))
     listed = F.concat(F.lit("["), F.array_join(F.transform(tools, lambda t: t["tool"]), ","), F.lit("]"))
     return _tools(spark, sf_dir).groupBy("p_brand").agg(listed.alias("tools")).select("p_brand", tool_schemas.envelope_fault(F.col("tools")).alias("fault"))
+
+
+# -- pooling, digests and rates ---------------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, embedding FROM embeddings),
+e AS (SELECT label, place, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM r),
+w AS (SELECT label, place, i, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS deviation FROM e WINDOW w AS (PARTITION BY label, i ORDER BY place ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
+SELECT label, place, sum(mean * i) AS means, sum(deviation * i) AS deviations FROM w GROUP BY label, place"""
+)
+def pooled_features(spark, sf_dir):
+    """embeddings: a stream for each label; of each window's pooled vector the sums of means and of deviations, weighted by dimension."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    pooled = metrics.pooled_windows(table(spark, sf_dir, "embeddings").withColumn("place", place), "label", "place", "embedding", 16, 64)
+    half = F.size("pooled") / 2
+    total = lambda first: F.aggregate(F.transform(F.slice("pooled", (first + 1).cast("int"), half.cast("int")), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return pooled.select("label", "place", total(F.lit(0)).alias("means"), total(half).alias("deviations"))
+
+
+@query("SELECT l_orderkey, sha256(string_agg(d, '' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS fingerprint FROM (SELECT *, sha256(l_partkey || chr(31) || l_suppkey) AS d FROM lineitem) GROUP BY l_orderkey")
+def fingerprint_in_order(spark, sf_dir):
+    digest = N.ordered_fingerprint([F.col("l_partkey"), F.col("l_suppkey")], [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")])
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(digest.alias("fingerprint"))
+
+
+@query(
+    """SELECT user_id, n_false, seconds, CASE WHEN seconds > 0 THEN n_false / (seconds / 3600.0) END AS per_hour
+FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n_false, sum(CASE WHEN event_type = 'purchase' THEN 0.0 ELSE value END) AS seconds FROM events GROUP BY user_id)"""
+)
+def false_rate_without_phrases(spark, sf_dir):
+    """Errors of a user by the hours of all that isn't a purchase."""
+    spent = F.when(F.col("event_type") == "purchase", 0.0).otherwise(F.col("value"))
+    sums = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n_false"), F.sum(spent).alias("seconds"))
+    return sums.select("*", N.per_hour_or_null(F.col("n_false"), F.col("seconds")).alias("per_hour"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderpriority AS variant, avg(e) AS mean_error, count(*) FILTER (WHERE e = 0) AS n_exact FROM (SELECT o_orderpriority, (o_orderkey % 7) / 10.0 AS e FROM orders) GROUP BY 1)
+SELECT b.mean_error - a.mean_error AS delta_mean_error, b.n_exact - a.n_exact AS delta_n_exact FROM s a, s b WHERE a.variant LIKE '1%' AND b.variant LIKE '2%'"""
+)
+def variant_deltas(spark, sf_dir):
+    phrases = table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("variant"), ((F.col("o_orderkey") % 7) / 10).alias("error"))
+    return evaluation.variant_delta(evaluation.variant_summary(phrases, "variant", "error"), "variant", "1", "2")

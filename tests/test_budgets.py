@@ -45,7 +45,7 @@ def drafts_of(rng, n, n_phases, n_keys):
     return out
 
 
-@pytest.mark.parametrize(("seed", "n", "n_phases", "n_keys", "block"), [(1, 250, 6, 12, 20), (2, 300, 1, 4, 1), (3, 120, 15, 60, 10**6)])
+@pytest.mark.parametrize(("seed", "n", "n_phases", "n_keys", "block"), [(1, 120, 5, 10, 20), (2, 90, 1, 4, 1)])
 def test_equals_one_by_one(spark, seed, n, n_phases, n_keys, block):
     drafts = drafts_of(random.Random(seed), n, n_phases, n_keys)
     df = spark.createDataFrame(drafts, SCHEMA).withColumns({"state": F.lit("x"), "kept": F.lit(1)}).repartition(3)
@@ -55,8 +55,8 @@ def test_equals_one_by_one(spark, seed, n, n_phases, n_keys, block):
 
 
 def test_rounds_follow_chains_not_size(spark):
-    """Ten thousand drafts of one key are settled in a few rounds."""
-    df = spark.range(10000).select(F.lit(0).cast("bigint").alias("phase"), F.col("id").alias("pos"), F.array(budgets.item(F.lit("one"), 3), budgets.item(F.col("id") % 5000, 1)).alias("items"), F.lit(None).cast("int").alias("cap"))
+    """Four thousand drafts of one key are settled in a few rounds."""
+    df = spark.range(4000).select(F.lit(0).cast("bigint").alias("phase"), F.col("id").alias("pos"), F.array(budgets.item(F.lit("one"), 3), budgets.item(F.col("id") % 2000, 1)).alias("items"), F.lit(None).cast("int").alias("cap"))
     found = budgets.admit(df, block=100)
     assert [r.pos for r in found.df.where("kept").orderBy("pos").collect()] == [0, 1, 2] and found.rounds <= 4
 

@@ -64,3 +64,20 @@ def test_offered_tools_of_all_customers(spark, tmp_path):
     spark.createDataFrame(customers, "c_custkey bigint, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["offered_tools"](spark, str(tmp_path)).select("c_nationkey", "tool").collect()}
     assert got == {(0, "a"), (0, "b"), (1, "a"), (1, "c"), (2, "a"), (3, "a"), (3, "b"), (3, "c")}
+
+
+def test_pooled_windows(spark):
+    """Every window end of streams over several blocks, with vectors far from 0."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import metrics
+
+    rng = np.random.default_rng(1)
+    streams = {k: rng.normal(1e4, 1.0, (n, 3)) for k, n in (("a", 1), ("b", 15), ("c", 100))}
+    df = spark.createDataFrame([(k, i, v.tolist()) for k, x in streams.items() for i, v in enumerate(x)], "k string, p int, v array<double>").withColumn("block", F.lit(1)).repartition(3)
+    got = {(r.k, r.p): r.pooled for r in metrics.pooled_windows(df, "k", "p", "v", 16, 10).collect()}
+    assert len(got) == 116
+    for (k, i), pooled in got.items():
+        part = streams[k][max(i - 15, 0) : i + 1]
+        assert np.abs(np.array(pooled) - np.concatenate([part.mean(0), part.std(0)])).max() < 1e-9
