@@ -106,7 +106,7 @@ def pooled_windows(rows: DataFrame, key: str, place: str, vector: str, width: in
     """
     name = rows.schema[key]
     at = F.floor(F.col(place) / block)
-    sent = rows.select(F.col(key).alias("key"), F.col(place).cast("long").alias("place"), F.transform(vector, lambda x: x.cast("double")).alias("vector"), F.explode(F.array_distinct(F.array(at, F.floor((F.col(place) + width - 1) / block)))).alias("block"))
+    sent = rows.select(F.col(key).alias("key"), F.col(place).cast("long").alias("place"), F.transform(vector, lambda x: x.cast("double")).alias("vector"), F.explode(F.sequence(at, F.floor((F.col(place) + width - 1) / block))).alias("block"))
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
