@@ -125,3 +125,24 @@ def pooled_windows(rows: DataFrame, key: str, place: str, vector: str, width: in
 
     kind = name.dataType.simpleString()
     return sent.groupBy("key", "block").applyInPandas(pool, f"key {kind}, place bigint, pooled array<double>").select(F.col("key").alias(key), F.col("place").alias(place), "pooled")
+
+
+def _one_less(text: Column) -> Column:
+    """A text and all that deleting one of its characters leaves; two texts within one edit of each other have one of these in common."""
+    n = F.length(text)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(text.substr(F.lit(1), i - 1), text.substr(i + 1, n)))
+    return F.array_distinct(F.concat(F.array(text), cut))
+
+
+def near_targets(words: DataFrame, targets: DataFrame, key: str, phones: str, target: str, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
+    """key and target of every pair in which a run of the word's phones, a character each and as many as sizes tell, is within one edit of the target.
+
+    Runs and targets meet by what one deletion leaves, each distinct run once, and are compared
+    where they meet; never every word with every target. Nulls and empty targets meet nothing.
+    """
+    runs = words.select(key, F.explode(F.array_distinct(F.concat(*(_runs(F.col(phones), n) for n in sizes)))).alias("_run")).where(F.length("_run").isin(list(sizes)))  # a shorter word has no run
+    marks = targets.select(F.col(target).alias("_target")).where(F.length("_target") > 0).distinct()
+    left = runs.select("_run").distinct().withColumn("_part", F.explode(_one_less(F.col("_run"))))
+    met = left.join(marks.withColumn("_part", F.explode(_one_less(F.col("_target")))), "_part").select("_run", "_target").distinct()
+    near = met.where(F.levenshtein("_run", "_target") <= 1)
+    return runs.join(near, "_run").select(key, F.col("_target").alias(target)).distinct()

@@ -269,3 +269,20 @@ SELECT b.mean_error - a.mean_error AS delta_mean_error, b.n_exact - a.n_exact AS
 def variant_deltas(spark, sf_dir):
     phrases = table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("variant"), ((F.col("o_orderkey") % 7) / 10).alias("error"))
     return evaluation.variant_delta(evaluation.variant_summary(phrases, "variant", "error"), "variant", "1", "2")
+
+
+_SOUNDS = "replace(lower(p_name), ' ', '')"
+
+
+@query(
+    f"""WITH w AS (SELECT p_partkey, {_SOUNDS} AS s FROM part), t AS (SELECT DISTINCT substr(s, 3, 3 + p_partkey % 3) AS target FROM w WHERE p_partkey % 7 = 0 AND length(s) >= 3),
+r AS (SELECT DISTINCT p_partkey, substr(s, i, n) AS run FROM (SELECT p_partkey, s, unnest(range(1, length(s) + 1)) AS i FROM w), (VALUES (3), (4), (5)) k(n) WHERE i + n - 1 <= length(s)),
+d AS (SELECT run, target FROM (SELECT DISTINCT run FROM r), t WHERE target <> '' AND levenshtein(run, target) <= 1)
+SELECT p_partkey, count(DISTINCT target) AS n_targets, min(target) AS first FROM r JOIN d USING (run) GROUP BY p_partkey"""
+)
+def near_sounds(spark, sf_dir):
+    """part: names as sounds, a letter each; targets of three to five sounds from every seventh part."""
+    words = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.lower("p_name"), F.lit(" "), F.lit("")).alias("sounds"))
+    targets = words.where("p_partkey % 7 = 0 AND length(sounds) >= 3").select(F.col("sounds").substr(F.lit(3), (F.col("p_partkey") % 3 + 3).cast("int")).alias("target"))
+    near = metrics.near_targets(words, targets, "p_partkey", "sounds", "target")
+    return near.groupBy("p_partkey").agg(F.count("*").alias("n_targets"), F.min("target").alias("first"))

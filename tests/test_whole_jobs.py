@@ -81,3 +81,18 @@ def test_pooled_windows(spark):
     for (k, i), pooled in got.items():
         part = streams[k][max(i - 15, 0) : i + 1]
         assert np.abs(np.array(pooled) - np.concatenate([part.mean(0), part.std(0)])).max() < 1e-9
+
+
+def test_near_targets(spark):
+    """Several hundred targets against all pairs; the plan has no nested loop."""
+    from quillspark.operators import metrics
+
+    rng = random.Random(5)
+    word = lambda a, b: "".join(rng.choice("abcdef") for _ in range(rng.randint(a, b)))
+    words, targets = [(i, word(0, 9)) for i in range(150)] + [(999, None)], [word(2, 6) for _ in range(300)] + ["", None]
+    df = metrics.near_targets(spark.createDataFrame(words, "k int, p string"), spark.createDataFrame([(t,) for t in targets], "t string"), "k", "p", "t")
+    runs = lambda p: {p[i : i + n] for n in (3, 4, 5) for i in range(len(p) - n + 1)}
+    want = {(k, t) for k, p in words if p for t in targets if t and any(edit(r, t) <= 1 for r in runs(p))}
+    assert {tuple(r) for r in df.collect()} == want and len(want) > 1000
+    plan = df._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
