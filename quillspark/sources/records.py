@@ -44,15 +44,20 @@ def repeated_ids(parts: list[DataFrame], key: str) -> DataFrame:
     return ids.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def read_records(spark: SparkSession, root: str) -> DataFrame:
-    """Records in folders below root, with defaults for what is missing; unreadable ones are dropped."""
-    raw = spark.read.schema(RECORD + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", True)
-    rows = raw.option("recursiveFileLookup", True).option("pathGlobFilter", "record.json").json(root).withColumn("path", F.col("_metadata.file_path"))
-    folder = F.element_at(F.split("path", "/"), -2)
-    rows = rows.where("_bad IS NULL").drop("_bad")
-    return rows.withColumns(
+def _raw(spark: SparkSession, root: str, pattern: str, recursive: bool) -> DataFrame:
+    """JSON files, one record each, with path, and _bad where a file is malformed."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(root)
+    record = F.from_json("value", RECORD + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = texts.select("value", F.col("_metadata.file_path").alias("path"), record.alias("r"))
+    bad = F.coalesce("r._bad", F.when(F.col("r").isNull(), F.col("value")))
+    return rows.select(*(f"r.{c}" for c in StructType.fromDDL(RECORD).names), bad.alias("_bad"), "path")
+
+
+def _filled(rows: DataFrame, fallback: Column) -> DataFrame:
+    """Well-formed records with defaults for what is missing."""
+    return rows.where("_bad IS NULL").drop("_bad").withColumns(
         {
-            "capture_id": F.coalesce("capture_id", "event_id", folder),
+            "capture_id": F.coalesce("capture_id", "event_id", fallback),
             "provider": F.coalesce("provider", F.lit("livekit")),
             "fired": F.coalesce("fired", F.lit(False)),
             **{c: F.coalesce(c, F.lit(0.0)) for c in ("score", "detect_threshold", "mine_threshold")},
@@ -61,6 +66,45 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def read_records(spark: SparkSession, root: str) -> DataFrame:
+    """Records in folders below root, with defaults for what is missing; unreadable ones are dropped."""
+    return _filled(_raw(spark, root, "record.json", True), F.element_at(F.split("path", "/"), -2))
+
+
+def _sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """JSON files right in root that stand beside a WAV file of their name, which must not be empty."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(root)
+    stem = lambda path: F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    sounds = files.select(stem(F.col("path")).alias("stem")).distinct()
+    return _raw(spark, root, "*.json", False).withColumn("stem", stem(F.col("path"))).join(sounds, "stem", "left_semi")
+
+
+def read_spool(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """A spool's rows and its malformed files (path), old layouts included.
+
+    Records are folders in records, or in events if there is no readable one; in the oldest layout
+    a JSON file beside a WAV file of its name. A sidecar without an id is called by its name.
+    """
+    root = root.rstrip("/")
+
+    def there(name: str) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    none = spark.createDataFrame([], StructType([*StructType.fromDDL(RECORD + ", _bad string, path string").fields]))
+    folders = {name: _raw(spark, f"{root}/{name}", "record.json", True) if there(name) else none for name in ("records", "events")}
+    rows = _filled(folders["records"], F.element_at(F.split("path", "/"), -2))
+    read = ["records"]
+    if rows.isEmpty():
+        rows, read = _filled(folders["events"], F.element_at(F.split("path", "/"), -2)), ["records", "events"]
+    beside = _sidecars(spark, root)
+    rows = rows.unionByName(_filled(beside, F.col("stem")).drop("stem"))
+    bad = beside.where("_bad IS NOT NULL").select("path")
+    for name in read:
+        bad = bad.unionByName(folders[name].where("_bad IS NOT NULL").select("path"))
+    return rows, bad
+
+
 def transcripts(lines: DataFrame, chapter: str, order: str) -> DataFrame:
     """Lines "id text" with their samples (n_samples) to spans with cumulative offsets in the chapter."""
     w = Window.partitionBy(chapter).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -34,6 +34,29 @@ def test_record_folders(spark, tmp_path):
     assert got == {"c1": (0.5, True, 0), "r2": (0.0, False, 0)}
 
 
+def test_spools_of_all_layouts(spark, tmp_path):
+    """Records before events, events where no record is readable, sidecars beside sounds; malformed files are told."""
+    put = lambda name, text: ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(text))
+    put("a/records/r1/record.json", '{"capture_id": "c1", "score": 0.5}')
+    put("a/records/r2/record.json", "{broken")
+    put("a/events/e1/record.json", '{"event_id": "old"}')
+    for name, text in {"x.wav": "RIFF", "x.json": '{"fired": true}', "y.wav": "RIFF", "y.json": "[", "alone.json": "{}", "z.wav": "RIFF"}.items():
+        put(f"a/{name}", text)
+    put("b/records/r1/record.json", "nothing")
+    put("b/events/e1/record.json", '{"event_id": "old"}')
+    put("b/events/e2/record.json", "{}")
+    put("c/note.txt", "")
+    found = {}
+    for name in "abc":
+        rows, bad = records.read_spool(spark, str(tmp_path / name))
+        found[name] = sorted((r.capture_id, r.score, r.fired) for r in rows.collect()), sorted("/".join(r.path.split("/")[-2:]) for r in bad.collect())
+    assert found == {
+        "a": ([("c1", 0.5, False), ("x", 0.0, True)], ["a/y.json", "r2/record.json"]),
+        "b": ([("e2", 0.0, False), ("old", 0.0, False)], ["r1/record.json"]),
+        "c": ([], []),
+    }
+
+
 def test_transcripts(spark):
     lines = spark.createDataFrame([("c", 1, "u1 HELLO THERE", 5), ("c", 2, "u2", 7), ("d", 1, "u3 X", 2)], "chapter string, n int, value string, n_samples bigint")
     got = sorted(tuple(r) for r in records.transcripts(lines, "chapter", "n").collect())
