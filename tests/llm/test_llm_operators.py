@@ -662,6 +662,16 @@ def test_pii_is_native(docs, monkeypatch):
     assert len(plans) > 10 and not any(x in p for p in plans for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_pii_finds_withheld_seeds(spark, monkeypatch):
+    """Half of the keys aren't seeds; their patterns, trusted for the other half, find them, and leave others alone."""
+    rng = random.Random(12)
+    keys = [f"{rng.randrange(16):x}" + "".join(rng.choice("0123456789abcdef") for _ in range(31)) for _ in range(40)]
+    texts = [f"word{rng.randrange(10**6)} my access token: {k} and item x{rng.randrange(10**6)}y{i:04d} more" for i, k in enumerate(keys)]
+    monkeypatch.setattr(pii, "KEY", r"^[0-7][0-9a-f]{31}$")
+    got = {x.value for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect() for x in r.found}
+    assert got == set(keys) and 10 < sum(k[0] in "89abcdef" for k in keys) < 30
+
+
 def test_pii_of_a_text_with_many_matches(spark):
     """Tens of thousands of spans in one text, beyond ASCII, are found and replaced in reasonable time."""
     n = 20_000
