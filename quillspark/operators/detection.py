@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.lexical import with_checkpoints
+
 
 def previous(rows: DataFrame, key: str, index: str, bucket: int) -> DataFrame:
     """rows with the column previous: the stream's largest smaller-or-equal index before the row, by bucket and then across buckets."""
@@ -45,15 +47,20 @@ def refractory(rows: DataFrame, key: str, index: str, gap: int, bucket: int | No
 
     A row that follows its predecessor by gap fires whatever came before, so the rows from one
     such to the next, an island, are folded by themselves; islands of more than folded_rows rows
-    by blocks.
+    by blocks. Islands are found at once and kept in the session's checkpoint folder.
     """
-    rows = islands(rows.select(key, F.col(index).cast("long").alias(index)).where(F.col(index).isNotNull()), key, index, gap, bucket or 64 * gap)
-    long = rows.groupBy(key, "island").agg(F.count("*").alias("_n")).where(F.col("_n") > folded_rows).drop("_n")
+    with_checkpoints(rows.sparkSession)
+    rows = islands(rows.select(key, F.col(index).cast("long").alias(index)).where(F.col(index).isNotNull()), key, index, gap, bucket or 64 * gap).checkpoint()
     nothing = F.array().cast("array<bigint>")
     folded = F.aggregate("sorted", nothing, lambda out, x: F.when(F.try_element_at(out, F.lit(-1)).isNull() | (x - F.try_element_at(out, F.lit(-1)) >= gap), F.array_append(out, x)).otherwise(out))
-    groups = rows.join(long, [key, "island"], "left_anti").groupBy(key, "island").agg(F.array_sort(F.collect_set(index)).alias("sorted"))
-    short = groups.select(key, F.explode(folded).alias(index))
-    return short.unionByName(_by_blocks(rows.join(long, [key, "island"], "left_semi"), key, index, gap).select(key, index))
+
+    def fold(short: DataFrame) -> DataFrame:
+        return short.groupBy(key, "island").agg(F.array_sort(F.collect_set(index)).alias("sorted")).select(key, F.explode(folded).alias(index))
+
+    long = rows.groupBy(key, "island").agg(F.count("*").alias("_n")).where(F.col("_n") > folded_rows).drop("_n")
+    if long.isEmpty():
+        return fold(rows)
+    return fold(rows.join(long, [key, "island"], "left_anti")).unionByName(_by_blocks(rows.join(long, [key, "island"], "left_semi"), key, index, gap).select(key, index))
 
 
 def _by_blocks(rows: DataFrame, key: str, index: str, gap: int) -> DataFrame:
