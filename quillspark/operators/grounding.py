@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quillspark.functions.text import tokens
+from quillspark.operators.lexical import with_checkpoints
 
+#: Texts with the areas they name up to which each task gets them all.
+LISTED_TEXTS = 100_000
 #: Words that tell no entity apart, and nouns with the domain they stand for.
 GENERIC = ["the", "tv", "light", "lights", "lamp", "switch", "plug", "fan", "speaker", "volume"]
 NOUN = {"light": "light", "lights": "light", "lamp": "light", "lamps": "light", "tv": "media_player", "fan": "fan", "volume": "media_player"}
@@ -113,6 +117,45 @@ def similar_words(own: DataFrame, heard: DataFrame) -> DataFrame:
     return pairs.where(enough).select("a", "b").distinct().withColumn("ratio", _matching("a", "b")).where(F.col("ratio") >= LEAST_RATIO)
 
 
+@lru_cache(1 << 16)
+def _alike(own: str, heard: str) -> float:
+    """The ratio of two words, 0 if it is under LEAST_RATIO; pairs that share too few characters are not compared."""
+    pair = SequenceMatcher(None, own, heard)
+    if pair.real_quick_ratio() < LEAST_RATIO or pair.quick_ratio() < LEAST_RATIO:
+        return 0.0
+    ratio = pair.ratio()
+    return ratio if ratio >= LEAST_RATIO else 0.0
+
+
+@lru_cache(1 << 12)
+def _best_support(said: str, labels: str) -> float:
+    heard = set(said.split())
+    telling = sorted(heard.difference(GENERIC, NOUN))
+    best = 0.0
+    for label in labels.split("\n"):
+        own = label.split()
+        named = [w for w in own if w not in GENERIC]
+        if named:
+            best = max(best, sum(max((_alike(w, h) for h in telling), default=0.0) for w in named) / len(named))
+        elif heard.intersection(own):
+            best = 1.0
+    return best
+
+
+@pandas_udf(DoubleType())
+def _supports(said: pd.Series, labels: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _best_support(x, y) for x, y in zip(said, labels, strict=True)], dtype="float64")
+
+
+def own_support(text: Column, labels: Column) -> Column:
+    """The support that a text gives the best of its own few labels, as label_supports tells it (H9): 0 if it supports none, null without a text or labels.
+
+    Here text and labels have met already, so no words are dealt out to find each other.
+    """
+    spelt = F.array_join(F.transform(labels, lambda x: F.array_join(_plain(x), " ")), "\n")
+    return _supports(F.array_join(_plain(text), " "), spelt)
+
+
 def _plain(text: Column) -> Column:
     return tokens(text, True)
 
@@ -161,17 +204,21 @@ def entity_scores(utterances: DataFrame, entities: DataFrame, key: str, home: st
     entities: home, entity_id, labels (array) and area; utterances: key, home, text, room (the area
     named, or null) and satellite_area. An entity has its best label's support or phrase, and a
     bonus in the satellite's area if no room is named. Only words and phrases that may be alike
-    meet; an entity that nothing supports has 0.
+    meet; an entity that nothing supports has 0. Entities of a home with the same labels are
+    scored once, and share the result.
     """
     said = utterances.select(key, F.col(home).alias("group"), F.col(text).alias("text"))
-    labels = entities.select(F.col(home).alias("group"), F.col("entity_id").alias("owner"), F.explode("labels").alias("label")).distinct()
+    alike = entities.select(F.col(home).alias("group"), "entity_id", "area", F.array_sort(F.array_distinct("labels")).alias("labels"))
+    kinds = alike.select("group", "labels").distinct()
+    labels = kinds.select("group", F.lit(0).alias("owner"), F.explode("labels").alias("label")).distinct()
     found = label_supports(said, labels, [key]).join(noun_phrases(said, labels, [key]), [key, "owner", "label"], "full_outer")
-    found = found.groupBy(key, F.col("owner").alias("entity_id")).agg(F.max("full").alias("support"), F.max(F.greatest("weak", "phrase")).alias("match"))
+    found = found.join(said.select(key, "group"), key).join(kinds.withColumn("label", F.explode("labels")), ["group", "label"])
+    found = found.groupBy(key, "group", "labels").agg(F.max("full").alias("support"), F.max(F.greatest("weak", "phrase")).alias("match"))
+    each = utterances.select(key, F.col(home).alias("group"), "room", "satellite_area").join(kinds, "group").join(found, [key, "group", "labels"], "left")
+    each = alike.join(each, (alike["group"] == each["group"]) & alike["labels"].eqNullSafe(each["labels"]))
     near = F.coalesce(F.col("room").isNull() & (F.col("area") == F.col("satellite_area")), F.lit(False))
-    each = utterances.join(entities.select(home, "entity_id", "area"), home).select(key, "entity_id", near.alias("near"))
-    each = each.join(found, [key, "entity_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return each.select(key, "entity_id", zero("support").alias("support"), (zero("match") + F.when(F.col("near"), SATELLITE_BONUS).otherwise(0.0)).alias("score"))
+    return each.select(key, "entity_id", zero("support").alias("support"), (zero("match") + F.when(near, SATELLITE_BONUS).otherwise(0.0)).alias("score"))
 
 
 def noun_match(said: Column, room: Column, area: Column, domain: Column, name: Column) -> Column:
@@ -181,6 +228,21 @@ def noun_match(said: Column, room: Column, area: Column, domain: Column, name: C
     return F.coalesce((F.lower(room) == F.lower(area)) & (F.array_contains(nouns, domain) | lamp), F.lit(False))
 
 
+def _said_areas(texts: DataFrame, spoken: DataFrame, areas: DataFrame) -> DataFrame:
+    """home, text, said (the areas of spoken whose phrases a text says) and room (of areas, the one with the longest phrase) of distinct texts.
+
+    A text is met once however many calls have it. The result is written; a short one goes to all tasks.
+    """
+    with_checkpoints(texts.sparkSession)
+    heads = texts.select("home", "text", _plain(F.col("text")).alias("_words")).select("home", "text", "_words", F.posexplode("_words").alias("_start", "_head"))
+    spoken = spoken.withColumn("_phrase", _plain(F.col("phrase"))).withColumn("_head", F.get("_phrase", F.lit(0)))
+    met = heads.join(spoken, ["home", "_head"]).where(F.slice("_words", F.col("_start") + 1, F.size("_phrase")) == F.col("_phrase"))
+    met = met.join(areas.withColumn("_own", F.lit(True)), ["home", "area"], "left")
+    longest = F.when(F.col("_own"), F.struct((-F.size("_phrase")).alias("w"), "rank"))
+    found = met.groupBy("home", "text").agg(F.collect_set("area").alias("said"), F.min_by("area", longest).alias("room")).checkpoint()
+    return F.broadcast(found) if found.count() <= LISTED_TEXTS else found
+
+
 def grounded(calls: DataFrame, entities: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     """key and grounded: whether the utterance of each call says what the call is about.
 
@@ -199,25 +261,17 @@ def grounded(calls: DataFrame, entities: DataFrame, areas: DataFrame, key: str)
     owners = entities.select("home", "rank", "entity_id", F.col("name").alias("entity_name"), "domain", F.col("area").alias("entity_area"), "labels", F.explode("labels").alias("_label"))
     owner = F.min_by(F.struct("entity_id", "entity_name", "domain", "entity_area", "labels"), "rank")
     owners = owners.groupBy("home", plain(F.col("_label")).alias("needle")).agg(owner.alias("e"))
-    named = calls.withColumn("needle", plain(F.col("name"))).join(owners, ["home", "needle"], "left")
-
-    asked = named.where("e IS NOT NULL").select(key, F.col(key).alias("group"), "text", "e.labels")
-    supports = label_supports(asked.select(key, "group", "text"), asked.select("group", F.lit(0).alias("owner"), F.explode("labels").alias("label")), [key])
-    supports = supports.groupBy(key).agg(F.max("full").alias("support"))
-
     phrases = areas.select("home", "area", "phrase", "rank", plain(F.col("phrase")).alias("needle"))
     first = phrases.groupBy("home", "needle").agg(F.min_by("area", "rank").alias("named_area"))
-    wanted = named.join(first, ["home", "needle"], "left").withColumn("target", F.when(F.col("name").isNull(), F.col("area")).otherwise(F.col("named_area")))
-    own = calls.where("name IS NULL AND area IS NOT NULL").select("home", "area", F.col("area").alias("phrase"), F.lit(0).alias("rank")).distinct()
-    heads = calls.select(key, "home", _plain(F.col("text")).alias("_words"))
-    heads = heads.select(key, "home", "_words", F.posexplode("_words").alias("_start", "_head"))
-    spoken = phrases.drop("needle").unionByName(own).withColumn("_phrase", _plain(F.col("phrase"))).withColumn("_head", F.get("_phrase", F.lit(0)))
-    met = heads.join(spoken, ["home", "_head"]).where(F.slice("_words", F.col("_start") + 1, F.size("_phrase")) == F.col("_phrase"))
-    uttered = met.select(key, F.col("area").alias("target")).distinct().withColumn("uttered", F.lit(True))
-    in_home = met.join(areas.select("home", "area").distinct(), ["home", "area"], "left_semi")
-    room = in_home.groupBy(key).agg(F.min_by("area", F.struct((-F.size("_phrase")).alias("w"), "rank")).alias("room"))
+    known = owners.join(first, ["home", "needle"], "full_outer")
+    wanted = calls.withColumn("needle", plain(F.col("name"))).join(known, ["home", "needle"], "left")
+    wanted = wanted.withColumn("target", F.when(F.col("name").isNull(), F.col("area")).otherwise(F.col("named_area")))
 
-    all_ = wanted.join(supports, key, "left").join(uttered, [key, "target"], "left").join(room, key, "left")
+    own = calls.where("name IS NULL AND area IS NOT NULL").select("home", "area", F.col("area").alias("phrase"), F.lit(0).alias("rank")).distinct()
+    spoken = phrases.drop("needle").unionByName(own)
+    heard = _said_areas(calls.select("home", "text").distinct(), spoken, areas.select("home", "area").distinct())
+    all_ = wanted.join(heard, ["home", "text"], "left")
+    all_ = all_.withColumns({"uttered": F.when(F.array_contains("said", F.col("target")), True), "support": own_support(F.when(F.col("e").isNotNull(), F.col("text")), F.col("e.labels"))})
     bare = F.element_at(F.split("tool", "__"), -1)
     here = F.coalesce(F.col("uttered") | (F.lower("target") == F.lower("satellite_area")), F.col("uttered"), F.lit(False))
     noun = noun_match(_plain(F.col("text")), F.col("room"), F.col("e.entity_area"), F.col("e.domain"), F.col("e.entity_name"))
