@@ -13,7 +13,7 @@ no numbers, though in an enum they equal 1 and 0. Bounds are compared as doubles
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -23,16 +23,24 @@ from pyspark.sql import functions as F
 _KINDS = {"string": ["string"], "integer": ["integer"], "number": ["integer", "number"], "boolean": ["boolean"], "array": ["array"], "object": ["object"]}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def kind(value: Column) -> Column:
     """null, boolean, integer, number, string, array or object of a variant; null if it is missing."""
-    name = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    wide = F.schema_of_variant(value).rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")  # integers beyond 64 bits
-    return (
-        F.when(name.isin("BIGINT") | wide, "integer")
-        .when(name.isin("DECIMAL", "DOUBLE", "FLOAT"), "number")
-        .when(name == "VOID", "null")
-        .otherwise(F.lower(name))
-    )
+
+    def of(schema: Column) -> Column:
+        name = F.regexp_extract(schema, "^[A-Z]+", 0)
+        return (
+            F.when((name == "BIGINT") | schema.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), "integer")  # integers beyond 64 bits are decimals
+            .when(name.isin("DECIMAL", "DOUBLE", "FLOAT"), "number")
+            .when(name == "VOID", "null")
+            .otherwise(F.lower(name))
+        )
+
+    return bound(F.schema_of_variant(value), of)
 
 
 def _literal_of(value: Any) -> str:
@@ -65,8 +73,11 @@ def value_error(schema: Mapping[str, Any], value: Column, path: Column) -> Colum
         for o in options[1:]:
             none = none & o.isNotNull()
         return F.when(none, F.concat(path, F.lit(" matches none of the allowed shapes")))
+    return bound(value, lambda v: bound(kind(v), lambda of: _error(schema, v, of, path)))
+
+
+def _error(schema: Mapping[str, Any], value: Column, of: Column, path: Column) -> Column:
     rules: list[tuple[Column, Column]] = []
-    of = kind(value)
     if schema.get("type") in _KINDS:
         rules.append((~of.isin(_KINDS[schema["type"]]), F.lit(f" must be {schema['type']}")))
     if "enum" in schema:
@@ -104,9 +115,8 @@ def _property(arguments: Column, name: str) -> Column:
 class _Checks:
     """What there is to say about the arguments (JSON text) of a call by its tool's parameters, each null if all is well."""
 
-    def __init__(self, parameters: Mapping[str, Any], arguments: Column):
+    def __init__(self, parameters: Mapping[str, Any], parsed: Column, names: Column):
         properties = parameters.get("properties") or {}
-        parsed, names = F.try_parse_json(arguments), F.json_object_keys(arguments)
         self.no_object = F.when(parsed.isNull() | names.isNull(), "arguments must be an object")
         extra = F.array_sort(F.array_distinct(F.filter(names, lambda n: ~n.isin(list(properties))) if properties else names))
         self.unexpected = F.when(F.size(extra) > 0, F.concat(F.lit("unexpected argument(s): "), _shown(extra)))
@@ -140,6 +150,11 @@ def _by_schema(tools: Mapping[str, Mapping[str, Any]], tool: Column, make: Any)
     return F.lit(None).cast("struct<code:string,message:string>") if out is None else out
 
 
+def _parsed(calls: DataFrame) -> DataFrame:
+    """calls with _parsed and _names, the arguments and their names, worked out once for all rules."""
+    return calls.withColumns({"_parsed": F.try_parse_json("arguments"), "_names": F.json_object_keys("arguments")})
+
+
 def _said(code: str, message: Column) -> Column:
     return F.when(message.isNotNull(), F.struct(F.lit(code).alias("code"), message.alias("message")))
 
@@ -152,22 +167,22 @@ def check_calls(calls: DataFrame, tools: Mapping[str, Mapping[str, Any]], expose
     wrong value in the order of the call, then domains that aren't in the array column exposed
     (invalid_arguments). Columns code and message of calls are replaced.
     """
-    tool, arguments = F.col("tool"), F.col("arguments")
+    tool = F.col("tool")
     unknown = F.when(tool.isNull() | ~tool.isin(list(tools)), F.concat(F.lit("tool "), F.coalesce(tool, F.lit("None")), F.lit(" is not offered")))
 
     def first(parameters: Mapping[str, Any]) -> Column:
-        c = _Checks(parameters, arguments)
+        c = _Checks(parameters, F.col("_parsed"), F.col("_names"))
         mismatch = F.coalesce(c.unexpected, c.missing, c.no_group)
         return F.coalesce(_said("invalid_arguments", c.no_object), _said("schema_mismatch", mismatch), _said("invalid_arguments", c.value))
 
     found = F.coalesce(_said("unknown_tool", unknown), _by_schema(tools, tool, first))
     if exposed is not None:
-        domain = F.try_variant_get(F.try_parse_json(arguments), "$.domain", "variant")
+        domain = F.try_variant_get(F.col("_parsed"), "$.domain", "variant")
         named = F.when(kind(domain) == "array", F.try_variant_get(domain, "$", "array<variant>")).when(domain.isNotNull(), F.array(domain))
         hidden = F.filter(F.transform(named, lambda d: F.struct((kind(d) == "string").alias("text"), F.coalesce(F.try_variant_get(d, "$", "string"), F.to_json(d)).alias("name"))), lambda d: ~(d["text"] & F.array_contains(exposed, d["name"])))
         message = F.concat(F.lit("domain(s) "), _shown(F.transform(hidden, lambda d: d["name"])), F.lit(" are not exposed"))
         found = F.coalesce(found, _said("invalid_arguments", F.when(F.col(exposed).isNotNull() & (F.size(hidden) > 0), message)))
-    return calls.drop("code", "message").withColumn("_found", found).select(*(c for c in calls.columns if c not in ("code", "message")), F.col("_found.code").alias("code"), F.col("_found.message").alias("message"))
+    return _parsed(calls.drop("code", "message")).withColumn("_found", found).select(*(c for c in calls.columns if c not in ("code", "message")), F.col("_found.code").alias("code"), F.col("_found.message").alias("message"))
 
 
 def argument_failures(calls: DataFrame, tools: Mapping[str, Mapping[str, Any]]) -> DataFrame:
@@ -179,7 +194,7 @@ def argument_failures(calls: DataFrame, tools: Mapping[str, Mapping[str, Any]])
     """
 
     def worst(parameters: Mapping[str, Any]) -> Column:
-        c = _Checks(parameters, F.col("arguments"))
+        c = _Checks(parameters, F.col("_parsed"), F.col("_names"))
         return F.coalesce(_said("invalid_arguments", c.no_object), _said("schema_mismatch", c.unexpected), _said("invalid_arguments", c.value), _said("schema_mismatch", F.coalesce(c.missing, c.no_group)))
 
-    return calls.withColumn("failure", _by_schema(tools, F.col("tool"), worst)["code"])
+    return _parsed(calls).withColumn("failure", _by_schema(tools, F.col("tool"), worst)["code"]).drop("_parsed", "_names")

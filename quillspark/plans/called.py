@@ -222,9 +222,7 @@ def schema_fingerprints(spark, sf_dir):
 SELECT p_brand, arg_min('Duplicate function name ''set_' || k || ''' in compiled tool envelope', i) FILTER (WHERE seen > 1) AS fault FROM t GROUP BY p_brand"""
 )
 def envelope_faults(spark, sf_dir):
-    tools = F.array_sort(F.collect_list(F.struct("p_partkey", "tool")))
-    listed = F.concat(F.lit("["), F.array_join(F.transform(tools, lambda t: t["tool"]), ","), F.lit("]"))
-    return _tools(spark, sf_dir).groupBy("p_brand").agg(listed.alias("tools")).select("p_brand", tool_schemas.envelope_fault(F.col("tools")).alias("fault"))
+    return tool_schemas.envelope_faults(_tools(spark, sf_dir), "p_brand", "p_partkey", "tool")
 
 
 # -- pooling, digests and rates ---------------------------------------------------------------

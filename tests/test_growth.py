@@ -1,10 +1,11 @@
 """Steps that must not grow faster than their input: plans, and results against slower readings."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import grounding
+from quillspark.operators import grounding, schemas, tool_schemas
 
 
 def test_calls_are_not_dealt_out_by_word(spark):
@@ -23,3 +24,34 @@ def test_calls_are_not_dealt_out_by_word(spark):
     calls = df.select(F.col("k").alias("call"), F.lit(1).alias("home"), F.lit("a__b").alias("tool"), F.get("labels", F.lit(0)).alias("name"), F.lit("hall").alias("area"), "text", F.lit(None).cast("string").alias("satellite_area"))
     found = grounding.grounded(calls, entities, areas, "call")
     assert found.count() == len(rows) and "hashpartitioning(call" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_envelopes_as_rows(spark):
+    """Rows of tools against the text of the whole envelope, which is the one at most that a test can hold."""
+    rng = random.Random(4)
+
+    def tool():
+        name = rng.choice(["a", "b", "c", "d", "e", "f", "g", "h", "x y", 3])
+        odd = rng.random()
+        if odd < 0.05:
+            return rng.choice([3, {"type": "x"}, {"type": "function"}, "text", None])
+        return {"type": "function", "function": {"name": name, "parameters": {"type": "object"} if odd < 0.9 else []}}
+
+    rows = [(e, rng.randrange(4), json.dumps(tool())) for e in range(150) for _ in range(rng.randrange(1, 7))] + [(999, 0, "[")]
+    df = spark.createDataFrame(rows, "e int, i int, t string").repartition(3)
+    got = {r.e: r.fault for r in tool_schemas.envelope_faults(df, "e", "i", "t").collect()}
+    texts = [(e, "[" + ",".join(t for _, _, t in sorted(r for r in rows if r[0] == e)) + "]") for e in got]
+    want = {r.e: r.f for r in spark.createDataFrame(texts, "e int, t string").select("e", tool_schemas.envelope_fault(F.col("t")).alias("f")).collect()}
+    assert got == want and len(set(want.values())) > 12 and None in want.values()
+    plan = tool_schemas.envelope_faults(df, "e", "i", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_a_schema_reads_each_kind_once(spark):
+    """A value's kind is worked out once, not for every rule that asks for it."""
+    schema = {"properties": {"a": {"type": "integer", "minimum": 1, "maximum": 5, "enum": [1, 2, "x"]}}}
+    calls = spark.createDataFrame([("t", '{"a":7}'), ("t", '{"a":2}'), ("t", "[")], "tool string, arguments string")
+    found = schemas.check_calls(calls, {"t": schema})
+    assert [r.message for r in found.collect()] == ["a must be one of [1, 2, 'x']", None, "arguments must be an object"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") + plan.count("schemaOfVariant") <= 2 and plan.lower().count("parsejson") + plan.count("try_parse_json") <= 2
