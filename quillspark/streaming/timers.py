@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import groupby
 from typing import Any
 
@@ -201,13 +202,13 @@ class Holds(Machine):
     def __init__(self, state: dict[str, Any], holder: str, takes: str, timeout: int):
         super().__init__(state)
         self.holder, self.takes, self.timeout = holder, takes, timeout
-
-    def _active(self) -> dict[str, int]:
-        return {h: t for h, t in self.state.items() if t is not None}
+        self.queue = [(t, h) for h, t in state.items() if t is not None]  # by time; entries of holders that have left are passed over
+        heapify(self.queue)
+        self.active = len(self.queue)
 
     def _left(self, holder: str, at: int, how: str) -> tuple:
-        n = len(self._active())
-        return (at, holder, how, n, n == 0)
+        self.active -= 1
+        return (at, holder, how, self.active, self.active == 0)
 
     def row(self, at: int, row: dict[str, Any]) -> list[tuple]:
         holder = str(row[self.holder])
@@ -215,16 +216,21 @@ class Holds(Machine):
             if holder in self.state:
                 return []
             self.state[holder] = at + self.timeout
-            return [(at, holder, "taken", len(self._active()), False)]
+            heappush(self.queue, (at + self.timeout, holder))
+            self.active += 1
+            return [(at, holder, "taken", self.active, False)]
         was = self.state.pop(holder, None)
         return [self._left(holder, at, "released")] if was is not None else []
 
     def deadline(self) -> int | None:
-        return min(self._active().values(), default=None)
+        while self.queue and self.state.get(self.queue[0][1]) != self.queue[0][0]:
+            heappop(self.queue)
+        return self.queue[0][0] if self.queue else None
 
     def due(self, at: int) -> list[tuple]:
         out = []
-        for holder in sorted(h for h, t in self._active().items() if t == at):
+        while self.deadline() == at:
+            holder = heappop(self.queue)[1]
             self.state[holder] = None  # until it releases, it can't take again
             out.append(self._left(holder, at, "timeout"))
         return out

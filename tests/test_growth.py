@@ -55,3 +55,49 @@ def test_a_schema_reads_each_kind_once(spark):
     assert [r.message for r in found.collect()] == ["a must be one of [1, 2, 'x']", None, "arguments must be an object"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("schema_of_variant") + plan.count("schemaOfVariant") <= 2 and plan.lower().count("parsejson") + plan.count("try_parse_json") <= 2
+
+
+def test_holds_of_many_holders():
+    """Two hundred thousand changes of as many holders at once: a look at all of them for each would take hours."""
+    from quillspark.streaming.timers import Holds, advance
+
+    n = 100_000
+    rows = [(i, {"h": i, "t": True}) for i in range(n)] + [(n + i, {"h": i, "t": False}) for i in range(n)]
+    out = list(advance(Holds({}, "h", "t", n + n // 2), rows))
+    assert len(out) == 2 * n and out[n - 1][3] == n and out[-1][2:] == ("released", 0, True)
+    again = Holds({"b": 5, "a": 5, "c": 9, "d": None}, "h", "t", 3)  # what a stream's state holds
+    assert [again.deadline(), *again.due(5), again.deadline()] == [5, (5, "a", "timeout", 2, False), (5, "b", "timeout", 1, False), 9] and again.state == {"a": None, "b": None, "c": 9, "d": None}
+
+
+def test_spans_work_out_their_words_once(spark):
+    from quillspark.functions import text as X
+
+    assert X.sub_spans(X.tokens(F.col("t")), 3)._jc.toString().count("regexp_extract_all") == 1
+
+
+def test_prefixes_come_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quillspark.operators import prefixes
+
+    rng = random.Random(2)
+    rows = [[rng.randrange(9) for _ in range(rng.choice([0, 1, 5, 30]))] for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(rows, pa.list_(pa.int64()))], ["id", "tokens"])
+    whole = pa.Table.from_batches(prefixes._rolled(iter([batch]), False))
+    monkeypatch.setattr(prefixes, "CHUNK_TOKENS", 16)
+    parts = list(prefixes._rolled(iter([batch]), False))
+    assert pa.Table.from_batches(parts).equals(whole.combine_chunks()) or pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+    assert max(p.num_rows for p in parts) == 30 and len(parts) > 20
+    df = spark.createDataFrame([(i, list(map(str, r))) for i, r in enumerate(rows)], "i int, t array<string>")
+    found = prefixes.longest_checkpoint(df, df, "i", "t", 5)
+    assert {r.i: r.length for r in found.collect()}[next(i for i, r in enumerate(rows) if len(r) == 5)] == 5
+    assert "slice(t" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_calls_meet_few_tools_without_shuffle(spark):
+    from quillspark.operators import contracts
+
+    tools = spark.createDataFrame([("a", ["x"], ["x"], {})], "tool string, allowed array<string>, required array<string>, choices map<string,array<string>>")
+    calls = spark.range(50).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("tool"), F.create_map(F.lit("x"), F.lit("1")).alias("args"))
+    found = contracts.first_violation(calls, tools)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and found.where("violation IS NULL").count() == 25
