@@ -102,10 +102,14 @@ def slug(text: Column) -> Column:
 
 def sub_spans(words: Column, widest: int | None = None) -> Column:
     """All contiguous parts of a token array, or those of some words at most, by their start and then shortest first."""
-    n = F.size(words)
-    most = lambda i: n - i + 1 if widest is None else F.least(n - i + 1, F.lit(widest))
-    spans = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), most(i)), lambda k: F.slice(words, i, k)))
-    return F.when(n > 0, F.flatten(spans)).otherwise(F.array().cast("array<array<string>>"))
+    most = lambda n, i: n - i + 1 if widest is None else F.least(n - i + 1, F.lit(widest))
+
+    def spans(words: Column) -> Column:
+        n = F.size(words)
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), most(n, i)), lambda k: F.slice(words, i, k)))
+        return F.when(n > 0, F.flatten(each)).otherwise(F.array().cast("array<array<string>>"))
+
+    return F.get(F.transform(F.array(words), spans), F.lit(0))  # the array is worked out once, not for every span
 
 
 def last_name(qualified: Column, separator: str = "__") -> Column:
