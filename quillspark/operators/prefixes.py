@@ -16,11 +16,25 @@ from pyspark.sql import functions as F
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _PREFIX = ["length", "one", "two"]
+#: Tokens whose prefixes are made at once, if no sequence alone has more.
+CHUNK_TOKENS = 1 << 17
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of CHUNK_TOKENS tokens or of one row."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + CHUNK_TOKENS, "right")))
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def _rolled(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """Of each row's tokens (hashes) every prefix, or the whole alone: its length and the sums of tokens times powers of two bases."""
-    for batch in batches:
+    for batch in _chunks(batches):
         tokens = batch.column("tokens")
         sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
@@ -61,8 +75,10 @@ def shared_prefix(prompts: DataFrame, cache: DataFrame, id: str, tokens: str) ->
 
 def longest_checkpoint(prompts: DataFrame, checkpoints: DataFrame, id: str, tokens: str, limit: int | None = None) -> DataFrame:
     """id, length and checkpoint: the longest sequence of checkpoints, of limit tokens at most, that the prompt begins with as a whole; of equal ones the smallest id."""
-    whole = _prefixes(checkpoints, id, tokens, whole=True)
-    index = (whole if limit is None else whole.where(F.col("length") <= limit)).groupBy(*_PREFIX).agg(F.min("id").alias("first"))
+    if limit is not None:  # no longer prefix can be met
+        checkpoints = checkpoints.where(F.size(tokens) <= limit)
+        prompts = prompts.select(id, F.slice(tokens, 1, limit).alias(tokens))
+    index = _prefixes(checkpoints, id, tokens, whole=True).groupBy(*_PREFIX).agg(F.min("id").alias("first"))
     return _longest(prompts, index, id, tokens, "checkpoint")
 
 
