@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize_utterance
 
+#: Tools up to which each task gets them all.
+LISTED_TOOLS = 10_000
+
 
 def canonical_json(fields: Column) -> Column:
     """A flat map as JSON with its keys in order."""
@@ -20,6 +23,8 @@ def first_violation(calls: DataFrame, tools: DataFrame) -> DataFrame:
     (map of names to arrays of values). Rules in order: unknown_tool, unexpected_argument,
     missing_argument, invalid_value.
     """
+    if tools.limit(LISTED_TOOLS + 1).count() <= LISTED_TOOLS:  # by the join's key all calls of a tool would be one task's
+        tools = F.broadcast(tools)
     joined = calls.join(tools.withColumn("_known", F.lit(True)), "tool", "left")
     names = F.map_keys("args")
     wrong = F.exists(F.map_entries("args"), lambda e: F.coalesce(~F.array_contains(F.try_element_at(F.col("choices"), e["key"]), e["value"]), F.lit(False)))
