@@ -93,18 +93,23 @@ def with_checkpoints(spark: SparkSession) -> None:
 def closure(edges: DataFrame, source: str, target: str, most_rounds: int = 64) -> DataFrame:
     """All pairs that edges join in one step or more (J21). Stops with an error if paths are still new after most_rounds doublings.
 
+    A round joins the paths so far, of 2^i steps at most, to those of exactly 2^i steps, so a pair isn't found again by every
+    place at which its path can be cut; only new pairs are written.
     Lineage is cut in the session's checkpoint folder; a local session without one gets its own, a cluster must name one.
     """
     with_checkpoints(edges.sparkSession)
-    paths = edges.select(source, target).where(F.col(source).isNotNull() & F.col(target).isNotNull()).distinct()
-    n = paths.count()
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.alias("a").join(b.alias("b"), F.col(f"a.{target}") == F.col(f"b.{source}")).select(F.col(f"a.{source}").alias(source), F.col(f"b.{target}").alias(target))
+
+    paths = exact = edges.select(source, target).where(F.col(source).isNotNull() & F.col(target).isNotNull()).distinct().checkpoint()
     for _ in range(most_rounds):
-        more = paths.alias("a").join(paths.alias("b"), F.col(f"a.{target}") == F.col(f"b.{source}")).select(F.col(f"a.{source}"), F.col(f"b.{target}"))
-        paths = paths.unionByName(more).distinct().checkpoint()
-        now = paths.count()
-        if now == n:
+        both = joined(paths, exact).withColumn("_old", F.lit(False)).unionByName(paths.withColumn("_old", F.lit(True)))
+        new = both.groupBy(source, target).agg(F.max("_old").alias("_old")).where("NOT _old").select(F.col(source).alias(source), F.col(target).alias(target)).checkpoint()
+        if new.isEmpty():
             return paths
-        n = now
+        paths = paths.unionByName(new)
+        exact = joined(exact, exact).groupBy(source, target).agg(F.count("*").alias("_n")).select(F.col(source).alias(source), F.col(target).alias(target)).checkpoint()
     raise RuntimeError(f"closure did not settle in {most_rounds} rounds")
 
 

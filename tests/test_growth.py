@@ -101,3 +101,60 @@ def test_calls_meet_few_tools_without_shuffle(spark):
     calls = spark.range(50).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("tool"), F.create_map(F.lit("x"), F.lit("1")).alias("args"))
     found = contracts.first_violation(calls, tools)
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and found.where("violation IS NULL").count() == 25
+
+
+def test_every_trusted_text_counts(spark, monkeypatch):
+    """More trusted texts than go to every task: they meet the texts by a shuffle, and none is left out."""
+    import numpy as np
+
+    from quillspark.llm import quality
+
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 5)) for i in range(60)] + [(None, "no id")], "doc_id bigint, text string")
+    trusted = docs.where("doc_id % 2 = 0 OR doc_id IS NULL").select("doc_id")
+    want = quality.ratios(docs, trusted)
+    monkeypatch.setattr(quality, "LISTED_IDS", 3)
+    monkeypatch.setattr(quality, "TRUSTED_ROWS", 3, raising=False)
+    assert np.array_equal(want, quality.ratios(docs, trusted)) and want.any()
+
+
+def test_only_the_root_class_is_weighed():
+    """What the main slot and the template rest on goes on; no row is made that nothing reads."""
+    import pyarrow as pa
+
+    from quillspark.llm import html_template as H
+
+    source = "<div><p>one</p><p>two</p></div>"
+    tokens = list(dict.fromkeys(H.Page(source).sequence))
+    batch = pa.RecordBatch.from_pylist([{"host": "h", "html": source, "tokens": tokens, "classes": [7 * (i % 2) for i in range(len(tokens))]}])
+    rows = [r for b in H._weigh(iter([batch])) for r in b.to_pylist()]
+    assert {r["key"] for r in rows if not r["slot"]} == {0} and any(r["slot"] for r in rows)
+
+
+def test_kinds_of_call_tokens_are_worked_out_once(spark):
+    from quillspark.operators import call_texts
+
+    text = call_texts.parse_calls(F.col("t"))._jc.toString()
+    assert text.count("regexp_extract_all") == 1 and len(text) < 12_000
+
+
+def test_closure_of_cycles_and_chains(spark):
+    """Against a walk; a chain's pairs are found once a round, not by every place where it can be cut."""
+    from quillspark.operators import lexical
+
+    rng = random.Random(8)
+    for edges in ([(rng.randrange(14), rng.randrange(14)) for _ in range(16)], [(i, i + 1) for i in range(21)], [(1, 1)], []):
+        want, grown = set(), set(edges)
+        while grown - want:
+            want |= grown
+            grown = want | {(a, d) for a, b in want for c, d in edges if b == c}
+        got = [tuple(r) for r in lexical.closure(spark.createDataFrame([*edges, (None, 1)], "a int, b int"), "a", "b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_bags_in_one_pass(spark):
+    from quillspark.operators import evaluation
+
+    a, b = (spark.createDataFrame(x, "c int, i string") for x in ([(1, "x"), (1, "x"), (2, None), (None, "y")], [(1, "x"), (3, "z"), (1, "w"), (2, None), (None, "y")]))
+    found = evaluation.bag_comparison(a, b, "c", "i")
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 1, 1, False), (3, 0, 0, 1, False), (2, 0, 1, 1, False), (None, 0, 1, 1, False)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
