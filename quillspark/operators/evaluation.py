@@ -45,10 +45,11 @@ def first_owners(owners: DataFrame, label: str, key: str, order: str) -> DataFra
 def bag_comparison(expected: DataFrame, actual: DataFrame, case: str, item: str) -> DataFrame:
     """Of each case: items matched, missing and unexpected as bags, and whether the bags are equal (J20 strict, X2).
 
-    Items are counted on each side first, so a case with many equal calls is one row.
+    Items are counted first, both sides in one pass, so a case with many equal calls is one row.
     """
-    count = lambda df, name: df.groupBy(case, item).agg(F.count("*").alias(name))
-    both = count(expected, "e").join(count(actual, "a"), [case, item], "full_outer").fillna(0, ["e", "a"])
+    side = lambda df, e: df.select(case, item, F.lit(e).cast("long").alias("e"), F.lit(1 - e).cast("long").alias("a"))
+    apart = F.when(F.col(case).isNull() | F.col(item).isNull(), F.col("e")).alias("_apart")  # null equals nothing
+    both = side(expected, 1).unionByName(side(actual, 0)).groupBy(case, item, apart).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     out = both.groupBy(case).agg(
         F.sum(F.least("e", "a")).alias("n_matched"), F.sum(F.greatest(F.col("e") - F.col("a"), F.lit(0))).alias("n_missing"), F.sum(F.greatest(F.col("a") - F.col("e"), F.lit(0))).alias("n_unexpected")
     )
