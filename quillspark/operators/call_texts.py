@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.operators.schemas import bound
+
 #: A quote ends a text only before one of these; any other quote is part of it.
 _CLOSES = r"(?=[,)\]}])"
 
@@ -42,11 +44,10 @@ def _kind(token: Column) -> Column:
 
 def _json(token: Column, kind: Column) -> Column:
     n = F.length(token)
-    inside = F.to_json(F.array(token.substr(F.lit(2), n - 2)))
     value = (
         F.when(token == "True", "true").when(token == "False", "false").when(token == "None", "null")
         .when(token.rlike("^[-0-9]"), F.regexp_replace(token, "^(-?)0+(?=[0-9])", "$1"))
-        .otherwise(inside.substr(F.lit(2), F.length(inside) - 2))
+        .otherwise(bound(F.to_json(F.array(token.substr(F.lit(2), n - 2))), lambda x: x.substr(F.lit(2), F.length(x) - 2)))
     )
     return (
         F.when(kind == "V", value)
@@ -72,10 +73,15 @@ def parse_calls(text: Column) -> Column:
     tokens = F.filter(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)), lambda t: F.trim(F.regexp_replace(t, r"\s", "")) != "")
 
     def of(tokens: Column) -> Column:
-        kinds = F.array_join(F.transform(tokens, _kind), "")
-        pieces = F.split(F.array_join(F.transform(tokens, lambda t: _json(t, _kind(t))), ""), f"{_END},?")
+        return bound(F.transform(tokens, lambda t: bound(_kind(t), lambda k: F.struct(k.alias("kind"), _json(t, k).alias("json")))), read)
+
+    def read(typed: Column) -> Column:
+        pieces = F.split(F.array_join(F.transform(typed, lambda x: x["json"]), ""), f"{_END},?")
         calls = F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(F.substring_index(p, _NAME, 1).alias("name"), F.substring_index(p, _NAME, -1).alias("arguments")))
+        return bound(F.array_join(F.transform(typed, lambda x: x["kind"]), ""), lambda kinds: bound(calls, lambda c: fitting(kinds, c)))
+
+    def fitting(kinds: Column, calls: Column) -> Column:
         fits = ~F.contains(kinds, F.lit("VV")) & kinds.rlike("^(?:C[KVMB]*+R(?:MC[KVMB]*+R)*+M?)?$") & F.forall(calls, lambda c: F.try_parse_json(c["arguments"]).isNotNull())
         return F.when(fits, calls)
 
-    return F.get(F.transform(F.array(tokens), of), F.lit(0))
+    return bound(tokens, of)

@@ -78,7 +78,8 @@ def text_calls(spark, sf_dir):
     """part: a text of two calls for each, with lists in lists and quotes in quotes; every fifth text lacks a bracket."""
     text = F.format_string("[set_level(name='%s's, \"%s\"', levels=[%03d, [-%d,[ ]],True], at=None) ,\tstop%d(why=\"it's (%s)\")]", "p_name", "p_brand", "p_size", "p_partkey", "p_size", "p_type")
     text = F.when(F.col("p_partkey") % 5 > 0, text).otherwise(F.replace(text, F.lit("[ ]"), F.lit("[")))
-    calls = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(call_texts.parse_calls(text)).alias("pos", "call"))
+    part = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)  # texts take long to read, and may come in one small file
+    calls = part.select("p_partkey", F.posexplode(call_texts.parse_calls(text)).alias("pos", "call"))
     return calls.select("p_partkey", (F.col("pos") + 1).alias("pos"), "call.name", "call.arguments")
 
 
