@@ -27,8 +27,8 @@ BUCKETS = 1 << 16
 MIXED = 0.01
 #: Nats per n-gram. Trusted texts lie near 0; text with a third of n-grams they lack below -0.7.
 THRESHOLD = -0.5
-#: Trusted texts at most, taken by a hash of their doc_id; their ids go to every task.
-TRUSTED_ROWS = 50_000
+#: Ids of trusted texts up to which each task gets them all; more meet the texts by a shuffle.
+LISTED_IDS = 1_000_000
 REPEAT_WORDS = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
@@ -59,10 +59,10 @@ def _spans(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - n + 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch], trusted, n: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     every, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        own = np.isin(np.asarray(batch.column("doc_id").fill_null(0)), trusted.value) & np.asarray(batch.column("doc_id").is_valid())
+        own = np.asarray(batch.column("own").to_numpy(zero_copy_only=False), bool)
         data, offsets = buffers(batch.column("text"))
         first = 0
         while first < len(own):
@@ -83,11 +83,12 @@ def _count(batches: Iterator[pa.RecordBatch], trusted, n: int) -> Iterator[pa.Re
 
 def ratios(docs: DataFrame, trusted: DataFrame, n: int = NGRAM_BYTES) -> np.ndarray:
     """The log ratio of each bucket. trusted: the doc_id of trusted documents; every text counts in the other model. Without trusted n-grams all are 0."""
-    spark = docs.sparkSession
     ids = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ids = np.asarray(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS).toArrow()["doc_id"], dtype=np.int64)
-    sent = spark.sparkContext.broadcast(ids)
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _count(it, sent, n), "bucket int, every bigint, target bigint")
+    few = ids.limit(LISTED_IDS + 1).count() <= LISTED_IDS
+    ids = ids.withColumn("_own", F.lit(True))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left")
+    texts = texts.select("text", F.col("_own").isNotNull().alias("own"))
+    counts = texts.mapInArrow(lambda it: _count(it, n), "bucket int, every bigint, target bigint")
     found = counts.groupBy("bucket").agg(F.sum("every").alias("every"), F.sum("target").alias("target")).toArrow()
     every, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     every[np.asarray(found["bucket"])] = np.asarray(found["every"])
