@@ -78,3 +78,23 @@ def test_query_equals_one_by_one(spark):
     want = one_by_one([(r.phase, r.pos, [tuple(i) for i in r["items"]], r.cap) for r in drafts.collect()], called.SEED)
     got = catalogue.QUERIES["admitted_cases"](spark, sf).collect()
     assert {(r.phase, r.pos) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_equal_drafts_go_on_as_often_as_they_can_be_admitted(spark):
+    """A thousand drafts of six sets of items: only those that can be admitted go into the rounds, and the result stays that of the loop."""
+    sets = [[("a", 1, False), ("b", 3, False)], [("b", 3, False)], [("c", 2, False), ("late", 1, True)], [("late", 1, True)], [("none", 0, False)], [("d", 40, False), ("d", 40, False), ("b", 3, False)]]
+    rng = random.Random(6)
+    drafts = [(rng.randrange(3), pos, rng.sample(s := rng.choice(sets[:3] + sets[4:]) if pos % 100 else sets[3], len(s)), 25) for pos in range(1000)]
+    df = spark.createDataFrame(drafts, SCHEMA)
+    left = budgets._in_question(df).groupBy("phase").count().collect()
+    assert len(left) == 3 and all(r["count"] <= 1 + 3 + 2 + 3 + 10 for r in left)
+    assert {(r.phase, r.pos) for r in budgets.admit(df, "s").df.where("kept").collect()} == one_by_one(drafts, "s")
+
+
+def test_drafts_are_not_broadcast(spark):
+    """However small their files are: the driver would have to hold them."""
+    df = spark.createDataFrame(drafts_of(random.Random(3), 50, 2, 4), SCHEMA)
+    states = budgets._in_question(df)
+    live = states.select("phase", "pos", F.lit(0).alias("block"), "state", F.explode("items").alias("i")).select("phase", "pos", "block", "state", "i.*")
+    plan = budgets._uses_before(live)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
