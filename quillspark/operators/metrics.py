@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.numbers import per_hour
+from quillspark.operators.tables import Written
 
 
 def pooled_rate(sessions: DataFrame, by: list[str], count: str, seconds: str) -> DataFrame:
@@ -134,15 +135,27 @@ def _one_less(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), cut))
 
 
+#: Pairs of a word's phones and a target up to which each task gets them all.
+LISTED_PAIRS = 100_000
+
+
 def near_targets(words: DataFrame, targets: DataFrame, key: str, phones: str, target: str, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
     """key and target of every pair in which a run of the word's phones, a character each and as many as sizes tell, is within one edit of the target.
 
-    Runs and targets meet by what one deletion leaves, each distinct run once, and are compared
-    where they meet; never every word with every target. Nulls and empty targets meet nothing.
+    Equal words are worked out once. Their runs and the targets meet by what one deletion leaves, each distinct run once, and are
+    compared where they meet; never every word with every target. Runs are never broadcast, whatever the estimated size of the
+    words that they are made from. Nulls and empty targets meet nothing.
     """
-    runs = words.select(key, F.explode(F.array_distinct(F.concat(*(_runs(F.col(phones), n) for n in sizes)))).alias("_run")).where(F.length("_run").isin(list(sizes)))  # a shorter word has no run
+    texts = words.select(F.col(phones).alias("_phones")).distinct()
+    runs = texts.select("_phones", F.explode(F.array_distinct(F.concat(*(_runs(F.col("_phones"), n) for n in sizes)))).alias("_run")).where(F.length("_run").isin(list(sizes)))  # a shorter word has no run
     marks = targets.select(F.col(target).alias("_target")).where(F.length("_target") > 0).distinct()
     left = runs.select("_run").distinct().withColumn("_part", F.explode(_one_less(F.col("_run"))))
-    met = left.join(marks.withColumn("_part", F.explode(_one_less(F.col("_target")))), "_part").select("_run", "_target").distinct()
+    met = left.hint("merge").join(marks.withColumn("_part", F.explode(_one_less(F.col("_target")))), "_part").select("_run", "_target").distinct()
     near = met.where(F.levenshtein("_run", "_target") <= 1)
-    return runs.join(near, "_run").select(key, F.col("_target").alias(target)).distinct()
+    pairs = Written(runs.hint("merge").join(near, "_run").select("_phones", "_target").distinct(), "near").df
+    each = words.select(key, F.col(phones).alias("_phones"))
+    if pairs.count() <= LISTED_PAIRS:  # a key's rows then stay where they are made
+        found = each.repartition(key).join(F.broadcast(pairs), "_phones")
+    else:
+        found = each.hint("merge").join(pairs, "_phones")
+    return found.select(key, F.col("_target").alias(target)).distinct()

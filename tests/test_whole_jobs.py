@@ -96,3 +96,19 @@ def test_near_targets(spark):
     assert {tuple(r) for r in df.collect()} == want and len(want) > 1000
     plan = df._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_near_targets_of_equal_words(spark, monkeypatch):
+    """Runs are made for distinct words and not broadcast; many pairs meet the words by a shuffle, with the same result."""
+    from quillspark.operators import metrics
+
+    words = spark.createDataFrame([(i, ["abcde", "bcd", "xy", None][i % 4]) for i in range(400)] + [(1, "abcde")], "k int, p string")
+    targets = spark.createDataFrame([("abc",), ("bcde",), ("zzz",)], "t string")
+    few = metrics.near_targets(words, targets, "k", "p", "t")
+    assert "repartition" in few._jdf.queryExecution().toString().lower() and "explode" not in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(metrics, "LISTED_PAIRS", 0, raising=False)
+    many = metrics.near_targets(words, targets, "k", "p", "t")
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    want = {(i, t) for i in range(400) for t in (("abc", "bcde"), ("bcde",), (), ())[i % 4]} | {(1, "abc")}
+    got = [sorted(tuple(r) for r in df.collect()) for df in (few, many)]
+    assert got == [sorted(want)] * 2
