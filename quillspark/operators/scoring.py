@@ -72,14 +72,13 @@ def canonical(call: Column, own_id: Column, own_domain: Column) -> Column:
     """A key that equal calls share (H37): switching on a script is the call of that name, an entity goes by its id, a domain that the name implies is left out."""
     args, domains, name = call["args"], call["domains"], call["args"]["name"]
     only_name = F.size(F.array_except(F.map_keys(args), F.array(F.lit("name")))) == 0
-    script = (call["tool"] == TURN_ON) & only_name & name.isNotNull() & own_id.startswith("script.") & (domains.isNull() | (domains == F.array(F.lit("script"))))
+    script = (call["tool"] == TURN_ON) & own_id.isNotNull() & own_id.startswith("script.") & name.isNotNull() & (domains.isNull() | (domains == F.array(F.lit("script")))) & only_name
     acts = is_action(call["tool"])
     resolved = F.transform_values(args, lambda k, v: F.when((k == "name") & acts & own_id.isNotNull(), F.concat(F.lit("\x00"), own_id)).otherwise(v))
     left = F.when(acts & name.isNotNull() & (domains == F.array(own_domain)), F.lit(None)).otherwise(domains)
-    is_script = F.coalesce(script, F.lit(False))
-    tool = F.when(is_script, F.substring(own_id, len("script.") + 1, 1 << 20)).otherwise(call["tool"])
-    pairs = F.filter(F.array_sort(F.map_entries(resolved)), lambda e: ~is_script)
-    return F.to_json(F.struct(tool.alias("tool"), pairs.alias("args"), F.when(~is_script, left).alias("domains")))
+    key = lambda tool, pairs, domains: F.to_json(F.struct(tool.alias("tool"), pairs.alias("args"), domains.alias("domains")))
+    of_script = key(F.substring(own_id, len("script.") + 1, 1 << 20), F.array().cast("array<string>"), F.lit(None).cast("array<string>"))
+    return F.when(F.coalesce(script, F.lit(False)), of_script).otherwise(key(call["tool"], F.sort_array(F.map_entries(resolved)), left))
 
 
 def relaxed(call: Column, area: Column, source: Column) -> Column:
@@ -103,10 +102,15 @@ def matched(expected: Column, options: Column) -> Column:
     kind = "struct<left:array<string>,missed:bigint>"
 
     def step(state: Column, forms: Column) -> Column:
-        hit = F.get(F.filter(forms, lambda f: F.array_contains(state["left"], f)), F.lit(0))
-        at = F.array_position(state["left"], F.coalesce(hit, F.lit("")))
-        rest = F.filter(state["left"], lambda x, i: i + 1 != at)
-        return F.struct(F.when(hit.isNull(), state["left"]).otherwise(rest).alias("left"), (state["missed"] + hit.isNull().cast("bigint")).alias("missed")).cast(kind)
+        known = state["left"]
+        hit = F.get(F.filter(forms, lambda f: F.array_contains(known, f)), F.lit(0))
+        place = F.coalesce(F.array_position(known, hit), F.lit(0)).cast("int")
+
+        def taken(at: Column) -> Column:
+            rest = F.concat(F.slice(known, F.lit(1), at - 1), F.slice(known, at + 1, F.size(known)))
+            return F.struct(F.when(at == 0, known).otherwise(rest).alias("left"), (state["missed"] + (at == 0).cast("bigint")).alias("missed")).cast(kind)
+
+        return F.get(F.transform(F.array(place), taken), F.lit(0))  # so that the place is found once, not wherever it is used
 
     start = F.struct(expected.alias("left"), F.lit(0).cast("bigint").alias("missed")).cast(kind)
     return F.aggregate(options, start, step, lambda s: F.struct(s["missed"].alias("missed"), F.size(s["left"]).cast("bigint").alias("left")))

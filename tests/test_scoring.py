@@ -196,3 +196,11 @@ def test_held_answers(spark):
     options = [(0, "a", ["Desk Lamp"]), (1, "a", ["Desk Lamp"])] + [(i, o, [label]) for i in range(2, 8) for o, label in (("a", "Desk Lamp"), ("b", "Kitchen Lamp"))]
     got = grounding.held_answers(spark.createDataFrame(turns, "k int, text string"), spark.createDataFrame(options, "k int, option string, labels array<string>"), "k", "text")
     assert {r.k: (r.cancelled, r.option) for r in got.collect()} == {0: (False, "a"), 1: (True, None), 2: (False, "a"), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, "b")}
+
+
+def test_a_call_is_looked_up_once_among_the_expected(spark):
+    """The place of a call's form is found once in a step, not again for every expected key that may go."""
+    found = scoring.matched(F.col("k"), F.col("t"))
+    assert found._jc.toString().count("array_contains") == 1
+    df = spark.createDataFrame([(["a", "b", "a"], [["x", "a"], ["a"], ["a", "b"], ["b"]]), (["a"], None), ([], [["a"]])], "k array<string>, t array<array<string>>")
+    assert [r.m and tuple(r.m) for r in df.select(found.alias("m")).collect()] == [(1, 0), None, (1, 0)]
