@@ -95,7 +95,8 @@ def drafts(spark, sf_dir):
     homes; of each home's category 12 stay.
     """
     home, category = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("bigint"), F.col("p_size").cast("bigint") % 5
-    part = table(spark, sf_dir, "part").select("*", home.alias("home"), category.alias("category"), F.posexplode(F.array(*map(F.lit, TEMPLATES))).alias("place", "template"))
+    part = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)  # items take long to make, and parts may come in one small file
+    part = part.select("*", home.alias("home"), category.alias("category"), F.posexplode(F.array(*map(F.lit, TEMPLATES))).alias("place", "template"))
     part = part.withColumn("utterance", F.replace("template", F.lit("{name}"), F.col("p_name")))
     items = F.array(
         budgets.item(F.concat_ws("|", F.lit("said"), "home", normalize_utterance(F.col("utterance"))), 1),

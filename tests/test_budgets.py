@@ -98,3 +98,18 @@ def test_drafts_are_not_broadcast(spark):
     live = states.select("phase", "pos", F.lit(0).alias("block"), "state", F.explode("items").alias("i")).select("phase", "pos", "block", "state", "i.*")
     plan = budgets._uses_before(live)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_long_chain_is_read_in_order(spark):
+    """Two hundred drafts each of which waits for the one before, over ten phases: not a round for each."""
+    chain = [(i // 20, i, [(f"k{i}", 1, False), (f"k{i + 1}", 1, False)], None) for i in range(200)]
+    found = budgets.admit(spark.createDataFrame(chain, SCHEMA), most_rounds=4)
+    assert sorted(r.pos for r in found.df.where("kept").collect()) == list(range(0, 200, 2))
+
+
+@pytest.mark.parametrize(("seed", "n_phases", "in_order"), [(4, 5, 45), (5, 1, 30)])
+def test_batches_of_whole_phases_and_of_parts_of_one(spark, monkeypatch, seed, n_phases, in_order):
+    monkeypatch.setattr(budgets, "MUCH", 2)  # batches from the second round on
+    drafts = drafts_of(random.Random(seed), 120, n_phases, 12)
+    found = budgets.admit(spark.createDataFrame(drafts, SCHEMA), "s", block=20, in_order=in_order)
+    assert {(r.phase, r.pos) for r in found.df.where("kept").collect()} == one_by_one(drafts, "s") and 2 < found.rounds < 9
