@@ -643,8 +643,14 @@ def logistic_score(spark, sf_dir):
 
 @query("SELECT user_id, round(1 / (1 + exp(-avg(ln(p / (1 - p))))), 9) AS by_logit, round(avg(p), 9) AS by_mean FROM (SELECT user_id, (value + 1) / 600 AS p FROM events) GROUP BY user_id")
 def ensemble_logit(spark, sf_dir):
-    p = table(spark, sf_dir, "events").select("user_id", ((F.col("value") + 1) / 600).alias("p"))
-    return p.groupBy("user_id").agg(F.round(N.sigmoid(F.avg(N.logit(F.col("p")))), 9).alias("by_logit"), F.round(F.avg("p"), 9).alias("by_mean"))
+    """A sum of doubles depends on its order: each user's are added up event by event, whatever tasks the table is cut into."""
+    from pyspark.sql import Window
+
+    p = table(spark, sf_dir, "events").select("user_id", "event_id", ((F.col("value") + 1) / 600).alias("p"))
+    order = Window.partitionBy("user_id").orderBy("event_id", "p")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    means = p.select("user_id", F.avg(N.logit(F.col("p"))).over(so_far).alias("logit"), F.avg("p").over(so_far).alias("mean"), F.lead(F.lit(True)).over(order).isNull().alias("last"))
+    return means.where("last").select("user_id", F.round(N.sigmoid(F.col("logit")), 9).alias("by_logit"), F.round("mean", 9).alias("by_mean"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 9) AS rms, round(greatest(20 * log10(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding))), -120.0), 6) AS level FROM embeddings")

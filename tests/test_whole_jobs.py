@@ -2,6 +2,7 @@
 
 import random
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
@@ -112,3 +113,17 @@ def test_near_targets_of_equal_words(spark, monkeypatch):
     want = {(i, t) for i in range(400) for t in (("abc", "bcde"), ("bcde",), (), ())[i % 4]} | {(1, "abc")}
     got = [sorted(tuple(r) for r in df.collect()) for df in (few, many)]
     assert got == [sorted(want)] * 2
+
+
+def test_ensemble_sums_in_the_order_of_events(spark, tmp_path):
+    """Means that lie between two numbers of nine digits: the order of the sums decides, and is that of the events, however the table is cut."""
+    rng = random.Random(11)
+    rows = [(i, i % 500, rng.randrange(50000) / 100) for i in range(500 * 64)]
+    sums = [0.0] * 500
+    for _, user, value in rows:
+        sums[user] += (value + 1) / 600
+    want = {user: float(Decimal(repr(s / 64)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for user, s in enumerate(sums)}
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double")
+    for name, dealt in (("some", df.repartition(8, "event_id")), ("sorted", df.coalesce(1).sortWithinPartitions("value"))):
+        dealt.write.parquet(f"{tmp_path}/{name}/events.parquet")
+        assert {r.user_id: r.by_mean for r in catalogue.QUERIES["ensemble_logit"](spark, f"{tmp_path}/{name}").collect()} == want
